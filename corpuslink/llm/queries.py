@@ -6,8 +6,10 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import pack
 from .quality import quality_rules
 from .sharding import shard
+from .simhash import simhash_components
 from .urls import filter_urls
 
 
@@ -15,6 +17,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), 1024)
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_read(spark, sf_dir, "documents"), 2)
+
+
 def op6_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), 8)
 
@@ -27,7 +37,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op6_minimax_sharding, op9_quality_rules, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_simhash_near_dedup, op6_minimax_sharding, op9_quality_rules, op10_url_filters,
+)}
 ORACLE_SQL: dict[str, str] = {}
 
 
