@@ -10,6 +10,7 @@ from .packing import pack
 from .quality import quality_rules
 from .sharding import shard
 from .simhash import simhash_components
+from .substrings import remove_repeats
 from .urls import filter_urls
 
 
@@ -25,6 +26,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_read(spark, sf_dir, "documents"), 2)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"), 35)
+
+
 def op6_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), 8)
 
@@ -38,7 +43,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_simhash_near_dedup, op6_minimax_sharding, op9_quality_rules, op10_url_filters,
+    op1_best_fit_packing, op2_simhash_near_dedup, op3_substring_dedup, op6_minimax_sharding, op9_quality_rules, op10_url_filters,
 )}
 ORACLE_SQL: dict[str, str] = {}
 
