@@ -12,6 +12,8 @@ from .sharding import shard
 from .simhash import simhash_components
 from .substrings import remove_repeats
 from .urls import filter_urls
+from .vectors import near_vectors
+from .warc import round_trip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,10 +32,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), 35)
 
 
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_read(spark, sf_dir, "pages"), 0)
+
+
 def op6_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), 8)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
@@ -43,7 +53,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_simhash_near_dedup, op3_substring_dedup, op6_minimax_sharding, op9_quality_rules, op10_url_filters,
+    op1_best_fit_packing, op2_simhash_near_dedup, op3_substring_dedup, op4_warc_salvage, op6_minimax_sharding,
+    op8_embedding_near_dedup, op9_quality_rules, op10_url_filters,
 )}
 ORACLE_SQL: dict[str, str] = {}
 
