@@ -1,8 +1,63 @@
-"""The training-text pipeline over documents."""
+"""The training-text pipeline over documents: quality, near copies, repeated passages, mixture, packing."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuslink.llm.common import materialize
+from corpuslink.llm.mixing import mixture
+from corpuslink.llm.packing import pack
+from corpuslink.llm.quality import measures, verdict
+from corpuslink.llm.simhash import near_duplicates
+from corpuslink.llm.substrings import remove_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every quality rule."""
+    return measures(docs, keep=COLUMNS).where(verdict()).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id."""
+    gone = materialize(near_duplicates(docs, 5, 0.8).where("doc_id <> component_id").select("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 35 words or more that occur again; those that consist of nothing else go."""
+    left = remove_repeats(docs, 35, keep=("lang", "source"), texts=True).where("n_words = 0 or n_removed < n_words")
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose sources, languages and topics have the target shares of tokens."""
+    return mixture(docs, keep=COLUMNS).where("kept").select(*[F.col(f"k_{c}").alias(c) for c in COLUMNS])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    return pack(docs, 1024)
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("simhash near-dedup", drop_near_copies),
+    ("substring dedup", drop_repeats),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+#: Fingerprints, windows and token ids aren't within reach of SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written to the shared folder and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
+    return docs

@@ -5,7 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .html import main_text
+from .mixing import mixture
+from .mixing import sql as mixing_sql
 from .packing import pack
 from .quality import quality_rules
 from .sharding import shard
@@ -36,10 +40,18 @@ def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages"), 0)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_read(spark, sf_dir, "pages"))
+
+
 def op6_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), 8)
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_read(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 9))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"), 0.9)
 
@@ -53,10 +65,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_simhash_near_dedup, op3_substring_dedup, op4_warc_salvage, op6_minimax_sharding,
-    op8_embedding_near_dedup, op9_quality_rules, op10_url_filters,
+    op1_best_fit_packing, op2_simhash_near_dedup, op3_substring_dedup, op4_warc_salvage, op5_html_extraction,
+    op6_minimax_sharding, op7_source_mixing, op8_embedding_near_dedup, op9_quality_rules, op10_url_filters,
 )}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_source_mixing": mixing_sql()}
 
 
 def queries() -> dict:

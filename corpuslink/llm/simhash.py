@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,6 +24,8 @@ HOT_LEVELS = 10
 GROUP = 100_000
 #: Node pairs that are held at once.
 FRONT = 400_000
+#: Spanning forests that are handed on where pairs are verified later: one rejected pair then rarely parts a group.
+LAYERS = 3
 
 
 # -- fingerprints ------------------------------------------------------------------------------------------------
@@ -133,11 +136,35 @@ def trie_pairs(values: np.ndarray, roots: list[tuple[int, int, int, int, int]],
             stack.append((level + 1, front))
 
 
+def _spanning(pairs: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j, weight), in their order, form a spanning forest."""
+    nodes, flat = np.unique(pairs[:, :2], return_inverse=True)
+    ij, parent, out = flat.reshape(-1, 2), list(range(len(nodes))), []
+    rows = np.arange(len(pairs))
+    while len(rows):
+        now, rows = rows[:20_000], rows[20_000:]
+        for r, (x, y) in zip(now.tolist(), ij[now].tolist()):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            while parent[y] != y:
+                parent[y] = y = parent[parent[y]]
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append(r)
+        label = np.array(parent, np.int64)
+        while (label[label] != label).any():
+            label = label[label]
+        rows = rows[label[ij[rows, 0]] != label[ij[rows, 1]]]  # those that would close a circle go unseen
+    chosen = np.zeros(len(pairs), bool)
+    chosen[out] = True
+    return chosen
+
+
 class Forest:
-    """A minimum spanning forest of weighted pairs that come in parts."""
+    """Minimum spanning forests of weighted pairs that come in parts: the first of all, the next of what it leaves, ..."""
 
-    def __init__(self):
-        self.kept = np.empty((0, 3), np.int64)
+    def __init__(self, layers: int = 1):
+        self.layers, self.kept = layers, np.empty((0, 3), np.int64)
         self.held: list[np.ndarray] = []
         self.n = 0
 
@@ -148,28 +175,16 @@ class Forest:
             self.edges()
 
     def edges(self) -> np.ndarray:
-        """Rows (i, j, weight): at most one fewer than the nodes, connecting what all pairs connect, the closest first."""
+        """Rows (i, j, weight): at most `layers` times the nodes, connecting what all pairs connect by the closest."""
         pairs = np.concatenate([self.kept, *self.held])
         self.held, self.n = [], 0
         pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
-        nodes, flat = np.unique(pairs[:, :2], return_inverse=True)
-        ij, parent, out = flat.reshape(-1, 2), list(range(len(nodes))), []
-        rows = np.arange(len(pairs))
-        while len(rows):
-            now, rows = rows[:20_000], rows[20_000:]
-            for r, (x, y) in zip(now.tolist(), ij[now].tolist()):
-                while parent[x] != x:
-                    parent[x] = x = parent[parent[x]]
-                while parent[y] != y:
-                    parent[y] = y = parent[parent[y]]
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    out.append(r)
-            label = np.array(parent, np.int64)
-            while (label[label] != label).any():
-                label = label[label]
-            rows = rows[label[ij[rows, 0]] != label[ij[rows, 1]]]  # those that would close a circle go unseen
-        self.kept = pairs[out]
+        out = []
+        for _ in range(self.layers):
+            chosen = _spanning(pairs)
+            out.append(pairs[chosen])
+            pairs = pairs[~chosen]
+        self.kept = np.concatenate(out)
         return self.kept
 
 
@@ -244,7 +259,7 @@ def _join(frame: pd.DataFrame, bits: int, budget: int, near: int | None) -> pd.D
         elif 0 < (right := int(sides[low:high].sum())) < high - low:
             roots.append((low, high - right, high - right, high, errors))
     sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1) if near else None
-    forest = Forest()
+    forest = Forest(LAYERS if near else 1)
     for deep in (False, True):  # the rows of a cell lie below one node or two, HOT_LEVELS down
         depth = bits - HOT_LEVELS if deep else bits
         part = [r for r in roots if bool(cells[r[0]]) == deep]
@@ -295,3 +310,79 @@ def simhash_components(docs: DataFrame, budget: int = 2, key: str = "doc_id", te
     found = connected_components(hamming_edges(fps.where("id is not null"), budget))
     named = fps.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", "fingerprint", "component_id")
+
+
+# -- near duplicates by the similarity of their shingles ---------------------------------------------------------
+
+
+def differing_share(similarity: float) -> float:
+    """The share of SimHash bits in which two sets of equal size and this Jaccard similarity differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def tables_for(n: int, similarity: float, recall: float = 0.995, budget: int = 2) -> tuple[int, int]:
+    """(bits of a table, tables): a few chance pairs per text in each table, and the recall wanted over all of them."""
+    bits = max(18, 3 * round((np.log2(max(n, 2)) + 6.2) / 3))
+    p = differing_share(similarity)
+    hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(budget + 1))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 2, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every document that isn't alone: texts linked by at least the similarity of shingle sets.
+
+    A long SimHash of the distinct shingles is cut into tables of `bits` bits. In each, the binary-trie self-join finds
+    fingerprints at most `budget` bits apart; a sketch of 128 other bits drops chance pairs on the spot. The pairs handed
+    on (LAYERS spanning forests, so that a dense family isn't spelled out) are verified by the exact Jaccard similarity of
+    their shingles, and components are formed of those that pass. Bits and tables follow the number of texts, so that the
+    work per text stays the same while the recall at the least similarity is kept.
+
+    Null and empty texts are copies of each other; rows of one doc_id count as one document, which has no link to itself;
+    a null doc_id takes no part. Only key and text are read. An empty table gives no rows.
+    """
+    words = 2
+    n = docs.count()
+    bits, tables = tables_for(n, similarity, budget=budget)
+    lanes = -(-bits * tables // 64) + words
+    rows = materialize(fingerprints(docs.where(F.col(key).isNotNull()), size, lanes, True, key, text))
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    copies = rows.join(fps, "fp").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [(b * bits // (budget + 1), (b + 1) * bits // (budget + 1)) for b in range(budget + 1)]
+        for batch in batches:
+            for k in range(0, batch.num_rows, 5000):
+                part = batch.slice(k, 5000)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, 8 * lanes)
+                sketch = pa.array([r.tobytes() for r in raw[:, -8 * words :]], pa.binary())
+                every = np.unpackbits(raw, axis=1)
+                for t in range(tables):
+                    own = every[:, t * bits : (t + 1) * bits].astype(np.int64)
+                    for b, (low, high) in enumerate(blocks):
+                        top = own[:, low:high] @ (1 << np.arange(high - low - 1, -1, -1))
+                        rest = np.delete(own, np.s_[low:high], axis=1)
+                        value = rest @ (1 << np.arange(rest.shape[1] - 1, -1, -1))
+                        trie = (top * tables + t) * (budget + 1) + b
+                        yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array(value), part.column(0), sketch], ["trie", "value", "id", "sketch"])
+
+    p = differing_share(similarity)
+    near = int(64 * words * p + 3.2 * (64 * words * p * (1 - p)) ** 0.5)
+    widest = bits - bits // (budget + 1)
+    dealt = fps.select("id", "fp").mapInArrow(deal, "trie long, value long, id long, sketch binary")
+    pairs = materialize(trie_join(dealt, widest, budget, near))
+    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct())
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
+    some = materialize(texts.join(ids.withColumnRenamed("a", "id"), "id", "left_semi").dropDuplicates(["id"]))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2), batch.column(3)):
+                one, two = (np.unique(shingle_hashes(x.as_py(), size)) for x in (one, two))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(two) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    one, two = some.select(F.col("id").alias("a"), F.col("t").alias("t1")), some.select(F.col("id").alias("b"), F.col("t").alias("t2"))
+    linked = pairs.join(one, "a").join(two, "b").select("a", "b", "t1", "t2").mapInArrow(alike, "a long, b long")
+    return connected_components(copies.union(linked)).select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
