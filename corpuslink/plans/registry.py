@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog_queries
+from .tables import Tables, with_models
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+MODULES = [catalog_queries]
+
+
+def _run(query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(Tables(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {}
+    return {name: partial(_run, f) for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: with_models(sql) for m in MODULES for name, sql in m.SQL.items()}
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
+    return queries()["b01_live_chunks"](spark, sf_dir)
