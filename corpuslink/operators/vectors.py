@@ -31,13 +31,13 @@ def _pairs(queries: DataFrame, corpus: DataFrame, pick: Callable[[np.ndarray], t
     nq, nc = (max(1, -(-x.count() // n)) for x, n in ((q, QUERY_BLOCK), (c, CORPUS_BLOCK)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("cb", every(nc))
-    right = c.withColumn("cb2", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int")).withColumn("qb2", every(nq))
+    right = c.withColumnRenamed("vector", "v2").withColumn("cb2", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int")).withColumn("qb2", every(nq))
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         b = b.sort_values("id")  # ties go to the smallest id
-        s = _unit(a["vector"]) @ _unit(b["vector"]).T
+        s = _unit(a["vector"]) @ _unit(b["v2"]).T
         i, j = pick(s, a["query_id"].to_numpy(), b["id"].to_numpy())
         return pd.DataFrame({"query_id": a["query_id"].to_numpy()[i], "id": b["id"].to_numpy()[j], "score": s[i, j]})
 

@@ -6,10 +6,10 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_queries, search_queries, text_queries
+from . import catalog_queries, graph_queries, search_queries, text_queries
 from .tables import Tables, with_models
 
-MODULES = [catalog_queries, text_queries, search_queries]
+MODULES = [catalog_queries, text_queries, search_queries, graph_queries]
 
 
 def _run(query, spark: SparkSession, sf_dir: str) -> DataFrame:
