@@ -6,10 +6,12 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_queries, graph_queries, search_queries, text_queries
+from ..operators.expansion import apply_context
+from ..operators.ranking import hybrid_search, postings
+from . import catalog_queries, graph_queries, pipeline_queries, search_queries, text_queries
 from .tables import Tables, with_models
 
-MODULES = [catalog_queries, text_queries, search_queries, graph_queries]
+MODULES = [catalog_queries, text_queries, search_queries, graph_queries, pipeline_queries]
 
 
 def _run(query, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,4 +27,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return queries()["b01_live_chunks"](spark, sf_dir)
+    """Hybrid search of a table of queries, with the context of what it finds."""
+    t = Tables(spark, sf_dir)
+    corpus = search_queries.corpus_of(t)
+    found = hybrid_search(search_queries.asked(t), corpus, postings(corpus), 10, 0.1)
+    return apply_context(found, corpus).select("query_id", "rank", "id", "score", "context")
