@@ -8,6 +8,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,28 @@ END = (2).to_bytes(4, "little")
 #: Pieces of one length are numbered lane by lane, so that a length that a third of all pieces have is no single task.
 LANES = 1024
 SLICE = 1 << 20
+#: Characters of Latin-1 that two modules for patterns put into different classes.
+ODD = b"\x1c\x1d\x1e\x1f\xb2\xb3\xb9\xbc\xbd\xbe"
+
+
+class Known(dict):
+    """Token ids of separate strings, each encoded once by the tokenizers library until the table is full."""
+
+    def __init__(self, tokenizer, room: int):
+        self.tokenizer, self.room = tokenizer, room
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > self.room:
+            self.clear()
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        self[piece] = value = pack_ids(f"<{len(ids)}I", *ids)
+        return value
 
 
 class Encoder:
     """Texts to token ids as little-endian 32-bit bytes.
 
-    The vocabulary's own pre-tokenizer never joins what its pattern separates, so that each separate string is encoded
-    once by the tokenizers library and looked up from then on. The table of known strings is emptied when it is full.
+    The vocabulary's own pre-tokenizer never joins what its pattern separates, so that separate strings are looked up.
     """
 
     def __init__(self, path: str, room: int = 800_000):
@@ -38,11 +54,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        # The same for texts of Latin letters, where the faster module has the same classes.
+        # The same for texts of Latin-1 without ODD, for which the faster module has the same classes.
         self.latin = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-        self.other = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
-        self.room = room
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.tokenizer, room)
 
     def encode(self, text: str) -> bytes:
         if len(text) <= SLICE:
@@ -58,16 +72,12 @@ class Encoder:
         return b"".join(parts)
 
     def _part(self, text: str) -> bytes:
-        pieces = (self.pattern if self.other.search(text) else self.latin).findall(text)
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > self.room:
-                self.known.clear()
-            new = list(set(pieces).difference(self.known))
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, pieces))
+            raw = text.encode("latin-1")
+            pattern = self.latin if len(raw.translate(None, ODD)) == len(raw) else self.pattern
+        except UnicodeEncodeError:
+            pattern = self.pattern
+        return b"".join(map(self.known.__getitem__, pattern.findall(text)))
 
 
 @lru_cache(maxsize=2)
