@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslink.llm.common import materialize
 from corpuslink.llm.mixing import mixture
 from corpuslink.llm.packing import pack
-from corpuslink.llm.quality import measures, verdict
+from corpuslink.llm.quality import measures, passing
 from corpuslink.llm.simhash import near_duplicates
 from corpuslink.llm.substrings import remove_repeats
 
@@ -17,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every quality rule."""
-    return measures(docs, keep=COLUMNS).where(verdict()).select(*COLUMNS)
+    return passing(measures(docs, keep=COLUMNS)).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

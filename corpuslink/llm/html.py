@@ -153,8 +153,8 @@ class Features:
             ends.append(len(ids))
             x[k, -NUMBERS:] = (np.log1p(len(b.text)) / 4, min(1.0, b.linked / len(b.text)), k / n, np.log1p(n) / 4)
         if n:
-            starts = np.r_[0, ends[:-1]]
-            x[:, PATH_DIMS:-NUMBERS] = np.add.reduceat(_SIGNS[np.array(ids)], starts, axis=0) / np.diff(np.r_[starts, ends[-1]])[:, None]
+            starts = np.array([0, *ends[:-1]])
+            x[:, PATH_DIMS:-NUMBERS] = np.add.reduceat(_SIGNS[np.array(ids)], starts, axis=0) / np.diff(starts, append=ends[-1])[:, None]
         return x
 
 

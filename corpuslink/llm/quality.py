@@ -105,6 +105,15 @@ def verdict(thresholds=THRESHOLDS) -> Column:
     return good
 
 
+def passing(measured: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
+    """The rows of measures() within all thresholds.
+
+    The row number keeps the filter above the counts: pushed below them it would repeat their expressions in itself, and
+    those theirs, until the plan no longer fits.
+    """
+    return measured.withColumn("_row", F.monotonically_increasing_id()).where(verdict(thresholds) & (F.col("_row") >= 0)).drop("_row")
+
+
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """Every row's counts, base_failed and kept.
 
