@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Words that a task holds at once, and elements that a bucket of the index should hold.
-CHUNK = 1_500_000
+CHUNK = 400_000
 BUCKET = 4_000_000
 ROWS = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 DDL = "part int, blob binary"
@@ -29,7 +29,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxh64_intdigest(word)
         return value
