@@ -222,7 +222,7 @@ def trie_join(tries: DataFrame, bits: int, budget: int, near: int | None = None)
         for frame in _grouped(batches):
             yield _join(frame, bits, budget, near)
 
-    dealt = rows.repartition(groups, "trie", "cell").sortWithinPartitions("trie", "cell", "side", "value")
+    dealt = rows.repartition(groups, "trie", "cell").sortWithinPartitions("trie", "cell", "side", "value", "id")
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
