@@ -392,7 +392,11 @@ def main_text(pages: DataFrame, *, sample: int = TRAINING_PAGES) -> DataFrame:
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     # Long pages teach no more than others and would make the sample unbounded.
-    few = p.where(F.length("html").between(1, 100_000)).orderBy(F.xxhash64("page_id", "url"), "page_id").limit(sample).select("html").collect()
+    rank = F.xxhash64("page_id", "url")
+    fit = p.where(F.length("html").between(1, 100_000))
+    # The bound is found on hashes alone, so that no task sends pages that aren't in the sample.
+    bound = fit.select(rank.alias("rank")).orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
+    few = fit.where(rank <= F.lit(bound)).orderBy(rank, "page_id").limit(sample).select("html").collect()
     model = learn([r[0] for r in few])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
