@@ -86,12 +86,23 @@ def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1, distinct: bool
 # -- the self-join of one set of tries ---------------------------------------------------------------------------
 
 
-def trie_pairs(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges [low, high), one range after the other."""
+    n = np.maximum(high - low, 0)
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def trie_pairs(
+    values: np.ndarray, roots: list[tuple[int, int, int, int, int]], bits: int, budget: int, brief: list[np.ndarray] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of rows (i, j, differing bits) whose values differ in at most `budget` bits.
 
     values: `bits`-bit numbers, sorted within each range of roots, whose (low, high) is a binary trie in preorder. roots:
     (low, high, low2, high2, errors so far); equal ranges are a self-join. Node pairs are walked together level by level,
-    adding up the bits in which they differ; a pair beyond the budget is dropped with all below it.
+    adding up the bits in which they differ; a pair beyond the budget is dropped with all below it. Below the last level
+    lie rows of equal values; their ranges are halved until single rows are left, so that these are paired too. If brief
+    is a list, each row of such ranges is only paired with the first of the other range (of its own: the first and the
+    next), and the rows that have further partners are appended to the list.
     """
     if not roots:
         return
@@ -107,27 +118,38 @@ def trie_pairs(values: np.ndarray, roots: list[tuple[int, int, int, int, int]],
             continue
         a, b, c, d, e = front.T
         single = (b - a == 1) & (d - c == 1) & (a != c)  # two leaves: what is left is compared at once
-        if level == bits:
-            single = np.ones(len(front), bool)
         if single.any():
             i, j = a[single], c[single]
-            at = level if level < bits else bits
-            mask = np.uint64((1 << (bits - at)) - 1)
+            mask = np.uint64((1 << max(bits - level, 0)) - 1)
             far = e[single] + np.bitwise_count((values[i] ^ values[j]) & mask).astype(np.int64)
-            near = (far <= budget) & (i != j)
+            near = far <= budget
             if near.any():
                 yield i[near], j[near], far[near]
         a, b, c, d, e = front[~single].T
         if not len(a):
             continue
-        o = ones[level]
-        m, n = b - (o[b] - o[a]), d - (o[d] - o[c])
+        if level >= bits and brief is not None:
+            self_ = a == c
+            u, v, x, y = (z[~self_] for z in (a, b, c, d))
+            i = [np.repeat(a[self_], (b - a - 1)[self_]), _spans(a[self_] + 1, b[self_] - 1), np.repeat(u, y - x), _spans(u + 1, v)]
+            j = [_spans(a[self_] + 1, b[self_]), _spans(a[self_] + 2, b[self_]), _spans(x, y), np.repeat(x, v - u - 1)]
+            far = [np.repeat(e[self_], (b - a - 1)[self_]), np.repeat(e[self_], (b - a - 2)[self_]), np.repeat(e[~self_], y - x), np.repeat(e[~self_], v - u - 1)]
+            yield np.concatenate(i), np.concatenate(j), np.concatenate(far)
+            more = np.where(self_, b - a > 3, (b - a > 1) & (d - c > 1))
+            brief.append(np.unique(np.r_[_spans(a[more], b[more]), _spans(c[more], d[more])]))
+            continue
+        if level < bits:
+            o, more = ones[level], 1
+            m, n = b - (o[b] - o[a]), d - (o[d] - o[c])
+        else:
+            m, n, more = (a + b) // 2, (c + d) // 2, 0
         self_ = (a == c) & (b == d)
+        open_ = e + more <= budget
         pairs = [
             np.stack((a, m, c, n, e), 1),
             np.stack((m, b, n, d, e), 1),
-            np.stack((a, m, n, d, e + 1), 1)[e < budget],
-            np.stack((m, b, c, n, e + 1), 1)[(e < budget) & ~self_],
+            np.stack((a, m, n, d, e + more), 1)[open_],
+            np.stack((m, b, c, n, e + more), 1)[open_ & ~self_],
         ]
         front = np.concatenate(pairs)
         front = front[(front[:, 1] > front[:, 0]) & (front[:, 3] > front[:, 2])]
@@ -260,10 +282,11 @@ def _join(frame: pd.DataFrame, bits: int, budget: int, near: int | None) -> pd.D
             roots.append((low, high - right, high - right, high, errors))
     sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1) if near else None
     forest = Forest(LAYERS if near else 1)
+    more: list[np.ndarray] | None = [] if near else None
     for deep in (False, True):  # the rows of a cell lie below one node or two, HOT_LEVELS down
         depth = bits - HOT_LEVELS if deep else bits
         part = [r for r in roots if bool(cells[r[0]]) == deep]
-        for i, j, far in trie_pairs(values & np.uint64((1 << depth) - 1) if deep else values, part, depth, budget):
+        for i, j, far in trie_pairs(values & np.uint64((1 << depth) - 1) if deep else values, part, depth, budget, more):
             if near:
                 far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
                 ok = far <= near

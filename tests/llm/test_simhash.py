@@ -8,6 +8,7 @@ from corpuslink.llm import simhash as S
 xxhash = pytest.importorskip("xxhash")
 
 
+
 def by_hand(text):
     w = (text or "").encode().lower().split()
     sh = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
@@ -45,6 +46,27 @@ def test_trie_finds_each_pair():
         assert got == {(i, j): int(far[i, j]) for i in range(len(v)) for j in range(i + 1, len(v)) if far[i, j] <= budget}
 
 
+def test_trie_pairs_equal_values():
+    rng = np.random.default_rng(3)
+    two = [[5, 5, 5], [5, 5, 7, 7], rng.integers(0, 8, 40), np.r_[np.full(500, 9), rng.integers(0, 16, 30)]]
+    for values, bits in zip(two, (3, 3, 3, 4)):
+        v = np.sort(np.array(values, np.uint64))
+        for budget in (0, 1, 2):
+            got = [(min(a, b), max(a, b), f) for i, j, far in S.trie_pairs(v, [(0, len(v), 0, len(v), 0)], bits, budget) for a, b, f in zip(i.tolist(), j.tolist(), far.tolist())]
+            far = np.bitwise_count(v[:, None] ^ v[None, :])
+            i, j = np.nonzero(np.triu(far <= budget, 1))
+            assert sorted(got) == sorted(zip(i.tolist(), j.tolist(), far[i, j].tolist()))
+            some, more = set(), []
+            for a, b, f in S.trie_pairs(v, [(0, len(v), 0, len(v), 0)], bits, budget, more):
+                some |= set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), f.tolist()))
+            left = set(got) - some
+            assert some <= set(got) and {k for i, j, _ in left for k in (i, j)} <= set(np.concatenate([*more, np.empty(0, int)]).tolist())
+            assert {k for i, j, _ in got for k in (i, j)} == {k for i, j, _ in some for k in (i, j)}
+        half = len(v) // 2  # two ranges, as where a crowded trie is split
+        got = sorted((a, b) for i, j, _ in S.trie_pairs(v, [(0, half, half, len(v), 1)], bits, 2) for a, b in zip(i.tolist(), j.tolist()))
+        assert got == [(a, b) for a in range(half) for b in range(half, len(v)) if int(v[a] ^ v[b]).bit_count() <= 1]
+
+
 def test_components_against_brute_force(spark, messy):
     got = S.simhash_components(messy).collect()
     docs = messy.collect()
