@@ -24,8 +24,8 @@ HOT_LEVELS = 10
 GROUP = 100_000
 #: Node pairs that are held at once.
 FRONT = 400_000
-#: Spanning forests that are handed on where pairs are verified later: one rejected pair then rarely parts a group.
-LAYERS = 3
+#: Spanning forests that are handed on in each round where pairs are verified later; None hands on all pairs that are left.
+ROUNDS = (3, 12, None)
 
 
 # -- fingerprints ------------------------------------------------------------------------------------------------
@@ -93,7 +93,7 @@ def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def trie_pairs(
-    values: np.ndarray, roots: list[tuple[int, int, int, int, int]], bits: int, budget: int, brief: list[np.ndarray] | None = None
+    values: np.ndarray, roots: list[tuple[int, int, int, int, int]], bits: int, budget: int, brief: list[np.ndarray] | None = None, labels: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of rows (i, j, differing bits) whose values differ in at most `budget` bits.
 
@@ -102,7 +102,8 @@ def trie_pairs(
     adding up the bits in which they differ; a pair beyond the budget is dropped with all below it. Below the last level
     lie rows of equal values; their ranges are halved until single rows are left, so that these are paired too. If brief
     is a list, each row of such ranges is only paired with the first of the other range (of its own: the first and the
-    next), and the rows that have further partners are appended to the list.
+    next), and the rows that have further partners are appended to the list. With labels, pairs of rows of one label are
+    left out, and so are node pairs that hold no others.
     """
     if not roots:
         return
@@ -110,6 +111,9 @@ def trie_pairs(
     ones = np.zeros((bits, len(values) + 1), np.int32)
     for level in range(bits):
         np.cumsum((values >> np.uint64(bits - 1 - level)) & np.uint64(1), out=ones[level, 1:])
+    if labels is not None:  # ends[i]: where the run of rows with the label of i ends
+        cuts = np.flatnonzero(np.diff(labels)) + 1
+        ends = np.append(cuts, len(labels))[np.searchsorted(cuts, np.arange(len(labels)), side="right")]
     stack = [(0, np.array(roots, np.int64))]
     while stack:
         level, front = stack.pop()
@@ -117,6 +121,9 @@ def trie_pairs(
             stack += [(level, part) for part in np.array_split(front, -(-len(front) // FRONT))]
             continue
         a, b, c, d, e = front.T
+        if labels is not None:
+            front = front[~((ends[a] >= b) & (ends[c] >= d) & (labels[a] == labels[c]))]
+            a, b, c, d, e = front.T
         single = (b - a == 1) & (d - c == 1) & (a != c)  # two leaves: what is left is compared at once
         if single.any():
             i, j = a[single], c[single]
@@ -187,6 +194,7 @@ class Forest:
 
     def __init__(self, layers: int = 1):
         self.layers, self.kept = layers, np.empty((0, 3), np.int64)
+        self.cut: list[np.ndarray] = []  # nodes of the pairs left out
         self.held: list[np.ndarray] = []
         self.n = 0
 
@@ -206,6 +214,10 @@ class Forest:
             chosen = _spanning(pairs)
             out.append(pairs[chosen])
             pairs = pairs[~chosen]
+            if not len(pairs):
+                break
+        if len(pairs):
+            self.cut = [np.unique(np.concatenate([*self.cut, pairs[:, :2].ravel()]))]
         self.kept = np.concatenate(out)
         return self.kept
 
@@ -213,15 +225,16 @@ class Forest:
 # -- the distributed join ----------------------------------------------------------------------------------------
 
 
-def trie_join(tries: DataFrame, bits: int, budget: int, near: int | None = None) -> DataFrame:
+def trie_join(tries: DataFrame, bits: int, budget: int, near: int | None = None, layers: int | None = 1, brief: bool = False) -> DataFrame:
     """Edges (a, b) that connect all ids whose values in one trie differ in at most `budget` bits.
 
     tries: trie long (which one), value long (`bits` bits), id long, and if near is given a binary sketch of whole
-    64-bit words, of which a pair may differ in `near` bits at the most. A pair of a trie is given through a spanning forest,
-    so that a dense family isn't spelled out in all its pairs. The rows of a trie beyond HOT are dealt to its node pairs
+    64-bit words, of which a pair may differ in `near` bits at the most, and a label long: ids of one label are connected
+    already. A pair of a trie is given through `layers` spanning forests, so that a dense family isn't spelled out in all its
+    pairs, or as it is if layers is None. With near, an edge (a, a) says that pairs of a were left out. The rows of a trie beyond HOT are dealt to its node pairs
     HOT_LEVELS down, each with the bits in which they differ so far, and so to many tasks.
     """
-    columns = ["trie", "value", "id"] + (["sketch"] if near else [])
+    columns = ["trie", "value", "id"] + (["sketch", "label"] if near else [])
     tries = tries.select(*columns)
     hot = materialize(tries.groupBy("trie").count().where(F.col("count") > HOT).select("trie"))
     node = F.shiftrightunsigned("value", bits - HOT_LEVELS)
@@ -242,9 +255,10 @@ def trie_join(tries: DataFrame, bits: int, budget: int, near: int | None = None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _grouped(batches):
-            yield _join(frame, bits, budget, near)
+            yield from _join(frame, bits, budget, near, layers, brief)
 
-    dealt = rows.repartition(groups, "trie", "cell").sortWithinPartitions("trie", "cell", "side", "value", "id")
+    order = ["trie", "cell", "side", "value"] + (["label"] if near else []) + ["id"]
+    dealt = rows.repartition(groups, "trie", "cell").sortWithinPartitions(*order)
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
@@ -267,7 +281,7 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _join(frame: pd.DataFrame, bits: int, budget: int, near: int | None) -> pd.DataFrame:
+def _join(frame: pd.DataFrame, bits: int, budget: int, near: int | None, layers: int | None, brief: bool) -> Iterator[pd.DataFrame]:
     values = frame["value"].to_numpy().astype(np.uint64)
     ids, sides, cells = frame["id"].to_numpy(), frame["side"].to_numpy(), frame["cell"].to_numpy()
     new = np.r_[True, (np.diff(frame["trie"].to_numpy()) != 0) | (np.diff(cells) != 0)]
@@ -281,19 +295,25 @@ def _join(frame: pd.DataFrame, bits: int, budget: int, near: int | None) -> pd.D
         elif 0 < (right := int(sides[low:high].sum())) < high - low:
             roots.append((low, high - right, high - right, high, errors))
     sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1) if near else None
-    forest = Forest(LAYERS if near else 1)
-    more: list[np.ndarray] | None = [] if near else None
+    labels = frame["label"].to_numpy() if near else None
+    forest = Forest(layers or 1)
+    more: list[np.ndarray] | None = [] if brief else None
     for deep in (False, True):  # the rows of a cell lie below one node or two, HOT_LEVELS down
         depth = bits - HOT_LEVELS if deep else bits
         part = [r for r in roots if bool(cells[r[0]]) == deep]
-        for i, j, far in trie_pairs(values & np.uint64((1 << depth) - 1) if deep else values, part, depth, budget, more):
+        for i, j, far in trie_pairs(values & np.uint64((1 << depth) - 1) if deep else values, part, depth, budget, more, labels):
             if near:
                 far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
                 ok = far <= near
                 i, j, far = i[ok], j[ok], far[ok]
-            forest.add(i, j, far)
+            if layers:
+                forest.add(i, j, far)
+            else:
+                yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}).drop_duplicates()
     edges = forest.edges()
-    return pd.DataFrame({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
+    a, b = ids[edges[:, 0]], ids[edges[:, 1]]
+    cut = ids[np.unique(np.concatenate([*forest.cut, *(more or []), np.empty(0, np.int64)]))] if near else a[:0]
+    yield pd.DataFrame({"a": np.r_[np.minimum(a, b), cut], "b": np.r_[np.maximum(a, b), cut]})
 
 
 def hamming_edges(fps: DataFrame, budget: int = 2) -> DataFrame:
@@ -355,10 +375,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, bud
     """(doc_id, component_id) of every document that isn't alone: texts linked by at least the similarity of shingle sets.
 
     A long SimHash of the distinct shingles is cut into tables of `bits` bits. In each, the binary-trie self-join finds
-    fingerprints at most `budget` bits apart; a sketch of 128 other bits drops chance pairs on the spot. The pairs handed
-    on (LAYERS spanning forests, so that a dense family isn't spelled out) are verified by the exact Jaccard similarity of
-    their shingles, and components are formed of those that pass. Bits and tables follow the number of texts, so that the
-    work per text stays the same while the recall at the least similarity is kept.
+    fingerprints at most `budget` bits apart; a sketch of 128 other bits drops chance pairs on the spot. The pairs are
+    verified by the exact Jaccard similarity of their shingles, and components are formed of those that pass: first the
+    pairs of a few spanning forests, so that a dense family isn't spelled out, then in further ROUNDS the pairs left out
+    whose texts verified links have not connected, and at last all of these. Bits and tables follow the number of texts, so
+    that the work per text stays the same while the recall at the least similarity is kept.
 
     Null and empty texts are copies of each other; rows of one doc_id count as one document, which has no link to itself;
     a null doc_id takes no part. Only key and text are read. An empty table gives no rows.
@@ -376,6 +397,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, bud
         for batch in batches:
             for k in range(0, batch.num_rows, 5000):
                 part = batch.slice(k, 5000)
+                label = part.column(2)
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, 8 * lanes)
                 sketch = pa.array([r.tobytes() for r in raw[:, -8 * words :]], pa.binary())
                 every = np.unpackbits(raw, axis=1)
@@ -386,16 +408,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, bud
                         rest = np.delete(own, np.s_[low:high], axis=1)
                         value = rest @ (1 << np.arange(rest.shape[1] - 1, -1, -1))
                         trie = (top * tables + t) * (budget + 1) + b
-                        yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array(value), part.column(0), sketch], ["trie", "value", "id", "sketch"])
+                        yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array(value), part.column(0), sketch, label], ["trie", "value", "id", "sketch", "label"])
 
     p = differing_share(similarity)
     near = int(64 * words * p + 3.2 * (64 * words * p * (1 - p)) ** 0.5)
     widest = bits - bits // (budget + 1)
-    dealt = fps.select("id", "fp").mapInArrow(deal, "trie long, value long, id long, sketch binary")
-    pairs = materialize(trie_join(dealt, widest, budget, near))
-    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct())
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
-    some = materialize(texts.join(ids.withColumnRenamed("a", "id"), "id", "left_semi").dropDuplicates(["id"]))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -406,6 +424,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, bud
                 keep.append(both >= similarity * (len(one) + len(two) - both))
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    one, two = some.select(F.col("id").alias("a"), F.col("t").alias("t1")), some.select(F.col("id").alias("b"), F.col("t").alias("t2"))
-    linked = pairs.join(one, "a").join(two, "b").select("a", "b", "t1", "t2").mapInArrow(alike, "a long, b long")
-    return connected_components(copies.union(linked)).select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
+    left, links, tested, components = fps.select("id", "fp", F.col("id").alias("label")), copies, None, None
+    for layers in ROUNDS:
+        dealt = left.mapInArrow(deal, "trie long, value long, id long, sketch binary, label long")
+        found = materialize(trie_join(dealt, widest, budget, near, layers, brief=tested is None))
+        pairs = found.where("a < b")
+        if tested is not None:
+            pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.union(pairs)
+        ids = materialize(pairs.select("a").union(pairs.select("b")).distinct())
+        some = materialize(texts.join(ids.withColumnRenamed("a", "id"), "id", "left_semi").dropDuplicates(["id"]))
+        one, two = some.select(F.col("id").alias("a"), F.col("t").alias("t1")), some.select(F.col("id").alias("b"), F.col("t").alias("t2"))
+        linked = pairs.join(one, "a").join(two, "b").select("a", "b", "t1", "t2").mapInArrow(alike, "a long, b long")
+        links = materialize(links.union(linked))
+        components = connected_components(links)
+        cut = found.where("a = b").select(F.col("a").alias("id"))
+        if cut.isEmpty():
+            break
+        left = materialize(fps.join(cut, "id", "left_semi").join(components, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("label")))
+    return components.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))

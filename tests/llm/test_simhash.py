@@ -8,6 +8,9 @@ from corpuslink.llm import simhash as S
 xxhash = pytest.importorskip("xxhash")
 
 
+def words(rng, n):
+    return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+
 
 def by_hand(text):
     w = (text or "").encode().lower().split()
@@ -67,6 +70,50 @@ def test_trie_pairs_equal_values():
         assert got == [(a, b) for a in range(half) for b in range(half, len(v)) if int(v[a] ^ v[b]).bit_count() <= 1]
 
 
+def test_trie_pairs_between_labels():
+    rng = np.random.default_rng(4)
+    v = np.sort(rng.integers(0, 16, 120).astype(np.uint64))
+    labels = rng.integers(0, 3, 120)
+    order = np.lexsort((labels, v))
+    labels = labels[order]
+    got = sorted((min(a, b), max(a, b)) for i, j, _ in S.trie_pairs(v, [(0, 120, 0, 120, 0)], 4, 1, labels=labels) for a, b in zip(i.tolist(), j.tolist()))
+    assert got == [(a, b) for a in range(120) for b in range(a + 1, 120) if int(v[a] ^ v[b]).bit_count() <= 1 and labels[a] != labels[b]]
+
+
+def brute_force(rows, least=0.8):
+    """The smallest id of each group that links of at least this similarity form."""
+    sets = {}
+    for i, text in rows:
+        w = text.encode().lower().split()
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)}
+    own = {s: k for k, s in enumerate({s for x in sets.values() for s in x})}
+    ids = sorted(sets)
+    m = np.zeros((len(ids), len(own)), np.float32)
+    for r, i in enumerate(ids):
+        m[r, [own[s] for s in sets[i]]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    like = both >= least * (n[:, None] + n[None, :] - both)
+    out = np.arange(len(ids))
+    while (new := np.where(like, out, len(ids)).min(axis=1)).tolist() != out.tolist():
+        out = new
+    return {i: ids[c] for i, c in zip(ids, out.tolist())}
+
+
+def test_near_duplicates_in_a_family(spark):
+    """Copies of one text that differ in a few words: most of their table values are equal, and many pairs are too far apart."""
+    rng = random.Random(5)
+    base = words(rng, 200).split()
+    rows = []
+    for i in range(300):
+        w = base[:]
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(4)}"
+        rows.append((i, " ".join(w)))
+    want = brute_force(rows)
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
 def test_components_against_brute_force(spark, messy):
     got = S.simhash_components(messy).collect()
     docs = messy.collect()
