@@ -8,12 +8,11 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, words_of
+from .common import materialize, text_of, words_of
 
 SWEEPS = 12
-#: Named values of a dimension, those with the most tokens; the others share one value, so that the table of cells is bounded.
+#: Values of a dimension up to which the cells are raked on the driver; beyond, they are raked as a table, to the same targets.
 NAMED = 1000
-OTHERS = "\x00others"
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -46,6 +45,31 @@ def rake(cells: dict[tuple, float], targets: list[dict], sweeps: int = SWEEPS) -
     return w
 
 
+def rake_table(cells: DataFrame, targets: Mapping[str, Callable[[Mapping], dict]], sweeps: int = SWEEPS) -> DataFrame:
+    """DIMENSIONS and probability of cells (DIMENSIONS, n tokens): as mixture() gets them from rake(), over any number of cells.
+
+    A sweep is three sums and joins, written to the shared folder. The driver holds the shares and targets of the values
+    of one dimension at a time, as the targets are functions of these.
+    """
+    total = cells.agg(F.sum("n")).first()[0]
+    if not total:
+        return cells.select(*DIMENSIONS, F.lit(1.0).alias("probability"))
+    w = materialize(cells.select(*DIMENSIONS, (F.col("n") / F.lit(float(total))).alias("share"))).withColumn("w", F.col("share"))
+    goals = {}
+    for d in DIMENSIONS:
+        shares = {r[0]: r[1] for r in w.groupBy(d).agg(F.sum("share")).collect()}
+        goals[d] = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in targets[d](shares).items()], f"{d} string, goal double")
+    for _ in range(sweeps):
+        for d in DIMENSIONS:
+            sums = w.groupBy(d).agg(F.sum("w").alias("s")).join(goals[d], d, "left")
+            scaled = F.when(F.col("s") > 0, F.col("w") * F.coalesce("goal", F.lit(0.0)) / F.col("s")).otherwise(0.0)
+            w = w.join(sums, d).select(*DIMENSIONS, "share", scaled.alias("w"))
+        w = materialize(w)
+    odds = w.withColumn("odds", F.when(F.col("share") > 0, F.col("w") / F.col("share")))
+    most = odds.agg(F.max("odds")).first()[0]
+    return odds.select(*DIMENSIONS, F.least(F.lit(1.0), F.coalesce("odds", F.lit(1.0)) / F.lit(most)).alias("probability"))
+
+
 def uniform(key: Column) -> Column:
     """A number in [0, 1) from a key, the same in every run: 52 bits of its MD5."""
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
@@ -60,7 +84,7 @@ def mixture(
     document's probability is its cell's raked share over its present share, scaled so that the largest is 1, and it is
     kept if its own number in [0, 1) is below. Rows of one doc_id are kept or left together; a null source or language is
     the empty one; a null text has no tokens; without any tokens all are kept. Only doc_id, source, lang, text and `keep`
-    are read. An empty table gives no rows. The driver holds one number for each cell of at most NAMED values.
+    are read. An empty table gives no rows. Where a dimension has more than NAMED values, the cells stay a table.
     """
     targets = dict.fromkeys(DIMENSIONS, flattened(0.8)) | dict(targets or {})
     t = docs.select(
@@ -71,30 +95,29 @@ def mixture(
     t = t.withColumn("topic", topic(F.col("n_tokens")))
     cells = {}
     counted = t.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n"))
-    named = {d: [r[0] for r in counted.groupBy(d).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), d).limit(NAMED).collect()] for d in DIMENSIONS[:2]}
-    for d, values in named.items():
-        column = F.col(d) if len(values) < NAMED else F.when(F.col(d).isin(values), F.col(d)).otherwise(OTHERS)
-        counted, t = counted.withColumn(f"c_{d}", column), t.withColumn(f"c_{d}", column)
-    at = ["c_source", "c_lang", "topic"]
-    for *cell, n in counted.groupBy(*at).agg(F.sum("n")).collect():
+    many = counted.agg(*[F.countDistinct(d) for d in DIMENSIONS]).first()
+    if max(many) > NAMED:
+        return _chosen(t.join(rake_table(materialize(counted), targets, sweeps), [*DIMENSIONS]), keep)
+    for *cell, n in counted.collect():
         cells[tuple(cell)] = float(n or 0)
     total = sum(cells.values())
     odds = dict.fromkeys(cells, 1.0)
     if total:
         share = {c: n / total for c, n in cells.items()}
-        marginals = [defaultdict(float) for _ in at]
+        marginals = [defaultdict(float) for _ in DIMENSIONS]
         for c, x in share.items():
-            for d in range(len(at)):
+            for d in range(len(DIMENSIONS)):
                 marginals[d][c[d]] += x
         raked = rake(share, [targets[d](m) for d, m in zip(DIMENSIONS, marginals)], sweeps)
         odds = {c: raked[c] / x if x else 1.0 for c, x in share.items()}
         most = max(v for c, v in odds.items() if share[c])
         odds = {c: min(1.0, v / most) for c, v in odds.items()}
-    table = docs.sparkSession.createDataFrame([(*c, p) for c, p in sorted(odds.items())], "c_source string, c_lang string, topic string, probability double")
-    return (
-        t.join(F.broadcast(table), at)  # one row per cell, bounded as above
-        .select(*[f"k_{c}" for c in keep], "doc_id", "source", "lang", "topic", "n_tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("kept"))
-    )
+    table = docs.sparkSession.createDataFrame([(*c, p) for c, p in sorted(odds.items())], "source string, lang string, topic string, probability double")
+    return _chosen(t.join(F.broadcast(table), [*DIMENSIONS]), keep)  # one row per cell, bounded as above
+
+
+def _chosen(t: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return t.select(*[f"k_{c}" for c in keep], "doc_id", "source", "lang", "topic", "n_tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("kept"))
 
 
 def sql(power: float = 0.8, sweeps: int = SWEEPS) -> str:

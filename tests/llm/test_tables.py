@@ -174,6 +174,15 @@ def test_mixture_is_its_sql(spark, small):
     assert rows_of(queries.QUERIES["op7_source_mixing"](spark, small)) == rows_of_sql(queries.ORACLE_SQL["op7_source_mixing"], small)
 
 
+def test_mixture_beyond_the_named(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    keys = lambda d: {r.doc_id: (r.probability, r.source) for r in d.collect()}
+    one = keys(mixing.mixture(docs, sweeps=2))
+    monkeypatch.setattr(mixing, "NAMED", 2)
+    two = keys(mixing.mixture(docs, sweeps=2))
+    assert one.keys() == two.keys() and all(two[k] == (pytest.approx(p), s) for k, (p, s) in one.items())
+
+
 # -- vectors
 
 
