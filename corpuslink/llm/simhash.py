@@ -24,6 +24,9 @@ HOT_LEVELS = 10
 GROUP = 100_000
 #: Node pairs that are held at once.
 FRONT = 400_000
+#: Minima that name a band, and classes of a trie beyond which each is first compared with the first of them.
+MINIMA = 2
+FAMILY = 32
 #: Spanning forests that are handed on in each round where pairs are verified later; None hands on all pairs that are left.
 ROUNDS = (3, 12, None)
 
@@ -45,9 +48,9 @@ def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(map(partial(xxh64_digest, seed=SEED), shingles)), ">u8").astype(np.uint64)
 
 
-def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
+def _mixed(h: np.ndarray, lane: int | np.ndarray) -> np.ndarray:
     """Further 64-bit hashes of the same values."""
-    z = h + np.uint64((lane * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    z = h + np.asarray(lane, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
@@ -67,20 +70,15 @@ def fingerprint(h: np.ndarray, lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1, distinct: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (8 * lanes bytes) and n_shingles of every whole text."""
+def fingerprints(docs: DataFrame, size: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and fp (8 bytes) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, n = [], []
-            for raw in batch.column(1):
-                h = shingle_hashes(raw.as_py(), size)
-                h = np.unique(h) if distinct else h
-                fps.append(fingerprint(h, lanes).astype(">u8").tobytes())
-                n.append(len(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "fp", "n_shingles"])
+            fps = [fingerprint(shingle_hashes(raw.as_py(), size)).astype(">u8").tobytes() for raw in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp binary, n_shingles long")
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp binary")
 
 
 # -- the self-join of one set of tries ---------------------------------------------------------------------------
@@ -228,42 +226,56 @@ class Forest:
 def trie_join(tries: DataFrame, bits: int, budget: int, near: int | None = None, layers: int | None = 1, brief: bool = False) -> DataFrame:
     """Edges (a, b) that connect all ids whose values in one trie differ in at most `budget` bits.
 
-    tries: trie long (which one), value long (`bits` bits), id long, and if near is given a binary sketch of whole
-    64-bit words, of which a pair may differ in `near` bits at the most, and a label long: ids of one label are connected
+    tries: trie long (which one), value long (`bits` bits, 63 at most), id long, and if near is given a sketch of two longs
+    s1 and s2, of which a pair may differ in `near` bits at the most, and a label long: ids of one label are connected
     already. A pair of a trie is given through `layers` spanning forests, so that a dense family isn't spelled out in all its
-    pairs, or as it is if layers is None. With near, an edge (a, a) says that pairs of a were left out. The rows of a trie beyond HOT are dealt to its node pairs
-    HOT_LEVELS down, each with the bits in which they differ so far, and so to many tasks.
+    pairs, or as it is if layers is None. With near, an edge (a, a) says that pairs of a were left out.
+
+    The rows of a trie beyond HOT are dealt to its node pairs HOT_LEVELS down, each with the bits in which they differ so
+    far, where the budget leaves few such pairs. What is still beyond HOT is cut into parts of about HOT rows, and each pair
+    of parts is a cell of its own. So no task holds more than a few times HOT rows of one trie, and no pair is lost.
     """
-    columns = ["trie", "value", "id"] + (["sketch", "label"] if near else [])
+    hot, levels = HOT, HOT_LEVELS
+    columns = ["trie", "value", "id"] + (["s1", "s2", "label"] if near else [])
     tries = tries.select(*columns)
-    hot = materialize(tries.groupBy("trie").count().where(F.col("count") > HOT).select("trie"))
-    node = F.shiftrightunsigned("value", bits - HOT_LEVELS)
-    masks = [m for m in range(1 << HOT_LEVELS) if m.bit_count() <= budget]
-    split = (
-        tries.join(hot, "trie", "left_semi")
-        .withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
-        .withColumn("other", node.bitwiseXOR(F.col("mask")))
-        .select(
-            *columns,
-            (F.shiftleft(F.least(node, "other"), 16) + F.col("mask") + 1).cast("long").alias("cell"),
-            (node > F.col("other")).cast("int").alias("side"),
-        )
+    crowded = materialize(tries.groupBy("trie").count().where(F.col("count") > hot).select("trie"))
+    masks = [m for m in range(1 << levels) if m.bit_count() <= budget]
+    levels, masks = (levels, masks) if len(masks) <= 64 else (0, [0])
+    dealt = tries.join(crowded, "trie", "left_semi").withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
+    node = F.shiftrightunsigned("value", bits - levels) if levels else F.lit(0).cast("long")
+    other = node.bitwiseXOR(F.col("mask"))
+    cell = F.shiftleft(F.least(node, other), 16) + F.col("mask") + 1 if levels else F.lit(0)
+    dealt = dealt.select(*columns, cell.cast("long").alias("cell"), F.bit_count("mask").alias("errors"), (node > other).cast("int").alias("side"))
+    parts = materialize(
+        dealt.groupBy("trie", "cell").count().where(F.col("count") > hot).select("trie", "cell", F.ceil(F.col("count") / hot).cast("int").alias("parts"))
+    )
+    dealt = dealt.join(parts, ["trie", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    first, second = F.least("own", "other"), F.greatest("own", "other")
+    across = F.when(F.col("side") == 0, F.col("own") * F.col("parts") + F.col("other")).otherwise(F.col("other") * F.col("parts") + F.col("own"))
+    inside = F.col("errors") == 0
+    dealt = dealt.select(
+        *columns, "cell", "errors", F.when(inside, first * F.col("parts") + second).otherwise(across).cast("long").alias("part"),
+        F.when(inside, F.col("own") > F.col("other")).otherwise(F.col("side") == 1).cast("int").alias("side"),
+        (~inside | (F.col("own") != F.col("other"))).alias("crossed"),
+    )
+    whole = tries.join(crowded, "trie", "left_anti").select(
+        *columns, F.lit(0).cast("long").alias("cell"), F.lit(0).alias("errors"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), F.lit(False).alias("crossed")
     )
-    whole = tries.join(hot, "trie", "left_anti").select(*columns, F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"))
-    rows = whole.unionByName(split)
+    rows = whole.unionByName(dealt)
     groups = max(12, int(tries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    run = partial(_run, bits=bits, levels=levels, budget=budget, near=near, layers=layers, brief=brief)
+    order = ["trie", "cell", "part", "side", "value"] + (["label"] if near else []) + ["id"]
+    return rows.repartition(groups, "trie", "cell", "part").sortWithinPartitions(*order).mapInPandas(run, "a long, b long").distinct()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _grouped(batches):
-            yield from _join(frame, bits, budget, near, layers, brief)
 
-    order = ["trie", "cell", "side", "value"] + (["label"] if near else []) + ["id"]
-    dealt = rows.repartition(groups, "trie", "cell").sortWithinPartitions(*order)
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+def _run(batches: Iterator[pd.DataFrame], **how) -> Iterator[pd.DataFrame]:
+    for frame in _grouped(batches):
+        yield from _join(frame, **how)
 
 
 def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole (trie, cell) groups, several together, from sorted batches."""
+    """Whole (trie, cell, part) groups, several together, from sorted batches."""
     held: list[pd.DataFrame] = []
     n = 0
     for batch in batches:
@@ -271,7 +283,7 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n += len(batch)
         if n >= GROUP:
             frame = pd.concat(held, ignore_index=True)
-            last = (frame["trie"] == frame["trie"].iat[-1]) & (frame["cell"] == frame["cell"].iat[-1])
+            last = np.logical_and.reduce([frame[c] == frame[c].iat[-1] for c in ("trie", "cell", "part")])
             first = len(frame) - int(last.sum())
             if first:
                 yield frame.iloc[:first].reset_index(drop=True)
@@ -281,25 +293,24 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _join(frame: pd.DataFrame, bits: int, budget: int, near: int | None, layers: int | None, brief: bool) -> Iterator[pd.DataFrame]:
+def _join(frame: pd.DataFrame, bits: int, levels: int, budget: int, near: int | None, layers: int | None, brief: bool) -> Iterator[pd.DataFrame]:
     values = frame["value"].to_numpy().astype(np.uint64)
-    ids, sides, cells = frame["id"].to_numpy(), frame["side"].to_numpy(), frame["cell"].to_numpy()
-    new = np.r_[True, (np.diff(frame["trie"].to_numpy()) != 0) | (np.diff(cells) != 0)]
+    ids, sides, cells, errors, crossed = (frame[c].to_numpy() for c in ("id", "side", "cell", "errors", "crossed"))
+    new = np.r_[True, np.logical_or.reduce([np.diff(frame[c].to_numpy()) != 0 for c in ("trie", "cell", "part")])]
     starts = np.r_[np.flatnonzero(new), len(frame)]
     roots = []
     for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        errors = ((int(cells[low]) - 1) & 0xFFFF).bit_count() if cells[low] else 0
-        if errors == 0:
+        if not crossed[low]:
             if high - low > 1:
-                roots.append((low, high, low, high, 0))
+                roots.append((low, high, low, high, int(errors[low])))
         elif 0 < (right := int(sides[low:high].sum())) < high - low:
-            roots.append((low, high - right, high - right, high, errors))
-    sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1) if near else None
+            roots.append((low, high - right, high - right, high, int(errors[low])))
+    sketch = frame[["s1", "s2"]].to_numpy().astype(np.int64).view(np.uint64) if near else None
     labels = frame["label"].to_numpy() if near else None
     forest = Forest(layers or 1)
     more: list[np.ndarray] | None = [] if brief else None
-    for deep in (False, True):  # the rows of a cell lie below one node or two, HOT_LEVELS down
-        depth = bits - HOT_LEVELS if deep else bits
+    for deep in (False, True):  # the rows of a cell lie below one node or two, so many levels down
+        depth = bits - levels if deep else bits
         part = [r for r in roots if bool(cells[r[0]]) == deep]
         for i, j, far in trie_pairs(values & np.uint64((1 << depth) - 1) if deep else values, part, depth, budget, more, labels):
             if near:
@@ -363,56 +374,71 @@ def differing_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def tables_for(n: int, similarity: float, recall: float = 0.995, budget: int = 2) -> tuple[int, int]:
-    """(bits of a table, tables): a few chance pairs per text in each table, and the recall wanted over all of them."""
-    bits = max(18, 3 * round((np.log2(max(n, 2)) + 6.2) / 3))
+def bands_for(similarity: float, recall: float) -> int:
+    """Bands of MINIMA minima of which two sets of this Jaccard similarity share one with the recall wanted."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**MINIMA))
+
+
+def most_differing(bits: int, similarity: float) -> int:
+    """Bits in which SimHashes of so many bits differ at this similarity, 4.5 standard deviations above the mean."""
     p = differing_share(similarity)
-    hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(budget + 1))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
+    return int(bits * p + 4.5 * (bits * p * (1 - p)) ** 0.5)
+
 
+def minima(h: np.ndarray, bands: int) -> np.ndarray:
+    """A number for each band: of MINIMA minima of the set under further hashes, so that equal sets have equal numbers."""
+    low = np.full(MINIMA * bands, np.iinfo(np.uint64).max, np.uint64)
+    lanes = np.arange(16, 16 + MINIMA * bands)[:, None]
+    for k in range(0, len(h), 1 << 16):
+        low = np.minimum(low, _mixed(h[None, k : k + (1 << 16)], lanes).min(axis=1))
+    out = np.arange(1, bands + 1).astype(np.uint64)
+    for k in range(MINIMA):
+        out = _mixed(out ^ low[k::MINIMA], 1)
+    return out.view(np.int64)
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 2, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def sketches(docs: DataFrame, size: int, bands: int, key: str, text: str) -> DataFrame:
+    """doc_id, own (a hash of the set of shingles), value (63 bits of its SimHash), s1 and s2 (128 others), tries (its bands)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            own, fps, keys = [], [], []
+            for raw in batch.column(1):
+                h = np.unique(shingle_hashes(raw.as_py(), size))
+                own.append(xxh64_intdigest(h.tobytes()))
+                fps.append(fingerprint(h, 3))
+                keys.append(minima(h, bands))
+            n = batch.num_rows
+            fps = np.array(fps, np.uint64).reshape(n, 3)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * n + 1, bands), pa.int32()), pa.array(np.array(keys, np.int64).reshape(-1)))
+            numbers = [np.array(own, np.uint64).view(np.int64), (fps[:, 0] >> np.uint64(1)).view(np.int64), fps[:, 1].copy().view(np.int64), fps[:, 2].copy().view(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, numbers), lists], ["doc_id", "own", "value", "s1", "s2", "tries"])
+
+    schema = "doc_id long, own long, value long, s1 long, s2 long, tries array<long>"
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, schema)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, recall: float = 0.999, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of every document that isn't alone: texts linked by at least the similarity of shingle sets.
 
-    A long SimHash of the distinct shingles is cut into tables of `bits` bits. In each, the binary-trie self-join finds
-    fingerprints at most `budget` bits apart; a sketch of 128 other bits drops chance pairs on the spot. The pairs are
-    verified by the exact Jaccard similarity of their shingles, and components are formed of those that pass: first the
-    pairs of a few spanning forests, so that a dense family isn't spelled out, then in further ROUNDS the pairs left out
-    whose texts verified links have not connected, and at last all of these. Bits and tables follow the number of texts, so
-    that the work per text stays the same while the recall at the least similarity is kept.
+    Texts with equal sets of shingles are one class, compared once. A class stands in a few tries, each of the classes that
+    share a band of minima of their shingles (so many bands that two sets at the least similarity meet with the recall
+    wanted); the work per text is the same at every number of texts. In each trie the self-join finds SimHashes within the
+    error budget of the similarity, and 128 further bits drop chance pairs on the spot. What is found is verified by the
+    exact Jaccard similarity of the shingles, and components are formed of the pairs that pass: first of classes in tries of
+    over FAMILY with the first of their trie, so that a dense family carries one label and its node pairs are passed over;
+    then of a few spanning forests; then in further ROUNDS of the pairs left out whose texts verified links have not
+    connected, and at last of all of these.
 
     Null and empty texts are copies of each other; rows of one doc_id count as one document, which has no link to itself;
     a null doc_id takes no part. Only key and text are read. An empty table gives no rows.
     """
-    words = 2
-    n = docs.count()
-    bits, tables = tables_for(n, similarity, budget=budget)
-    lanes = -(-bits * tables // 64) + words
-    rows = materialize(fingerprints(docs.where(F.col(key).isNotNull()), size, lanes, True, key, text))
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    copies = rows.join(fps, "fp").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [(b * bits // (budget + 1), (b + 1) * bits // (budget + 1)) for b in range(budget + 1)]
-        for batch in batches:
-            for k in range(0, batch.num_rows, 5000):
-                part = batch.slice(k, 5000)
-                label = part.column(2)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, 8 * lanes)
-                sketch = pa.array([r.tobytes() for r in raw[:, -8 * words :]], pa.binary())
-                every = np.unpackbits(raw, axis=1)
-                for t in range(tables):
-                    own = every[:, t * bits : (t + 1) * bits].astype(np.int64)
-                    for b, (low, high) in enumerate(blocks):
-                        top = own[:, low:high] @ (1 << np.arange(high - low - 1, -1, -1))
-                        rest = np.delete(own, np.s_[low:high], axis=1)
-                        value = rest @ (1 << np.arange(rest.shape[1] - 1, -1, -1))
-                        trie = (top * tables + t) * (budget + 1) + b
-                        yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array(value), part.column(0), sketch, label], ["trie", "value", "id", "sketch", "label"])
-
-    p = differing_share(similarity)
-    near = int(64 * words * p + 3.2 * (64 * words * p * (1 - p)) ** 0.5)
-    widest = bits - bits // (budget + 1)
+    bands, budget, near = bands_for(similarity, recall), most_differing(63, similarity), most_differing(128, similarity)
+    rows = materialize(sketches(docs.where(F.col(key).isNotNull()), size, bands, key, text))
+    classes = materialize(rows.groupBy("own", "value").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("s1", "s2", "tries")]))
+    copies = rows.join(classes.select("own", "value", "id"), ["own", "value"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,24 +448,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, bud
                 one, two = (np.unique(shingle_hashes(x.as_py(), size)) for x in (one, two))
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(both >= similarity * (len(one) + len(two) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left, links, tested, components = fps.select("id", "fp", F.col("id").alias("label")), copies, None, None
-    for layers in ROUNDS:
-        dealt = left.mapInArrow(deal, "trie long, value long, id long, sketch binary, label long")
-        found = materialize(trie_join(dealt, widest, budget, near, layers, brief=tested is None))
-        pairs = found.where("a < b")
-        if tested is not None:
-            pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
-        ids = materialize(pairs.select("a").union(pairs.select("b")).distinct())
-        some = materialize(texts.join(ids.withColumnRenamed("a", "id"), "id", "left_semi").dropDuplicates(["id"]))
+    def verified(pairs: DataFrame) -> DataFrame:
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        some = materialize(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))
         one, two = some.select(F.col("id").alias("a"), F.col("t").alias("t1")), some.select(F.col("id").alias("b"), F.col("t").alias("t2"))
-        linked = pairs.join(one, "a").join(two, "b").select("a", "b", "t1", "t2").mapInArrow(alike, "a long, b long")
-        links = materialize(links.union(linked))
-        components = connected_components(links)
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "t1", "t2").mapInArrow(alike, "a long, b long")
+
+    dealt = classes.select(F.explode("tries").alias("trie"), "id", "value", "s1", "s2")
+    first = materialize(
+        dealt.groupBy("trie").agg(F.count("*").alias("n"), F.min(F.struct("id", "value", "s1", "s2")).alias("p")).where(F.col("n") > FAMILY)
+    )
+    apart = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}")))
+    star = dealt.join(first, "trie").where((F.col("id") != F.col("p.id")) & (apart("value") <= budget) & (apart("s1") + apart("s2") <= near))
+    tested = materialize(star.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct())
+    links = materialize(copies.union(verified(tested)))
+    components = connected_components(links)
+    left = classes
+    for layers in ROUNDS:
+        named = materialize(left.join(components, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
+        dealt = named.select(F.explode("tries").alias("trie"), "id", "value", "s1", "s2", "label")
+        mixed = materialize(dealt.groupBy("trie").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("trie"))
+        found = materialize(trie_join(dealt.join(mixed, "trie", "left_semi"), 63, budget, near, layers, brief=left is classes))
+        pairs = materialize(found.where("a < b").join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            tested = tested.union(pairs)
+            links = materialize(links.union(verified(pairs)))
+            components = connected_components(links)
         cut = found.where("a = b").select(F.col("a").alias("id"))
         if cut.isEmpty():
             break
-        left = materialize(fps.join(cut, "id", "left_semi").join(components, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("label")))
+        left = classes.join(cut, "id", "left_semi")
     return components.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))

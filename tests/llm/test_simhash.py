@@ -85,7 +85,7 @@ def brute_force(rows, least=0.8):
     sets = {}
     for i, text in rows:
         w = text.encode().lower().split()
-        sets[i] = {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)}
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or {b" ".join(w)}
     own = {s: k for k, s in enumerate({s for x in sets.values() for s in x})}
     ids = sorted(sets)
     m = np.zeros((len(ids), len(own)), np.float32)
@@ -164,7 +164,36 @@ def test_empty(no_docs):
     assert S.near_duplicates(no_docs).count() == 0
 
 
-def test_tables_keep_the_recall():
-    for n in (10, 10**5, 10**9):
-        bits, tables = S.tables_for(n, 0.8)
-        assert bits % 3 == 0 and bits <= 45 and tables < 150
+def test_bands_keep_the_recall():
+    assert S.bands_for(0.8, 0.999) == 7
+    rng = np.random.default_rng(6)
+    met = apart = kept = 0
+    for _ in range(1500):  # sets of similarity 0.8 exactly
+        h = rng.integers(0, 1 << 63, 180).astype(np.uint64)
+        one, two = h[:162], h[18:]
+        met += bool((S.minima(one, 7) == S.minima(two, 7)).any())
+        f, g = S.fingerprint(one, 3), S.fingerprint(two, 3)
+        far = np.bitwise_count(f ^ g)
+        kept += int(np.bitwise_count((f[0] ^ g[0]) >> np.uint64(1))) <= S.most_differing(63, 0.8) and int(far[1] + far[2]) <= S.most_differing(128, 0.8)
+        apart += bool((S.minima(one, 7) == S.minima(rng.integers(0, 1 << 63, 162).astype(np.uint64), 7)).any())
+    assert met >= 1494 and kept >= 1497 and apart == 0
+
+
+@pytest.mark.parametrize("hot,family", [(20_000, 32), (30, 4)])
+def test_recall_on_the_table(spark, small, monkeypatch, hot, family):
+    """All links of brute force at the setting of the pipeline, with crowded tries split and families linked first or not."""
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "FAMILY", family)
+    docs = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet")
+    want = brute_force([(r.doc_id, r.text or "") for r in docs.collect()])
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()}
+    together = [i for i in want if want[i] != i]
+    assert sum(got.get(i, i) == want[i] for i in together) >= 0.99 * len(together) > 50
+    assert all(want[i] != i for i, c in got.items() if c != i)
+
+
+def test_repeated_ids_are_one_document(spark):
+    rng = random.Random(8)
+    a, b = words(rng, 60), words(rng, 60)
+    docs = spark.createDataFrame([(1, a), (1, a), (2, b), (3, b + " end"), (None, a), (4, None), (5, "")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()} == {2: 2, 3: 2, 4: 4, 5: 4}
