@@ -166,6 +166,28 @@ def test_mixture(spark, messy, small):
         assert n / sum(kept.values()) == pytest.approx(raised[s] / sum(raised.values()), rel=0.02)
 
 
+def test_a_rare_cell_costs_the_others_nothing(spark):
+    rows = [(i, "w " * (100 + i % 7), "en", "big") for i in range(3000)] + [(9000 + i, "w " * 100, "de", "mid") for i in range(600)]
+    schema = "doc_id long, text string, lang string, source string"
+    for extra in ([], [(9999, "one", "fr", "tiny")]):
+        got = mixing.mixture(spark.createDataFrame(rows + extra, schema)).collect()
+        total = sum(r.n_tokens for r in got)
+        assert sum(r.n_tokens * r.probability for r in got) == pytest.approx(total / 2, rel=1e-6)
+        assert sum(r.n_tokens for r in got if r.kept) == pytest.approx(total / 2, rel=0.05)
+        assert {r.source for r in got if r.short} == {r[3] for r in extra} and all(r.kept for r in got if r.short)
+
+
+def test_scale_meets_the_budget():
+    rng = random.Random(4)
+    for _ in range(100):
+        share = [rng.random() ** 3 + 1e-9 for _ in range(rng.randint(1, 30))]
+        w = [rng.random() for _ in share]
+        share, w = [x / sum(share) for x in share], [x / sum(w) for x in w]
+        budget = rng.random()
+        c = mixing.scale_for(budget, lambda c: (sum(s for s, x in zip(share, w) if x * c >= s), sum(x for s, x in zip(share, w) if x * c < s)))
+        assert sum(min(s, c * x) for s, x in zip(share, w)) == pytest.approx(budget, rel=1e-6)
+
+
 def test_mixture_is_its_sql(spark, small):
     from helpers import rows_of, rows_of_sql
 
