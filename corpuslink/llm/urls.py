@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 BAD = "\x00bad"
+#: Mined rules up to which the index is a constant of the projection.
+MOST = 2000
 
 
 def host_of(url: Column) -> Column:
@@ -53,67 +57,88 @@ def tokens_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_distinct(F.concat(scheme, labels, segments, keys))).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_rows: int = 20, deviations: float = 3.0) -> DataFrame:
     """(antecedent, confidence, support) of the association rules whose consequent is bad, from (url, bad).
 
-    Spark's parallel FP-growth counts over all labelled URLs. Rules that contain another rule with at least their
+    Spark's parallel FP-growth counts over all labelled URLs. A rule holds on at least the share min_support of the rows and
+    on min_rows of them, and its confidence, less so many standard deviations (Wilson's bound), is above the share of bad
+    rows: a few rows are no evidence, on a small table or a large one. Rules that contain another rule with at least their
     confidence are pruned. Their number is bounded by the support: an item is kept if a share of min_support of the
     rows has it, so that at most (tokens a URL) / min_support items remain at any size of the input.
     """
-    baskets = labelled.where("url is not null and bad is not null").select(
-        F.when(F.col("bad"), F.array_append(tokens_of(F.col("url")), BAD)).otherwise(tokens_of(F.col("url"))).alias("items")
-    )
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", BAD)).select(
-        F.sort_array("antecedent").alias("antecedent"), "confidence", "support"
+    known = labelled.where("url is not null and bad is not null")
+    n, base = known.agg(F.count("*"), F.avg(F.col("bad").cast("double"))).first()
+    baskets = known.select(F.when(F.col("bad"), F.array_append(tokens_of(F.col("url")), BAD)).otherwise(tokens_of(F.col("url"))).alias("items"))
+    least = min(1.0, max(min_support, min_rows / n if n else 1.0))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
+    p, z, rows = F.col("confidence"), F.lit(deviations), F.col("support") * F.lit(float(n)) / F.col("confidence")
+    low = (p + z * z / (2 * rows) - z * F.sqrt(p * (1 - p) / rows + z * z / (4 * rows * rows))) / (1 + z * z / rows)
+    rules = materialize(
+        model.associationRules.where(F.array_contains("consequent", BAD) & (F.round(F.col("support") * n) >= min_rows) & (low > F.lit(base or 0.0)))
+        .select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support")
     )
-    rules = materialize(rules)
     other = rules.select(F.col("antecedent").alias("a2"), F.col("confidence").alias("c2"))
-    wider = rules.join(
-        F.broadcast(other),  # bounded by the support, as above
-        (F.size("a2") < F.size("antecedent")) & (F.size(F.array_except("a2", "antecedent")) == 0) & (F.col("c2") >= F.col("confidence")),
-        "left_anti",
-    )
-    return wider
+    wider = (F.size("a2") < F.size("antecedent")) & (F.size(F.array_except("a2", "antecedent")) == 0) & (F.col("c2") >= F.col("confidence") - 1e-12)
+    # A narrower rule shares its first token with the wider one, so that the join has a key.
+    held = rules.select("*", F.explode("antecedent").alias("token")).join(other.withColumn("token", F.get("a2", F.lit(0))), "token").where(wider)
+    return rules.join(held.select("antecedent").distinct(), "antecedent", "left_anti")
+
+
+def _postings(rules: DataFrame) -> DataFrame:
+    """Each rule under one of its tokens, the one with the longest text."""
+    longest = F.reduce("antecedent", F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    return rules.select(longest.alias("token"), "antecedent")
 
 
-def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def hits(url: Column, postings: dict[str, list[list[str]]]) -> Column:
+    """Whether a URL holds every token of some rule, from an inverted index that the expression holds as a constant."""
+    index = F.from_json(F.lit(json.dumps(postings)), "map<string,array<array<string>>>")
+    tokens = tokens_of(url)
+    posted = F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(index, t)), lambda rules: rules.isNotNull()))
+    return F.exists(posted, lambda rule: F.size(F.array_except(rule, tokens)) == 0)
+
+
+def match_rules(urls: DataFrame, postings: DataFrame) -> DataFrame:
     """The distinct urls that hold every token of some rule.
 
-    Inverted index: each rule is posted under one of its tokens, the one with the longest text; a URL's tokens look up
-    the postings and the other tokens of the rule are then checked, so that no counting shuffle is needed.
+    A URL's tokens look up the postings in a join and the other tokens of the rule are then checked, so that no counting
+    shuffle is needed.
     """
-    postings = rules.select(
-        F.reduce("antecedent", F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)).alias("token"), "antecedent"
-    )
     return (
         urls.select("url", tokens_of(F.col("url")).alias("tokens"))
         .select("url", "tokens", F.explode("tokens").alias("token"))
-        .join(F.broadcast(postings), "token")
+        .join(postings, "token")
         .where(F.size(F.array_except("antecedent", "tokens")) == 0)
         .select("url").distinct()
     )
 
 
 def filter_urls(
-    pages: DataFrame, labels: DataFrame, *, min_support: float = 0.002, min_confidence: float = 0.6, rules=RULES
+    pages: DataFrame, labels: DataFrame, *, min_support: float = 0.002, min_confidence: float = 0.6, min_rows: int = 20, rules=RULES
 ) -> DataFrame:
     """Every page's host, path, rule and verdict.
 
     labels (doc_id, quality, toxic) are joined to page_id; a page is bad if it is toxic or of no quality, and unlabelled
-    if both are null. A URL that no fixed rule fits is blocked if a mined rule matches it, else allowed. A null URL has
-    an empty host and path and no tokens and is allowed. Repeated pages are judged each; repeated labels weigh each.
-    Without labels, or without bad ones, nothing is mined. Only the named columns are read, so that others can't clash.
+    if both are null. A URL that no fixed rule fits is blocked if a mined rule matches it, else allowed. Up to MOST mined
+    rules become an index within the projection, so that each page is judged where it is scanned; more are joined by token.
+    A null URL has an empty host and path and no tokens and is allowed. Repeated pages are judged each; repeated labels weigh
+    each. Without labels, or without bad ones, nothing is mined. Only the named columns are read, so that others can't clash.
     """
     p = pages.select("page_id", "url")
     bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
     known = labels.where("toxic is not null or quality is not null").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    mined = materialize(mine_rules(p.join(known, "page_id"), min_support, min_confidence))
-    blocked = match_rules(p.where("url is not null"), mined).select("url", F.lit(True).alias("hit"))
+    mined = materialize(_postings(mine_rules(p.join(known, "page_id"), min_support, min_confidence, min_rows)))
+    few = mined.limit(MOST + 1).collect()
+    if len(few) <= MOST:
+        postings: dict[str, list] = {}
+        for token, antecedent in few:
+            postings.setdefault(token, []).append(antecedent)
+        judged = p.withColumn("hit", hits(F.col("url"), postings) if postings else F.lit(False))
+    else:
+        blocked = match_rules(p.where("url is not null"), mined).select("url", F.lit(True).alias("hit"))
+        judged = p.where("url is not null").join(blocked, "url", "left").unionByName(p.where("url is null").withColumn("hit", F.lit(False)))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    found = p.join(blocked, "url", "left").select(
-        "page_id", host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("r"), "hit"
-    )
+    found = judged.select("page_id", host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("r"), "hit")
     return found.select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"),
         F.coalesce(F.col("r.verdict"), F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"),
