@@ -135,6 +135,42 @@ def test_rules_are_mined_and_matched(spark):
     assert got == {i: "block" if i % 4 == 0 else "allow" for i in range(200)}
 
 
+def test_rules_against_all_token_sets(spark):
+    """Mined rules against counts of all token sets of a small table, noise among them."""
+    from itertools import combinations
+
+    rng = random.Random(12)
+    rows = [(f"http://h{rng.randrange(3)}.net/{'win' if rng.random() < 0.3 else 'a'}/{rng.choice('xyz')}{rng.randrange(5)}",) for _ in range(400)]
+    rows = [(u, rng.random() < (0.9 if "win" in u else 0.2)) for (u,) in rows]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    got = {tuple(r.antecedent): r.confidence for r in urls.mine_rules(df, 0.002, 0.6).collect()}
+    baskets = [(set(r.t), r.bad) for r in df.select(urls.tokens_of(df.url).alias("t"), "bad").collect()]
+    sets = {c for t, _ in baskets for k in range(1, len(t) + 1) for c in combinations(sorted(t), k)}
+    base, every = sum(b for _, b in baskets) / len(baskets), {}
+    for c in sets:
+        n = sum(t.issuperset(c) for t, _ in baskets)
+        bad = sum(b for t, b in baskets if t.issuperset(c))
+        p = bad / n
+        low = (p + 9 / (2 * n) - 3 * (p * (1 - p) / n + 9 / (4 * n * n)) ** 0.5) / (1 + 9 / n)
+        if bad >= 20 and p >= 0.6 and low > base:
+            every[c] = p
+    want = {c: p for c, p in every.items() if not any(len(d) < len(c) and set(d) < set(c) and q >= p - 1e-12 for d, q in every.items())}
+    assert got == pytest.approx(want) and any("p:win" in c for c in got)
+
+
+def test_few_rows_are_no_evidence(spark):
+    rows = [(i, f"http://a{i}.net/{'z' if i < 15 else 'y'}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i < 15)) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
+    assert {r.verdict for r in got} == {"allow"}
+
+
+@pytest.mark.parametrize("most", [0, 2000])
+def test_rules_match_with_or_without_a_literal_index(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "MOST", most)
+    test_rules_are_mined_and_matched(spark)
+
+
 # -- mixing
 
 
@@ -240,6 +276,33 @@ def test_recall_on_the_table(spark, small):
     assert want > 100 and 0.9 * want <= got <= want
 
 
+def test_null_ids_and_recall_one(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    x[40:] = x[:20] + rng.normal(size=(20, 8)) * 0.2
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] + [0.0] * 7), (None, x[3].tolist()), (None, None), (0, x[0].tolist()), (77, [1e300] * 8), (78, [1e-300] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vectors.near_vectors(df, 0.9, 1.0).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None)[1:] != [] and not any(r.kept for r in got if r.vec_id is None)
+    all_ = [(i, np.array(v) / np.abs(v).max()) for i, v in rows if v and not (i is None and v[1] == 0)]
+    u = np.array([v / np.linalg.norm(v) for _, v in all_])
+    n = (u @ u.T >= 0.9).sum(1) - 1
+    assert sorted((str(r.vec_id), r.n_links) for r in got) == sorted([(str(i), int(k)) for (i, _), k in zip(all_, n)] + [("None", 0)] * 2)
+
+
+def test_crowded_groups_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1, 8)) + rng.normal(size=(120, 8)) * 0.25
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = dict(enumerate(((u @ u.T >= 0.9).sum(1) - 1).tolist()))
+    for m, p in ((10, 20), (8000, 32000)):
+        monkeypatch.setattr(vectors, "MEMBERS", m)
+        monkeypatch.setattr(vectors, "PROBES", p)
+        assert {r.vec_id: r.n_links for r in vectors.near_vectors(df, 0.9, 1.0).collect()} == want
+
+
 def test_multi_sequence_visits_the_nearest():
     rng = np.random.default_rng(1)
     x, books = rng.normal(size=(20, 8)), (rng.normal(size=(6, 4)), rng.normal(size=(5, 4)))
