@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from zlib import crc32
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Pages from which the labeller learns; a bound on the model's input only, every page is read whole and labelled.
 TRAINING_PAGES = 300
+#: Characters up to which a page teaches, and blocks of a page that do, a quarter of them from its end.
+LONGEST, TAUGHT = 100_000, 80
 #: Pages of other makes that it learns from besides.
 LAYOUTS = 1500
 PATH_DIMS, WORD_DIMS, NUMBERS = 96, 16, 4
@@ -29,14 +32,21 @@ BREAKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Whose content is no text, up to their own end tag.
 RAW = frozenset("script style noscript template textarea title svg iframe object select".split())
+#: Of these, the ones that end at the next break at the latest if their end tag is missing; a select ends there in any case.
+SOFT = frozenset("noscript template svg iframe object select".split())
 #: What an open element of a kind is closed by.
 CLOSED_BY = {
     "p": BREAKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "head": frozenset(["body"]),
 }
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+CLOSERS = frozenset().union(*CLOSED_BY.values())
+# Quotes count after = only. No part gives back what it has taken, so that a page is read in one pass.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|<[!?][^>]*>", re.S)
+PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*>", re.S)
+OPENED = re.compile(r"<(?=[!?a-zA-Z]|/[a-zA-Z])")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
+BREAK = re.compile(rf"</?(?:{'|'.join(sorted(BREAKS - {'option', 'select', 'hr'}))})(?=[\s/>])", re.I)
 
 
 class Block:
@@ -52,6 +62,7 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in its order. Tags that aren't closed, or are closed twice, end where browsers end them."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
     held: list[tuple[str, bool]] = []
     end = 0
 
@@ -66,10 +77,31 @@ def blocks_of(page: str) -> list[Block]:
             held.clear()
 
     def linked() -> bool:
-        return any(tag == "a" for tag, _ in stack)
-
-    at = 0
-    while (m := TAG.search(page, at)) is not None:
+        return opened["a"] > 0
+
+    def leave(k: int) -> None:
+        for tag, _ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
+
+    ahead: dict[str, tuple[int, int]] = {}
+
+    def coming(name: str, pattern: re.Pattern, at: int) -> tuple[int, int]:
+        """Where the next match starts and ends, else the end of the page; it is looked for anew only when it is passed."""
+        if name not in ahead or ahead[name][0] < at:
+            found = pattern.search(page, at)
+            ahead[name] = found.span() if found else (len(page), len(page))
+        return ahead[name]
+
+    at, last, tags = 0, page.rfind(">") + 1, TAG
+    while (here := OPENED.search(page, at, last)) is not None:
+        m = tags.match(page, here.start())
+        if m is None:  # a quote that nothing ends: from here on tags end at the next >
+            tags = PLAIN
+            m = tags.match(page, here.start())
+        if m is None:
+            at = here.end()
+            continue
         if m.start() > end:
             held.append((page[end : m.start()], linked()))
         at = end = m.end()
@@ -77,17 +109,21 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(t == tag for t, _ in stack):
+            if opened[tag]:
                 if tag in BREAKS:
                     flush()
-                while stack.pop()[0] != tag:
-                    pass
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                leave(k)
             elif tag in BREAKS:
                 flush()
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at) if not m[3].endswith("/") else None
-            at = end = close.end() if close else (m.end() if m[3].endswith("/") else len(page))
+            if not m[3].endswith("/"):
+                start, close = coming(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I), at)
+                block = coming("", BREAK, at)[0] if tag in SOFT and (start == len(page) or tag == "select") else close
+                at = end = min(block, close)
             if tag in BREAKS:
                 flush()
             continue
@@ -96,13 +132,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BREAKS:
             flush()
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1 if tag in CLOSERS else -1, -1, -1):
             if stack[k][0] in CLOSED_BY and tag in CLOSED_BY[stack[k][0]]:
-                del stack[k:]
+                leave(k)
                 break
             if stack[k][0] in ("table", "ul", "ol", "div", "article", "section", "body"):
                 break
         if tag not in VOID and not m[3].endswith("/"):
+            opened[tag] += 1
             stack.append((tag, " ".join(f"{a[0].lower()}={a[1] or a[2] or a[3]}" for a in ATTRIBUTE.findall(m[3])) if "=" in m[3] else ""))
     if end < len(page):
         held.append((page[end:], linked()))
@@ -367,14 +404,17 @@ def _layout(pool: list[str], rng: random.Random) -> str:
     return "<html><body>" + "".join(before) + main + "".join(after) + "</body></html>"
 
 
-def learn(pages: list[str], seed: int = 13) -> dict:
-    """A labeller from a bounded sample of pages: their own markup teaches it, and LAYOUTS pages of other makes."""
+def learn(pages: list[str], seed: int = 13, blocks: int = TAUGHT) -> dict:
+    """A labeller from a bounded sample of pages: their own markup teaches it, and LAYOUTS pages of other makes.
+
+    Of each page `blocks` blocks teach, the last quarter of them from its end.
+    """
     rng, features = random.Random(seed), Features()
     taught = [_taught(p) for p in pages]
-    pool = sorted({b.text[:300].replace("<", "&lt;") for page in taught for b, main in page if main and len(b.text) > 30}) or ["A text of a few words that says nothing in particular."]
+    pool = sorted({b.text.replace("<", "&lt;") for page in taught for b, main in page if main and len(b.text) > 30}) or ["A text of a few words that says nothing in particular."]
     examples = []
     for page in taught:
-        page = page[:60] + page[-20:] if len(page) > 80 else page  # of what it learns from only
+        page = page[: blocks - blocks // 4] + page[len(page) - blocks // 4 :] if len(page) > blocks else page
         if any(main for _, main in page):
             examples.append((features.of([b for b, _ in page]), np.array([main for _, main in page])))
     for _ in range(LAYOUTS):
@@ -383,21 +423,20 @@ def learn(pages: list[str], seed: int = 13) -> dict:
     return train(examples)
 
 
-def main_text(pages: DataFrame, *, sample: int = TRAINING_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, *, sample: int = TRAINING_PAGES, longest: int = LONGEST, blocks: int = TAUGHT) -> DataFrame:
     """page_id, url, text and n_chars of every page: the blocks labelled as main text, joined by line ends.
 
-    The labeller is learnt once from at most `sample` pages, those with the smallest hashes of their ids. Each page is then
-    read whole. A null, empty or blank html gives an empty text; a block is never cut or dropped for its length; repeated
+    The labeller is learnt once from at most `sample` pages of at most `longest` characters, those with the smallest hashes
+    of their ids, and from `blocks` blocks of each: these three bound what it learns from only. Each page is then read whole. A null, empty or blank html gives an empty text; a block is never cut or dropped for its length; repeated
     rows are read each; pages of one text give it again; only page_id, url and html are read. An empty table gives no rows.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    # Long pages teach no more than others and would make the sample unbounded.
     rank = F.xxhash64("page_id", "url")
-    fit = p.where(F.length("html").between(1, 100_000))
+    fit = p.where(F.length("html").between(1, longest))
     # The bound is found on hashes alone, so that no task sends pages that aren't in the sample.
     bound = fit.select(rank.alias("rank")).orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
     few = fit.where(rank <= F.lit(bound)).orderBy(rank, "page_id").limit(sample).select("html").collect()
-    model = learn([r[0] for r in few])
+    model = learn([r[0] for r in few], blocks=blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
