@@ -20,7 +20,9 @@ VERSION = b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
 NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 PIECE = 1 << 16
-CHECKED = ("WARC-Type", "WARC-Record-ID", "Content-Length")
+CHECKED = ("warc-type", "warc-record-id", "content-length")
+#: Bytes that an archive should hold, and records at the most.
+ARCHIVE, RECORDS = 128 << 20, 5000
 
 
 # -- writing -----------------------------------------------------------------------------------------------------
@@ -65,9 +67,15 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     return p.select(F.concat(header, block).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, rows: int = 5000) -> None:
-    """One archive for each `rows` records of a task. Spark's committer leaves only files of tasks that ended well."""
+def write_archives(pages: DataFrame, path: str, least: int = 0, size: int = ARCHIVE) -> int:
+    """Archives of about `size` bytes, by the mean record, and at most RECORDS records; returns the number of records.
+
+    Spark's committer leaves only files of tasks that ended well.
+    """
+    n, total = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
+    rows = max(1, min(RECORDS, size // (1024 + (total or 0) // max(n, 1))))
     records(pages, least).write.option("lineSep", END).option("maxRecordsPerFile", rows).text(path)
+    return n
 
 
 # -- reading -----------------------------------------------------------------------------------------------------
@@ -87,7 +95,10 @@ class Broken(ValueError):
 
 
 def parse_record(data: bytes, at: int = 0) -> Record:
-    """The record that starts at a place, if it passes all checks: version, headers, length, end and payload digest."""
+    """The record that starts at a place, if it passes all checks: version, headers, length, end and payload digest.
+
+    Names of headers are read without regard to case, as the standard has them.
+    """
     if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 16]):
         raise Broken("no version line")
     body = data.find(b"\r\n\r\n", at)
@@ -98,14 +109,14 @@ def parse_record(data: bytes, at: int = 0) -> Record:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Broken("no header")
-        headers[name.decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-    if any(h not in headers for h in CHECKED) or not headers["Content-Length"].isdigit():
+        headers[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+    if any(h not in headers for h in CHECKED) or not headers["content-length"].isdigit():
         raise Broken("a header is missing")
     body += 4
-    end = body + int(headers["Content-Length"])
+    end = body + int(headers["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         raise Broken("the block doesn't end where it should")
-    kind, payload, n = headers["WARC-Type"], None, end - body
+    kind, payload, n = headers["warc-type"], None, end - body
     split = data.find(b"\r\n\r\n", body, end)
     if kind in ("response", "revisit") and split >= 0:
         said = re.search(rb"(?im)^content-length: *(\d+)\r?$", data[body : split + 2])
@@ -114,7 +125,7 @@ def parse_record(data: bytes, at: int = 0) -> Record:
         if kind == "response":
             if said and int(said[1]) != n:
                 raise Broken("the payload has another length")
-            digest = headers.get("WARC-Payload-Digest", "")
+            digest = headers.get("warc-payload-digest", "")
             if digest.startswith("sha1:") and digest[5:] != base64.b32encode(hashlib.sha1(payload).digest()).decode():
                 raise Broken("the payload has another digest")
     return Record(at, end + 4, headers, n, payload)
@@ -125,7 +136,8 @@ def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
 
     Where a check fails, the bytes up to the next version line or member from which a whole record can be read are a gap
     (start, end, reason), and reading goes on there. A member counts as a whole: if it can't be unpacked to its checked
-    end, or what it holds isn't a sequence of records, it becomes a gap.
+    end, or what it holds isn't a sequence of records, it becomes a gap. Nothing tells where a broken record ends, so that
+    whole records within its payload are read as records.
     """
     found: list[Record] = []
     gaps: list[tuple[int, int, str]] = []
@@ -189,8 +201,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                 found, gaps = salvage(content.as_py())
                 rows = [
                     (
-                        name, r.start, r.end, False, None, r.headers["WARC-Type"], r.headers["WARC-Record-ID"], r.headers.get("WARC-Refers-To"),
-                        r.headers.get("WARC-Payload-Digest", "").removeprefix("sha1:"), r.payload_bytes, r.payload,
+                        name, r.start, r.end, False, None, r.headers["warc-type"], r.headers["warc-record-id"], r.headers.get("warc-refers-to"),
+                        r.headers.get("warc-payload-digest", "").removeprefix("sha1:"), r.payload_bytes, r.payload,
                     )
                     for r in found
                 ] + [(name, a, b, True, why, *[None] * 6) for a, b, why in gaps]
@@ -201,10 +213,17 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, from archives written and read back."""
-    spark, path = pages.sparkSession, workspace(pages.sparkSession)
-    write_archives(pages, path, least)
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, from archives written and read back.
+
+    What was read is written to the shared folder with the gaps, which stay there as the log. A gap, or another number of
+    records than was written, is an error that names the log.
+    """
+    spark, path, log = pages.sparkSession, workspace(pages.sparkSession), workspace(pages.sparkSession)
+    written = write_archives(pages, path, least)
+    read_archives(spark, path).write.parquet(log)
+    found = spark.read.parquet(log)
+    records_, gaps, lost = found.agg(F.count_if(~F.col("gap")), F.count_if("gap"), F.sum(F.when(F.col("gap"), F.col("end_byte") - F.col("first_byte")))).first()
+    if gaps or records_ != written:
+        raise RuntimeError(f"{records_} of {written} records could be read back; {gaps} gaps of {lost or 0} bytes are logged in {log}")
     number = lambda c: F.try_element_at(F.regexp_extract_all(c, F.lit(r"<urn:page:(-?\d+)>"), 1), F.lit(1)).cast("long")
-    return read_archives(spark, path).where("not gap").select(
-        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
-    )
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
