@@ -7,7 +7,6 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from struct import pack as pack_ids
 
 import numpy as np
@@ -43,7 +42,8 @@ class Known(dict):
 class Encoder:
     """Texts to token ids as little-endian 32-bit bytes.
 
-    The vocabulary's own pre-tokenizer never joins what its pattern separates, so that separate strings are looked up.
+    The vocabulary's own pre-tokenizer never joins what its pattern separates, so that separate strings are looked up. A
+    text that holds an added token, such as <|endoftext|>, goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str, room: int = 800_000):
@@ -52,13 +52,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         # The same for texts of Latin-1 without ODD, for which the faster module has the same classes.
         self.latin = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
         self.known = Known(self.tokenizer, room)
 
     def encode(self, text: str) -> bytes:
+        if self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(text) <= SLICE:
             return self._part(text)
         parts, at = [], 0
@@ -80,10 +83,15 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, pattern.findall(text)))
 
 
-@lru_cache(maxsize=2)
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def encoder_of(path: str) -> Encoder:
     """One encoder for all tasks of a worker."""
-    return Encoder(path)
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
