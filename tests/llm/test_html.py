@@ -29,6 +29,31 @@ def test_blocks():
     assert H.blocks_of("") == [] and [b.text for b in H.blocks_of("a < b")] == ["a < b"]
 
 
+def test_broken_markup_loses_no_text():
+    texts = lambda page: [b.text for b in H.blocks_of(page)]
+    assert texts("<p><a href=x title=don't>Hello</a> world</p><p>it's <b>fine</b> here</p>") == ["Hello world", "it's fine here"]
+    assert texts("<article><p>a<select><option>1<option>2</p><p>b</p><select><option>x</select>c</article>") == ["a", "b", "c"]
+    assert texts("<div>a<svg><path d='M0 0'><p>b</p></div><p>c<object data=x><div>d</div>") == ["a", "b", "c", "d"]
+    assert texts('<p>a<br title="x>y">b</p><p class=\'q">r\'>c</p>') == ["a b", "c"]
+    assert texts('<p title="never ended>a</p><p>b</p>') == ["a", "b"]
+    assert texts("<p>a</p><!-- open <p>b</p>") == ["a"] and texts("<p>x <b y") == ["x <b y"]
+
+
+def test_broken_markup_is_read_in_one_pass():
+    import time
+
+    began = time.time()
+    for unit in ("<", "<a ", '<a b="', '<a b="x>"', "<a b='", "<!", "</", "<p title=\"'>", "<svg>", "<select>"):
+        H.blocks_of(unit * 40_000)
+        H.blocks_of("<p>" + unit * 40_000 + "</p>")
+    assert time.time() - began < 30
+
+
+def test_bounds_of_the_sample(pages):
+    small = H.learn(pages[:5], blocks=8)
+    assert H.scores([H.Features().of(H.blocks_of(pages[0]))], small)[0].shape == (len(H.blocks_of(pages[0])),)
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     w = {"x": rng.normal(size=(5, 4 * H.HIDDEN)) * 0.3, "h": rng.normal(size=(H.HIDDEN, 4 * H.HIDDEN)) * 0.1, "b": rng.normal(size=4 * H.HIDDEN) * 0.1}

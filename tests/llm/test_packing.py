@@ -9,10 +9,16 @@ from corpuslink.llm.packing import Encoder, best_two_fit, cut, pack
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+LOADED = None
 
 
 def whole(encoder, text):
-    return np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    """By a tokenizer as it is loaded."""
+    from tokenizers import Tokenizer
+
+    global LOADED
+    LOADED = LOADED or Tokenizer.from_file(PATH)
+    return np.array(LOADED.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_ids_are_the_tokenizers():
@@ -59,6 +65,60 @@ def test_smallest_gives_way_to_two():
     assert plan[0] == ([60, 22, 17], 1)
 
 
+def by_hand(lengths, capacity):
+    """Best-two-fit on a list of pieces, one bin at a time."""
+    left, bins = sorted(lengths), []
+    while left:
+        bin_, gap = [], capacity
+        while fits := [x for x in left if x <= gap]:
+            left.remove(max(fits))
+            bin_.append(max(fits))
+            gap -= max(fits)
+        if gap and len(bin_) > 1:
+            room = gap + bin_[-1]
+            pairs = [(a + b, a, b) for k, a in enumerate(left) for b in left[k + 1 :] if a + b <= room]
+            best = max((t for t, _, _ in pairs), default=0)
+            if best > bin_[-1]:
+                left.append(bin_.pop())
+                _, a, b = next(p for p in pairs if p[0] == best)
+                bin_ += [a, b]
+                left.remove(a)
+                left.remove(b)
+                left.sort()
+        bins.append(sum(bin_))
+    return sorted(bins)
+
+
+def test_plan_against_single_bins():
+    rng = random.Random(8)
+    for _ in range(60):
+        lengths = [rng.randint(1, 40) for _ in range(rng.randint(1, 60))]
+        plan = best_two_fit(dict(Counter(lengths)), 40)
+        bins, want = sorted(sum(x) for x, n in plan for _ in range(n)), by_hand(lengths, 40)
+        assert len(bins) == len(want) and sum(bins) == sum(want)
+
+
+def test_workers_without_the_package_on_their_path(tmp_path):
+    """The functions then travel with their code."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from corpuslink.llm import packing, simhash
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://" + sys.argv[2]).getOrCreate()
+docs = spark.createDataFrame([(k, "some words of text " * k) for k in range(9)], "doc_id long, text string")
+print("ROWS", packing.pack(docs).count(), simhash.simhash_components(docs).count())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    there = os.pathsep.join(p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and os.path.abspath(p) != root)
+    said = subprocess.run([sys.executable, "-c", code, root, str(tmp_path)], env=os.environ | {"PYTHONPATH": there}, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "ROWS 9 9" in said.stdout, said.stderr[-2000:]
+
+
 def test_pieces(spark, messy):
     e = Encoder(PATH)
     rows = pack(messy, 64, path=PATH).collect()
