@@ -46,7 +46,7 @@ class Encoder:
     text that holds an added token, such as <|endoftext|>, goes to the tokenizer as it is.
     """
 
-    def __init__(self, path: str, room: int = 800_000):
+    def __init__(self, path: str, room: int = 400_000):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer

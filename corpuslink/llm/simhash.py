@@ -17,13 +17,15 @@ from .common import connected_components, materialize
 SEED = 42
 #: Byte b -> eight byte lanes with its bits, the highest first: 255 bytes can be summed before a lane runs over.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+#: Shingles that are hashed at once.
+SLICE = 1 << 16
 #: Rows of a trie beyond which its node pairs some levels down become tries of their own.
 HOT = 20_000
 HOT_LEVELS = 10
 #: Rows of tries that one group of tasks joins.
-GROUP = 100_000
+GROUP = 50_000
 #: Node pairs that are held at once.
-FRONT = 400_000
+FRONT = 50_000
 #: Minima that name a band, and classes of a trie beyond which each is first compared with the first of them.
 MINIMA = 2
 FAMILY = 32
@@ -42,10 +44,14 @@ def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < size:
-        shingles = iter((b" ".join(words),))
-    else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(size))))
-    return np.frombuffer(b"".join(map(partial(xxh64_digest, seed=SEED), shingles)), ">u8").astype(np.uint64)
+        words = [b" ".join(words)]
+        size = 1
+    out = np.empty(len(words) - size + 1, np.uint64)
+    for k in range(0, len(out), SLICE):  # the digests of a very long text are never held at once
+        part = words[k : k + SLICE + size - 1]
+        shingles = map(b" ".join, zip(*(part[j:] for j in range(size))))
+        out[k : k + SLICE] = np.frombuffer(b"".join(map(partial(xxh64_digest, seed=SEED), shingles)), ">u8")
+    return out
 
 
 def _mixed(h: np.ndarray, lane: int | np.ndarray) -> np.ndarray:
