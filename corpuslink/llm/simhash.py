@@ -29,8 +29,11 @@ FRONT = 50_000
 #: Minima that name a band, and classes of a trie beyond which each is first compared with the first of them.
 MINIMA = 2
 FAMILY = 32
+#: Words of further SimHash bits that a class carries, and shingles from which on these are telling enough to drop a pair.
+SKETCH = ("s0", "s1", "s2", "s3")
+TELLING = 32
 #: Spanning forests that are handed on in each round where pairs are verified later; None hands on all pairs that are left.
-ROUNDS = (3, 12, None)
+ROUNDS = (3, None)
 
 
 # -- fingerprints ------------------------------------------------------------------------------------------------
@@ -229,12 +232,12 @@ class Forest:
 # -- the distributed join ----------------------------------------------------------------------------------------
 
 
-def trie_join(tries: DataFrame, bits: int, budget: int, near: int | None = None, layers: int | None = 1, brief: bool = False) -> DataFrame:
+def trie_join(tries: DataFrame, bits: int, budget: int, near: tuple[int, float] | None = None, layers: int | None = 1, brief: bool = False) -> DataFrame:
     """Edges (a, b) that connect all ids whose values in one trie differ in at most `budget` bits.
 
-    tries: trie long (which one), value long (`bits` bits, 63 at most), id long, and if near is given a sketch of two longs
-    s1 and s2, of which a pair may differ in `near` bits at the most, and a label long: ids of one label are connected
-    already. A pair of a trie is given through `layers` spanning forests, so that a dense family isn't spelled out in all its
+    tries: trie long (which one), value long (`bits` bits, 63 at most), id long, and if near = (bits, similarity) is given the
+    longs of SKETCH, of which a pair may differ in so many bits at the most if both sets have TELLING elements, their number
+    n, which may differ by the similarity, and a label long: ids of one label are connected already. A pair of a trie is given through `layers` spanning forests, so that a dense family isn't spelled out in all its
     pairs, or as it is if layers is None. With near, an edge (a, a) says that pairs of a were left out.
 
     The rows of a trie beyond HOT are dealt to its node pairs HOT_LEVELS down, each with the bits in which they differ so
@@ -242,7 +245,7 @@ def trie_join(tries: DataFrame, bits: int, budget: int, near: int | None = None,
     of parts is a cell of its own. So no task holds more than a few times HOT rows of one trie, and no pair is lost.
     """
     hot, levels = HOT, HOT_LEVELS
-    columns = ["trie", "value", "id"] + (["s1", "s2", "label"] if near else [])
+    columns = ["trie", "value", "id"] + ([*SKETCH, "n", "label"] if near else [])
     tries = tries.select(*columns)
     crowded = materialize(tries.groupBy("trie").count().where(F.col("count") > hot).select("trie"))
     masks = [m for m in range(1 << levels) if m.bit_count() <= budget]
@@ -299,7 +302,7 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _join(frame: pd.DataFrame, bits: int, levels: int, budget: int, near: int | None, layers: int | None, brief: bool) -> Iterator[pd.DataFrame]:
+def _join(frame: pd.DataFrame, bits: int, levels: int, budget: int, near: tuple[int, float] | None, layers: int | None, brief: bool) -> Iterator[pd.DataFrame]:
     values = frame["value"].to_numpy().astype(np.uint64)
     ids, sides, cells, errors, crossed = (frame[c].to_numpy() for c in ("id", "side", "cell", "errors", "crossed"))
     new = np.r_[True, np.logical_or.reduce([np.diff(frame[c].to_numpy()) != 0 for c in ("trie", "cell", "part")])]
@@ -311,7 +314,8 @@ def _join(frame: pd.DataFrame, bits: int, levels: int, budget: int, near: int |
                 roots.append((low, high, low, high, int(errors[low])))
         elif 0 < (right := int(sides[low:high].sum())) < high - low:
             roots.append((low, high - right, high - right, high, int(errors[low])))
-    sketch = frame[["s1", "s2"]].to_numpy().astype(np.int64).view(np.uint64) if near else None
+    sketch = np.ascontiguousarray(frame[list(SKETCH)].to_numpy()).view(np.uint64) if near else None
+    sizes = frame["n"].to_numpy() if near else None
     labels = frame["label"].to_numpy() if near else None
     forest = Forest(layers or 1)
     more: list[np.ndarray] | None = [] if brief else None
@@ -321,7 +325,8 @@ def _join(frame: pd.DataFrame, bits: int, levels: int, budget: int, near: int |
         for i, j, far in trie_pairs(values & np.uint64((1 << depth) - 1) if deep else values, part, depth, budget, more, labels):
             if near:
                 far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-                ok = far <= near
+                low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+                ok = ((far <= near[0]) | (low < TELLING)) & (low >= near[1] * high)
                 i, j, far = i[ok], j[ok], far[ok]
             if layers:
                 forest.add(i, j, far)
@@ -385,10 +390,10 @@ def bands_for(similarity: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**MINIMA))
 
 
-def most_differing(bits: int, similarity: float) -> int:
-    """Bits in which SimHashes of so many bits differ at this similarity, 4.5 standard deviations above the mean."""
+def most_differing(bits: int, similarity: float, deviations: float) -> int:
+    """Bits in which SimHashes of so many bits differ at this similarity, so many standard deviations above the mean."""
     p = differing_share(similarity)
-    return int(bits * p + 4.5 * (bits * p * (1 - p)) ** 0.5)
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
 def minima(h: np.ndarray, bands: int) -> np.ndarray:
@@ -404,25 +409,28 @@ def minima(h: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, bands: int, key: str, text: str) -> DataFrame:
-    """doc_id, own (a hash of the set of shingles), value (63 bits of its SimHash), s1 and s2 (128 others), tries (its bands)."""
+    """doc_id, own (a hash of the set of shingles), n (its size), value (63 bits of its SimHash), SKETCH (others), tries (its bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            own, fps, keys = [], [], []
+            own, fps, keys, sizes = [], [], [], []
             for raw in batch.column(1):
                 h = np.unique(shingle_hashes(raw.as_py(), size))
                 own.append(xxh64_intdigest(h.tobytes()))
-                fps.append(fingerprint(h, 3))
+                fps.append(fingerprint(h, 1 + len(SKETCH)))
                 keys.append(minima(h, bands))
+                sizes.append(len(h))
             n = batch.num_rows
-            fps = np.array(fps, np.uint64).reshape(n, 3)
+            fps = np.array(fps, np.uint64).reshape(n, 1 + len(SKETCH))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * n + 1, bands), pa.int32()), pa.array(np.array(keys, np.int64).reshape(-1)))
-            numbers = [np.array(own, np.uint64).view(np.int64), (fps[:, 0] >> np.uint64(1)).view(np.int64), fps[:, 1].copy().view(np.int64), fps[:, 2].copy().view(np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, numbers), lists], ["doc_id", "own", "value", "s1", "s2", "tries"])
+            fps[:, 0] >>= np.uint64(1)
+            numbers = [np.array(own, np.uint64).view(np.int64), np.array(sizes, np.int64), *np.ascontiguousarray(fps.T).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, numbers), lists], names)
 
-    schema = "doc_id long, own long, value long, s1 long, s2 long, tries array<long>"
+    names = ["doc_id", "own", "n", "value", *SKETCH, "tries"]
+    schema = ", ".join(f"{c} long" for c in names[:-1]) + ", tries array<long>"
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, schema)
 
 
@@ -432,7 +440,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, *,
     Texts with equal sets of shingles are one class, compared once. A class stands in a few tries, each of the classes that
     share a band of minima of their shingles (so many bands that two sets at the least similarity meet with the recall
     wanted); the work per text is the same at every number of texts. In each trie the self-join finds SimHashes within the
-    error budget of the similarity, and 128 further bits drop chance pairs on the spot. What is found is verified by the
+    error budget of the similarity, and further bits and the sizes of the sets drop chance pairs on the spot. What is found is verified by the
     exact Jaccard similarity of the shingles, and components are formed of the pairs that pass: first of classes in tries of
     over FAMILY with the first of their trie, so that a dense family carries one label and its node pairs are passed over;
     then of a few spanning forests; then in further ROUNDS of the pairs left out whose texts verified links have not
@@ -441,9 +449,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, *,
     Null and empty texts are copies of each other; rows of one doc_id count as one document, which has no link to itself;
     a null doc_id takes no part. Only key and text are read. An empty table gives no rows.
     """
-    bands, budget, near = bands_for(similarity, recall), most_differing(63, similarity), most_differing(128, similarity)
+    bands, budget, near = bands_for(similarity, recall), most_differing(63, similarity, 4.5), most_differing(64 * len(SKETCH), similarity, 3.7)
     rows = materialize(sketches(docs.where(F.col(key).isNotNull()), size, bands, key, text))
-    classes = materialize(rows.groupBy("own", "value").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("s1", "s2", "tries")]))
+    classes = materialize(rows.groupBy("own", "value").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("n", *SKETCH, "tries")]))
     copies = rows.join(classes.select("own", "value", "id"), ["own", "value"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
 
@@ -462,21 +470,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, *,
         one, two = some.select(F.col("id").alias("a"), F.col("t").alias("t1")), some.select(F.col("id").alias("b"), F.col("t").alias("t2"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "t1", "t2").mapInArrow(alike, "a long, b long")
 
-    dealt = classes.select(F.explode("tries").alias("trie"), "id", "value", "s1", "s2")
-    first = materialize(
-        dealt.groupBy("trie").agg(F.count("*").alias("n"), F.min(F.struct("id", "value", "s1", "s2")).alias("p")).where(F.col("n") > FAMILY)
-    )
-    apart = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}")))
-    star = dealt.join(first, "trie").where((F.col("id") != F.col("p.id")) & (apart("value") <= budget) & (apart("s1") + apart("s2") <= near))
+    columns = ["id", "value", "n", *SKETCH]
+    dealt = classes.select(F.explode("tries").alias("trie"), *columns)
+    first = materialize(dealt.groupBy("trie").agg(F.count("*").alias("k"), F.min(F.struct(*columns)).alias("p")).where(F.col("k") > FAMILY))
+    apart = lambda *c: sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"p.{x}"))) for x in c)
+    low, high = F.least("n", "p.n"), F.greatest("n", "p.n")
+    alike_at_sight = (apart("value") <= budget) & ((apart(*SKETCH) <= near) | (low < TELLING)) & (low >= similarity * high)
+    star = dealt.join(first, "trie").where((F.col("id") != F.col("p.id")) & alike_at_sight)
     tested = materialize(star.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct())
     links = materialize(copies.union(verified(tested)))
     components = connected_components(links)
     left = classes
     for layers in ROUNDS:
         named = materialize(left.join(components, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
-        dealt = named.select(F.explode("tries").alias("trie"), "id", "value", "s1", "s2", "label")
+        dealt = named.select(F.explode("tries").alias("trie"), *columns, "label")
         mixed = materialize(dealt.groupBy("trie").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("trie"))
-        found = materialize(trie_join(dealt.join(mixed, "trie", "left_semi"), 63, budget, near, layers, brief=left is classes))
+        found = materialize(trie_join(dealt.join(mixed, "trie", "left_semi"), 63, budget, (near, similarity), layers, brief=left is classes))
         pairs = materialize(found.where("a < b").join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             tested = tested.union(pairs)
