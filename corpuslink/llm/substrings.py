@@ -15,6 +15,8 @@ from .common import materialize
 #: Words that a task holds at once, and elements that a bucket of the index should hold.
 CHUNK = 400_000
 BUCKET = 4_000_000
+#: Parts by the highest two bits of the hash in which a bucket is sorted, so that a task holds little besides its elements.
+RANGES = 4
 ROWS = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 DDL = "part int, blob binary"
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
@@ -193,13 +195,22 @@ def _meet(sent: DataFrame, widths: tuple[int, ...], buckets: int) -> DataFrame:
         parts, blobs = table.column(0).to_numpy(), table.column(1)
         if not len(parts) or parts[0] >= buckets:  # hits on their way
             return pa.table({"part": pa.array(parts - buckets, pa.int32()), "blob": blobs}, schema=ROWS)
-        all_ = [_unpack(b.as_py(), widths) for b in blobs]
-        h = [np.concatenate([x[0][k] for x in all_]) for k in range(len(widths))]
-        flag, keys, at = (np.concatenate([x[k] for x in all_]) for k in (1, 2, 3))
-        order, group = _groups(h)
-        size, flags = np.bincount(group), np.bincount(group, flag[order])
-        hit = order[((size > 1) & (flags > 0))[group]]
-        rows = list(_hit_rows(keys[hit], at[hit], buckets, 0)) if len(hit) else []
+        held: list[list] = [[] for _ in range(RANGES)]
+        for b in blobs:
+            h, flag, keys, at = _unpack(b.as_py(), widths)
+            own, at = h[0] >> np.uint64(62), at.astype(np.int32)
+            for k in range(RANGES):
+                m = own == k
+                held[k].append((*(x[m] for x in h), flag[m], keys[m], at[m]))
+        rows = []
+        for k in range(RANGES):
+            *h, flag, keys, at = map(np.concatenate, zip(*held[k]))
+            held[k] = []
+            order, group = _groups(h)
+            size, flags = np.bincount(group), np.bincount(group, flag[order])
+            hit = order[((size > 1) & (flags > 0))[group]]
+            if len(hit):
+                rows += _hit_rows(keys[hit], at[hit].astype(np.int64), buckets, 0)
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())}, schema=ROWS)
 
     return sent.groupBy("part").applyInArrow(run, DDL)
