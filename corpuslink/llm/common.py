@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
+BATCH = "8m"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,10 +23,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """The rows of df, written once as Parquet to the shared folder and read back.
 
     It cuts the lineage: a lost executor costs the re-reading of a file, not of the jobs before it. The files stay until
-    the folder of the application is removed.
+    the folder of the application is removed. What is sent to Python meanwhile goes in batches of BATCH, since an executor
+    holds two or three of them outside of its heap for each task.
     """
     spark, path = df.sparkSession, workspace(df.sparkSession)
-    df.write.parquet(path)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
     spark.sparkContext._jvm.System.gc()  # what the write shuffled is no longer referred to, and Spark then removes it
     return spark.read.schema(df.schema).parquet(path)
 

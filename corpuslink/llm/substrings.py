@@ -14,7 +14,7 @@ from .common import materialize
 
 #: Words that a task holds at once, and elements that a bucket of the index should hold.
 CHUNK = 400_000
-BUCKET = 4_000_000
+BUCKET = 2_000_000
 #: Parts by the highest two bits of the hash in which a bucket is sorted, so that a task holds little besides its elements.
 RANGES = 4
 ROWS = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
