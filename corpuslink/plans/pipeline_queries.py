@@ -221,7 +221,7 @@ def i07_related(t):
     return six(I.related(_links(t), t.embeddings.where("vec_id % 7 = 0").selectExpr("vec_id as id"), 3), "similarity")
 
 
-@query("select label::bigint as source_id, count(*) as n_chunks, count(*) filter (where vec_id % 3 = 0) as n_new, count(*) filter (where vec_id % 3 <> 0) as n_reused from embeddings group by 1")
+@query("select source_id, count(*) as n_chunks, count(*) filter (where chunk_id % 3 = 0) as n_new, count(*) filter (where chunk_id % 3 <> 0) as n_reused from m_vchunks group by 1")
 def d10_extraction_stats(t):
     return I.extraction_stats(t.m_vchunks.selectExpr("source_id", "chunk_id", "chunk_id % 3 = 0 as is_new"))
 
