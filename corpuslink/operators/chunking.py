@@ -6,44 +6,59 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions.text import HEADING, is_heading_only, normalize_markdown, token_count
+from ..functions.text import HEADING, TOKEN_PATTERN, token_count
 
+TOKEN = regex.compile(TOKEN_PATTERN.replace(r"\s", " \t\n\x0b\f\r"))  # white space as Spark takes it
+SECTION = re.compile(r"\s*#{1,3}(?: |\s*$)")
+#: Characters a token, where a size in tokens bounds characters.
+CHARS = 4
 SENTENCE = r"(?<=[.!?])\s+|\n{2,}"
 HIGH_STAKES = ("legal", "financial", "medical")
 
 
-def select_strategy(structured: Column, consistent: Column, kind: Column, uniform: Column) -> Column:
-    return (
-        F.when(structured & consistent, "markdown_header").when(kind.isin("transcript", "qa_pairs"), "semantic").when(uniform & ~structured, "recursive").otherwise("semantic")
-    )
+def select_strategy(profile: Column) -> Column:
+    """markdown_header, semantic or recursive by the profile that parse_profile gives."""
+    headed = (profile["structure_type"] == "well-structured") & (profile["heading_consistency"] == "consistent")
+    plain = (profile["content_density"] == "uniform") & (profile["structure_type"] == "unstructured")
+    return F.when(headed, "markdown_header").when(profile["primary_content_type"].isin("transcript", "qa_pairs"), "semantic").when(plain, "recursive").otherwise("semantic")
 
 
-def split_semantic(text: Column, max_tokens: int = 400) -> Column:
-    """Sentences packed greedily up to max_tokens and joined by spaces; a longer sentence stays whole.
+def sentences(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, SENTENCE), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
-    One fold over the sentences of a row: what is full, what is being filled and its tokens.
-    """
-    pieces = F.filter(F.transform(F.split(text, SENTENCE), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
-    sized = F.transform(pieces, lambda x: F.struct(x.alias("t"), token_count(x).alias("n")))
-    # The fold only numbers the chunks: what grows is an array of small numbers, not of texts.
-    numbered = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")),
-        lambda s, x: F.when((s["n"] > 0) & (s["n"] + x["n"] > max_tokens), F.struct((s["chunk"] + 1).alias("chunk"), x["n"].alias("n"), F.array_append(s["out"], s["chunk"] + 1).alias("out")))
-        .otherwise(F.struct(s["chunk"].alias("chunk"), (s["n"] + x["n"]).alias("n"), F.array_append(s["out"], s["chunk"]).alias("out"))),
-    )["out"]
-    return F.arrays_zip(pieces.alias("t"), numbered.alias("c"))
+
+def _starts(sizes: Column, most: Column) -> Column:
+    """The places, from 1, at which greedy runs of at most `most` begin. The fold carries numbers; only starts are appended."""
+    def step(s, n):
+        fresh = (F.size(s["starts"]) == 0) | (s["sum"] + n > most)
+        return F.struct(
+            (s["at"] + 1).alias("at"), F.when(fresh, n).otherwise(s["sum"] + n).alias("sum"),
+            F.when(fresh, F.array_append(s["starts"], s["at"])).otherwise(s["starts"]).alias("starts"),
+        )
+
+    return F.aggregate(sizes, F.struct(F.lit(1).alias("at"), F.lit(0).alias("sum"), F.array().cast("array<int>").alias("starts")), step)["starts"]
+
+
+def _semantic(rows: DataFrame, keys: list[str], max_tokens: Column) -> DataFrame:
+    """keys, piece_no and content: each text is cut within its row, without a shuffle."""
+    cut = rows.select(*keys, max_tokens.alias("_most"), sentences(F.col("text")).alias("_s"))
+    sized = cut.withColumn("_at", _starts(F.transform("_s", token_count), F.col("_most")))
+    run = lambda start, i: F.array_join(F.slice("_s", start, F.coalesce(F.get("_at", i + 1), F.size("_s") + 1) - start), " ")
+    return sized.select(*keys, F.posexplode(F.transform("_at", run)).alias("piece_no", "content"))
 
 
 def semantic_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = 400) -> DataFrame:
-    """key, chunk_index, content and token_count of the semantic chunks of each document."""
-    rows = docs.select(F.col(key).alias("_key"), F.posexplode(split_semantic(F.col(text), max_tokens)).alias("pos", "p"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col("p.t").alias("t")))), lambda x: x["t"]), " ")
-    out = rows.groupBy("_key", F.col("p.c").alias("chunk_index")).agg(joined.alias("content"))
-    return out.select(F.col("_key").alias(key), "chunk_index", "content", token_count(F.col("content")).alias("token_count"))
+    """key, chunk_index, content and token_count: sentences packed greedily up to max_tokens and joined by spaces.
+
+    A longer sentence stays whole. A null or empty text has no chunk.
+    """
+    out = _semantic(docs.select(F.col(key), F.col(text).alias("text")), [key], F.lit(max_tokens))
+    return out.select(key, F.col("piece_no").alias("chunk_index"), "content", token_count(F.col("content")).alias("token_count"))
 
 
 def recursive_pieces(text: str, size: int = 1600, overlap: int = 320, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
@@ -80,72 +95,100 @@ def recursive_pieces(text: str, size: int = 1600, overlap: int = 320, separators
     return [x for x in out if x]
 
 
-def recursive_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1600, overlap: int = 320) -> DataFrame:
+def _tokens(text: str) -> int:
+    return len(TOKEN.findall(text))
+
+
+def markdown_pieces(text: str, max_tokens: int = 400) -> list[str]:
+    """Sections at headings of level 1 to 3 outside of fences; longer ones are cut as recursive_pieces does.
+
+    Pieces that are headings only go in front of the next body; trailing ones stand alone.
+    """
+    sections: list[list[str]] = [[]]
+    fence = ""
+    for line in text.split("\n"):
+        mark = line.strip()[:3]
+        if mark in ("```", "~~~") and fence in ("", mark):
+            fence = "" if fence else mark
+        elif not fence and SECTION.match(line):
+            sections.append([])
+        sections[-1].append(line)
+    out: list[str] = []
+    waiting: list[str] = []
+    for body in ("\n".join(lines) for lines in sections):
+        for piece in recursive_pieces(body, CHARS * max_tokens, CHARS * max_tokens // 5) if _tokens(body) > max_tokens else [body]:
+            piece = "\n".join(line.rstrip() for line in piece.strip().split("\n"))
+            if not piece:
+                continue
+            waiting.append(piece)
+            if not all(re.match(HEADING, line.strip()) for line in piece.split("\n") if line.strip()):
+                out.append("\n\n".join(waiting))
+                waiting = []
+    return out + ["\n\n".join(waiting)] if waiting else out
+
+
+def split_texts(rows: DataFrame, keys: list[str], max_tokens: int = 400) -> DataFrame:
+    """keys, piece_no and content of (keys, text, strategy): each text cut by its strategy, within its row.
+
+    Sections by headings always are at most 400 tokens, whatever max_tokens is. Null and empty texts have no piece.
+    """
+    fields = [rows.schema[k] for k in keys]
+    schema = StructType([*fields, StructField("piece_no", IntegerType()), StructField("content", StringType())])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, i, c) for k, t in zip(frame["k"], frame["t"]) for i, c in enumerate(recursive_pieces(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=["k", "chunk_index", "content"])
+            out = []
+            for key, text, strategy in zip(frame[keys].itertuples(index=False, name=None), frame["text"], frame["strategy"]):
+                pieces = markdown_pieces(text) if strategy == "markdown_header" else recursive_pieces(text, CHARS * max_tokens)
+                out += [(*key, n, piece) for n, piece in enumerate(pieces)]
+            yield pd.DataFrame(out, columns=schema.names)
 
-    out = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "k long, chunk_index int, content string")
-    return out.select(F.col("k").alias(key), "chunk_index", "content", token_count(F.col("content")).alias("token_count"))
+    known = rows.where("text is not null").select(*dict.fromkeys([*keys, "text", "strategy"]))
+    return _semantic(known.where("strategy = 'semantic'"), keys, F.lit(max_tokens)).unionByName(known.where("strategy <> 'semantic'").mapInPandas(run, schema))
 
 
-def markdown_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = 400) -> DataFrame:
-    """Sections at headings of level 1 to 3; pieces that are headings only go in front of the next body, trailing ones stand alone.
+def recursive_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1600) -> DataFrame:
+    """key, chunk_index, content and token_count of pieces of at most `size` characters, which overlap by up to 320."""
+    return _one_strategy(docs, key, text, "recursive", size // CHARS)
 
-    Sections longer than max_tokens are cut at line ends, greedily.
-    """
-    lines = docs.select(F.col(key).alias("_key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    by_line = Window.partitionBy("_key").orderBy("pos")
-    section = F.sum(F.col("line").rlike(r"^#{1,3}\s+").cast("int")).over(by_line)
-    sections = lines.withColumn("section", section).groupBy("_key", "section").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body")
-    )
-    cut = sections.select("_key", "section", F.posexplode(_line_parts(F.col("body"), max_tokens)).alias("part", "body"))
-    pieces = cut.select("_key", "section", "part", normalize_markdown(F.col("body")).alias("body")).where("body <> ''")
-    pieces = pieces.withColumn("alone", is_heading_only(F.col("body")))
-    rest = Window.partitionBy("_key").orderBy("section", "part").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    place = F.struct("section", "part")
-    home = F.coalesce(F.first(F.when(~F.col("alone"), place), ignorenulls=True).over(rest), place)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "part", "body"))), lambda x: x["body"]), "\n\n")
-    merged = pieces.withColumn("home", home).groupBy("_key", "home").agg(joined.alias("content"))
-    index = F.row_number().over(Window.partitionBy("_key").orderBy("home")) - 1
-    return merged.select(F.col("_key").alias(key), index.alias("chunk_index"), "content", token_count(F.col("content")).alias("token_count"))
-
-
-def _line_parts(body: Column, max_tokens: int) -> Column:
-    lines = F.split(body, "\n")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"))
-    folded = F.aggregate(
-        lines, start,
-        lambda s, x: F.when(s["cur"].isNull(), F.struct(s["done"].alias("done"), x.alias("cur"), token_count(x).alias("n")))
-        .when(s["n"] + token_count(x) > max_tokens, F.struct(F.array_append(s["done"], s["cur"]).alias("done"), x.alias("cur"), token_count(x).alias("n")))
-        .otherwise(F.struct(s["done"].alias("done"), F.concat(s["cur"], F.lit("\n"), x).alias("cur"), (s["n"] + token_count(x)).alias("n"))),
-    )
-    return F.array_append(folded["done"], folded["cur"])
 
+def markdown_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return _one_strategy(docs, key, text, "markdown_header", 400)
+
+
+def _one_strategy(docs: DataFrame, key: str, text: str, strategy: str, max_tokens: int) -> DataFrame:
+    out = split_texts(docs.select(key, F.col(text).alias("text"), F.lit(strategy).alias("strategy")), [key], max_tokens)
+    return out.select(key, F.col("piece_no").alias("chunk_index"), "content", token_count(F.col("content")).alias("token_count"))
 
-def chunk_documents(docs: DataFrame, max_tokens: int = 400) -> DataFrame:
-    """Each document by its own strategy (column strategy): semantic, recursive or markdown_header."""
-    by = {"semantic": semantic_chunks, "markdown_header": markdown_chunks}
-    parts = [f(docs.where(F.col("strategy") == name), max_tokens=max_tokens).withColumn("strategy", F.lit(name)) for name, f in by.items()]
-    parts.append(recursive_chunks(docs.where("strategy = 'recursive'"), size=4 * max_tokens, overlap=max_tokens * 4 // 5).withColumn("strategy", F.lit("recursive")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
+def chunk_documents(docs: DataFrame, key: str = "doc_id", max_tokens: int = 400, parent_tokens: int = 2000) -> DataFrame:
+    """The chunks of documents (key, text, profile), each by the strategy of its profile; long sections in two levels.
 
-def hierarchical_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", parent_tokens: int = 2000, child_tokens: int = 400) -> DataFrame:
-    """Parents of parent_tokens and below each its children; one running index per document, each child with its parent's."""
-    parents = semantic_chunks(docs, key, text, parent_tokens).withColumnRenamed("chunk_index", "parent_no")
-    pair = parents.select(F.col(key), "parent_no", "content", F.struct(F.col(key), "parent_no").alias("place"))
-    children = semantic_chunks(pair, "place", "content", child_tokens).select(F.col(f"place.{key}").alias(key), F.col("place.parent_no").alias("parent_no"), F.col("chunk_index").alias("child_no"), "content")
-    both = parents.select(key, "parent_no", F.lit(-1).alias("child_no"), "content").unionByName(children)
-    order = Window.partitionBy(key).orderBy("parent_no", "child_no")
-    numbered = both.withColumn("chunk_index", F.row_number().over(order) - 1)
-    parent = F.first("chunk_index").over(Window.partitionBy(key, "parent_no").orderBy("child_no"))
-    return numbered.select(key, "chunk_index", F.when(F.col("child_no") >= 0, parent).alias("parent_index"), "content", token_count(F.col("content")).alias("token_count"))
+    Columns: key, chunk_index, parent_index, strategy, base_strategy, content, token_count. Propositions of documents in a
+    high-stakes domain are put in by expand_propositions.
+    """
+    rows = docs.select(key, "text", select_strategy(F.col("profile")).alias("strategy"), (F.col("profile")["avg_section_length"] == "long").alias("_long"))
+    flat = split_texts(rows.where("not _long"), [key, "strategy"], max_tokens)
+    no = F.lit(None)
+    one = flat.select(key, F.col("piece_no").alias("chunk_index"), no.cast("int").alias("parent_index"), "strategy", no.cast("string").alias("base_strategy"), "content")
+    out = one.unionByName(hierarchical_chunks(rows.where("_long"), key, parent_tokens=parent_tokens, child_tokens=max_tokens).drop("token_count"))
+    return out.withColumn("token_count", token_count(F.col("content")))
+
+
+def hierarchical_chunks(docs: DataFrame, key: str = "doc_id", parent_tokens: int = 2000, child_tokens: int = 400) -> DataFrame:
+    """Parents of parent_tokens and below each its children, both by the strategy of the document (key, text, strategy).
+
+    One running index per document; a child has its parent's index, the strategy `hierarchical` and its base strategy.
+    """
+    parents = split_texts(docs, [key, "strategy"], parent_tokens).withColumnRenamed("piece_no", "parent_no")
+    children = split_texts(parents.withColumnRenamed("content", "text"), [key, "strategy", "parent_no"], child_tokens)
+    both = parents.withColumn("child_no", F.lit(-1)).unionByName(children.withColumnRenamed("piece_no", "child_no"))
+    numbered = both.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy("parent_no", "child_no")) - 1)
+    child = F.col("child_no") >= 0
+    return numbered.select(
+        key, "chunk_index", F.when(child, F.col("chunk_index") - F.col("child_no") - 1).alias("parent_index"), F.when(child, "hierarchical").otherwise(F.col("strategy")).alias("strategy"),
+        F.when(child, F.col("strategy")).alias("base_strategy"), "content", token_count(F.col("content")).alias("token_count"),
+    )
 
 
 def expand_propositions(chunks: DataFrame, propositions: DataFrame) -> DataFrame:

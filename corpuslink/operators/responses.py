@@ -10,8 +10,12 @@ from ..functions.text import normalize_text, strip_code_fences
 # Precedence and weights of the variants of a query.
 VARIANTS = ("original", "hyde", "expanded", "step_back", "decomposed")
 WEIGHTS = {"original": 1.0, "decomposed": 1.0, "expanded": 0.85, "step_back": 0.75, "hyde": 0.65}
-PROFILE = "structured boolean, consistent boolean, kind string, uniform boolean, domain string, avg_section_length string, language string, new_type boolean"
-DEFAULT_PROFILE = {"structured": False, "consistent": False, "kind": "prose", "uniform": False, "domain": "general", "avg_section_length": "medium", "language": "en", "new_type": False}
+# The fields of a document profile and their defaults.
+DEFAULT_PROFILE = {
+    "structure_type": "unstructured", "heading_consistency": "none", "content_density": "uniform", "primary_content_type": "prose",
+    "avg_section_length": "medium", "has_tables": False, "has_code_blocks": False, "domain": "general",
+}
+PROFILE = ", ".join(f"{k} {'boolean' if v is False else 'string'}" for k, v in DEFAULT_PROFILE.items())
 
 
 def _objects(text: Column) -> Column:

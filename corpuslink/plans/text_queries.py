@@ -27,11 +27,15 @@ def t01_token_count(t):
     return t.documents.select("doc_id", token_count(F.col("text")).cast("long").alias("n_tokens"))
 
 
-@query("""select doc_id, case when lang = 'en' and doc_id % 2 = 0 then 'markdown_header' when source in ('src1', 'src2') then 'semantic'
-  when doc_id % 3 = 0 and lang <> 'en' then 'recursive' else 'semantic' end as strategy from documents""")
+_PROFILE = """named_struct('structure_type', element_at(array('well-structured', 'loosely-structured', 'unstructured'), cast(doc_id % 3 + 1 as int)),
+  'heading_consistency', if(doc_id % 4 < 3, 'consistent', 'inconsistent'), 'content_density', if(doc_id % 7 = 0, 'variable', 'uniform'),
+  'primary_content_type', case source when 'src1' then 'transcript' when 'src2' then 'qa_pairs' else 'prose' end, 'avg_section_length', if(doc_id % 5 = 0, 'long', 'medium'))"""
+
+
+@query("""select doc_id, case when doc_id % 3 = 0 and doc_id % 4 < 3 then 'markdown_header' when source in ('src1', 'src2') then 'semantic'
+  when doc_id % 3 = 2 and doc_id % 7 <> 0 then 'recursive' else 'semantic' end as strategy from documents""")
 def t02_select_strategy(t):
-    kind = F.when(F.col("source") == "src1", "transcript").when(F.col("source") == "src2", "qa_pairs").otherwise("prose")
-    return t.documents.select("doc_id", K.select_strategy(F.col("lang") == "en", F.col("doc_id") % 2 == 0, kind, F.col("doc_id") % 3 == 0).alias("strategy"))
+    return t.documents.select("doc_id", K.select_strategy(F.expr(_PROFILE)).alias("strategy"))
 
 
 def _semantic_sql(docs: str) -> str:
@@ -66,15 +70,14 @@ def t05_split_markdown_headers(t):
     return K.markdown_chunks(_headed(t))
 
 
-@query(_semantic_sql("(select * from documents where doc_id % 3 = 1)"))
+@query()
 def t06_chunk_documents(t):
-    strategy = F.when(F.col("doc_id") % 3 == 1, "semantic").when(F.col("doc_id") % 3 == 0, "recursive").otherwise("markdown_header")
-    return K.chunk_documents(t.documents.withColumn("strategy", strategy)).where("strategy = 'semantic'").select("doc_id", "chunk_index", "content", "token_count")
+    return K.chunk_documents(_headed(t).withColumn("profile", F.expr(_PROFILE)))
 
 
 @query()
 def t07_chunk_hierarchical(t):
-    return K.hierarchical_chunks(t.documents)
+    return K.hierarchical_chunks(_headed(t).withColumn("strategy", K.select_strategy(F.expr(_PROFILE))))
 
 
 _DOMAIN = "case chunk_id % 3 when 0 then 'legal' when 1 then 'general' else 'medical' end"
@@ -154,11 +157,12 @@ def r03_parse_insights(t):
     return t.documents.select("doc_id", F.explode(R.parse_insights(_answer(said))).alias("e")).select("doc_id", "e.insight", F.array_join("e.topics", ",").alias("topics"))
 
 
-@query("""select doc_id, case when doc_id % 13 = 0 then 'general' else source end as domain, case when doc_id % 13 = 0 then false else lang = 'en' end as structured,
-  'prose' as kind, case when doc_id % 13 = 0 then 'en' else lang end as language from documents""")
+@query("""select doc_id, case when doc_id % 13 = 0 then 'general' else source end as domain, case when doc_id % 13 = 0 then 'unstructured' else lang end as structure_type, 'none' as heading_consistency,
+  'uniform' as content_density, 'prose' as primary_content_type, case when doc_id % 13 = 0 then 'medium' else 'long' end as avg_section_length, doc_id % 13 <> 0 and lang = 'en' as has_tables,
+  false as has_code_blocks from documents""")
 def r04_parse_profile(t):
-    said = F.to_json(F.struct(F.col("source").alias("domain"), (F.col("lang") == "en").alias("structured"), F.col("lang").alias("language")))
-    return t.documents.select("doc_id", R.parse_profile(_answer(said)).alias("p")).select("doc_id", "p.domain", "p.structured", "p.kind", "p.language")
+    said = F.to_json(F.struct(F.col("source").alias("domain"), F.col("lang").alias("structure_type"), F.lit("long").alias("avg_section_length"), (F.col("lang") == "en").alias("has_tables")))
+    return t.documents.select("doc_id", R.parse_profile(_answer(said)).alias("p")).select("doc_id", "p.*")
 
 
 @query("select doc_id, case when doc_id % 13 <> 0 then lang end as kind, case when doc_id % 13 <> 0 then source end as source, case when doc_id % 13 <> 0 then 2 else 0 end as n from documents")

@@ -112,7 +112,7 @@ def test_recursive_pieces():
 
 def test_hierarchy(spark):
     text = " ".join(f"Sentence {i} is here." for i in range(300))
-    rows = K.hierarchical_chunks(spark.createDataFrame([(1, text)], "doc_id long, text string"), parent_tokens=500, child_tokens=100).orderBy("chunk_index").collect()
+    rows = K.hierarchical_chunks(spark.createDataFrame([(1, text, "semantic")], "doc_id long, text string, strategy string"), parent_tokens=500, child_tokens=100).orderBy("chunk_index").collect()
     assert [r.chunk_index for r in rows] == list(range(len(rows)))
     parents = {r.chunk_index: r.content for r in rows if r.parent_index is None}
     assert all(r.content in parents[r.parent_index] for r in rows if r.parent_index is not None)
