@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, token_count
-from .ranking import ranked
-from .vectors import dense_topk_by_ids
+from ..functions.shared import materialize
+from ..functions.text import cosine, preview, token_count
+from .ranking import first_stage, hybrid_search, insight_first_stage, ranked, rerank
+from .vectors import dense_topk_by_ids, embed, hashed_embedding
 
 KEY = ("query_id", "seed_id", "name", "type")
+SECOND = (*KEY, "via_id", "name2", "type2")
+#: Gives steps their own questions: (steps, column that names what is asked about) to the steps with text and vector.
+Asks = Callable[[DataFrame, str], DataFrame]
 
 
 def _named(mentions: DataFrame) -> DataFrame:
@@ -23,34 +30,58 @@ def seed_entities(seeds: DataFrame, mentions: DataFrame, n: int = 5) -> DataFram
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(*KEY, "place")
 
 
-def first_hop(entities: DataFrame, mentions: DataFrame, queries: DataFrame, corpus: DataFrame, n: int = 5, least: float = 0.5) -> DataFrame:
-    """The n nearest chunks that mention the entity; of those, all but the seed with at least the score. Cut before filter."""
-    candidates = entities.select(*KEY).join(_named(mentions), ["name", "type"]).withColumnRenamed("chunk_id", "id")
-    best = dense_topk_by_ids(queries.select("query_id", "vector"), candidates, corpus, n, KEY)
+def sub_queries(steps: DataFrame, queries: DataFrame, column: str = "name", embedder: Callable[[list[str]], np.ndarray] = hashed_embedding) -> DataFrame:
+    """The steps with text and vector of their own question: the query's text and what the column names. Each text is embedded once."""
+    asked = steps.join(queries.select("query_id", F.col("text").alias("_t")), "query_id").withColumn("text", F.concat_ws(" ", "_t", column)).drop("_t")
+    return asked.join(embed(asked.select("text").distinct(), "text", embedder, name="vector"), "text")
+
+
+def first_hop(asks: DataFrame, mentions: DataFrame, corpus: DataFrame, n: int = 5, least: float = 0.5) -> DataFrame:
+    """The n chunks nearest to the question among those that mention the entity; of those, all but the seed with at least the score.
+
+    asks: query_id, seed_id, name, type and the vector of the question. Cut before filter.
+    """
+    candidates = asks.select(*KEY).join(_named(mentions), ["name", "type"]).withColumnRenamed("chunk_id", "id")
+    best = dense_topk_by_ids(asks.select(*KEY, "vector"), candidates, corpus, n, KEY, KEY)
     return best.where((F.col("score") >= least) & (F.col("id") != F.col("seed_id"))).select(*KEY, "id", "score")
 
 
-def neighbor_fallback(entities: DataFrame, found: DataFrame, queries: DataFrame, corpus: DataFrame, window: int = 2, n: int = 3, least: float = 0.5) -> DataFrame:
+def neighbor_fallback(asks: DataFrame, found: DataFrame, corpus: DataFrame, window: int = 2, n: int = 3, least: float = 0.5) -> DataFrame:
     """For (seed, entity) without a first hop the n nearest chunks within the window around the seed in its source."""
-    empty = entities.select(*KEY).join(found.select(*KEY).distinct(), list(KEY), "left_anti")
+    empty = asks.select(*KEY).join(found.select(*KEY).distinct(), list(KEY), "left_anti")
     place = corpus.select(F.col("id").alias("seed_id"), "source_id", "chunk_index")
     offsets = F.explode(F.array(*[F.lit(k) for k in range(-window, window + 1) if k]))
     around = empty.join(place, "seed_id").withColumn("off", offsets).withColumn("chunk_index", F.col("chunk_index") + F.col("off"))
     near = around.join(corpus.select("source_id", "chunk_index", "id"), ["source_id", "chunk_index"]).select(*KEY, "id")
-    best = dense_topk_by_ids(queries.select("query_id", "vector"), near, corpus, n, KEY)
+    best = dense_topk_by_ids(asks.select(*KEY, "vector"), near, corpus, n, KEY, KEY)
     return best.where(F.col("score") >= least).select(*KEY, "id", "score")
 
 
-def second_hop(hop: DataFrame, mentions: DataFrame, queries: DataFrame, corpus: DataFrame, entities: int = 5, n: int = 5, least: float = 0.5) -> DataFrame:
-    """From the chunks of a first hop over the other entities they mention, at most `entities` of them per chunk, to the nearest chunks."""
-    other = _named(mentions).select(F.col("chunk_id").alias("id"), F.col("name").alias("name2"), F.col("type").alias("type2"))
-    via = hop.select(*KEY, "id").join(other, "id").where("name2 <> name").distinct()
-    w = Window.partitionBy(*KEY, "id").orderBy("name2", "type2")
-    few = via.withColumn("k", F.row_number().over(w)).where(F.col("k") <= entities).select(*KEY, F.col("id").alias("via_id"), "name2", "type2")
-    candidates = few.join(_named(mentions).select(F.col("chunk_id").alias("id"), F.col("name").alias("name2"), F.col("type").alias("type2")), ["name2", "type2"])
-    keys = (*KEY, "via_id", "name2", "type2")
-    best = dense_topk_by_ids(queries.select("query_id", "vector"), candidates, corpus, n, keys)
-    return best.where((F.col("score") >= least) & (F.col("id") != F.col("seed_id"))).select(*keys, "id", "score")
+def second_entities(hop: DataFrame, mentions: DataFrame, n: int = 5) -> DataFrame:
+    """Of the other entities that the chunks of a first hop mention, the first n of each (seed, entity), nearest chunks first."""
+    other = _named(mentions).select(F.col("chunk_id").alias("via_id"), F.col("name").alias("name2"), F.col("type").alias("type2"))
+    via = hop.select(*KEY, F.col("id").alias("via_id"), "score").join(other, "via_id").where("name2 <> name")
+    w = Window.partitionBy(*KEY).orderBy(F.desc(F.round("score", 12)), "via_id", "name2", "type2")
+    return via.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(*SECOND, "place")
+
+
+def second_hop(asks: DataFrame, mentions: DataFrame, corpus: DataFrame, n: int = 5, least: float = 0.5) -> DataFrame:
+    """From the second entities (with the vectors of their questions) to the n nearest chunks that mention them, as in the first hop."""
+    named = _named(mentions).select(F.col("chunk_id").alias("id"), F.col("name").alias("name2"), F.col("type").alias("type2"))
+    candidates = asks.select(*SECOND).join(named, ["name2", "type2"])
+    best = dense_topk_by_ids(asks.select(*SECOND, "vector"), candidates, corpus, n, SECOND, SECOND)
+    return best.where((F.col("score") >= least) & (F.col("id") != F.col("seed_id"))).select(*SECOND, "id", "score")
+
+
+def expansion_steps(roots: DataFrame, entities: DataFrame, few: DataFrame) -> DataFrame:
+    """One row a model call, in order: for each seed its choice, for each of its entities the question, the choice of second entities
+    if there are any, and the question of each of those."""
+    seeds = roots.select("query_id", F.col("id").alias("seed_id"), F.col("rank").alias("seed_rank"))
+    own = entities.join(seeds, ["query_id", "seed_id"]).select(*KEY, "seed_rank", F.col("place").alias("entity_rank"))
+    more = few.select(*KEY, "place").join(own, list(KEY))
+    step = lambda df, entity_rank, hop: df.select("query_id", "seed_rank", entity_rank.alias("entity_rank"), hop.alias("hop"), F.lit(1).alias("cost"))
+    out = step(seeds, F.lit(0), F.lit(0)).unionByName(step(own, F.col("entity_rank"), F.lit(1)))
+    return out.unionByName(step(more.where("place = 1"), F.col("entity_rank"), F.lit(2))).unionByName(step(more, F.col("entity_rank"), F.col("place") + 2))
 
 
 def within_budget(steps: DataFrame, most: int = 100) -> DataFrame:
@@ -59,8 +90,14 @@ def within_budget(steps: DataFrame, most: int = 100) -> DataFrame:
     return steps.withColumn("spent", F.sum("cost").over(w)).where(F.col("spent") <= most)
 
 
-def finalize_roots(roots: DataFrame, first: DataFrame, second: DataFrame, n: int = 5, weights: tuple[float, float, float] = (0.6, 0.25, 0.15), bonus: float = 0.05) -> DataFrame:
-    """query_id, id, score and rank: the root's score with the best of both hops, and a bonus for any second hop."""
+def finalize_roots(roots: DataFrame, first: DataFrame, second: DataFrame, n: int = 5, weights: tuple[float, float, float] = (0.6, 0.25, 0.15), bonus: float = 0.05, scores: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score and rank: the root's score with the best of both hops, and a bonus for any second hop.
+
+    scores: query_id, id and score of the related chunks from one reranking of all, in place of those of the hops.
+    """
+    if scores is not None:
+        new = scores.select("query_id", "id", F.col("score").alias("_new"))
+        first, second = (h.join(new, ["query_id", "id"], "left").withColumn("score", F.coalesce("_new", "score")) for h in (first, second))
     best1 = first.groupBy("query_id", F.col("seed_id").alias("id")).agg(F.max("score").alias("s1"))
     best2 = second.groupBy("query_id", F.col("seed_id").alias("id")).agg(F.max("score").alias("s2"))
     rows = roots.groupBy("query_id", "id").agg(F.max("score").alias("s0")).join(best1, ["query_id", "id"], "left").join(best2, ["query_id", "id"], "left")
@@ -108,12 +145,23 @@ def apply_context(results: DataFrame, corpus: DataFrame, **limits: int) -> DataF
     return results.join(expand_context(results, corpus, **limits), "id", "left")
 
 
-def expand_insights(seeds: DataFrame, links: DataFrame, n: int = 10) -> DataFrame:
-    """query_id, seed_id, id and similarity of the n most similar linked insights that aren't seeds of the query themselves."""
-    seen = seeds.select("query_id", "id")
-    near = seeds.select("query_id", F.col("id").alias("seed_id")).join(links.select(F.col("src").alias("seed_id"), F.col("dst").alias("id"), "similarity"), "seed_id")
+def expand_insights(seeds: DataFrame, links: DataFrame, insights: DataFrame, posted: DataFrame, asks: Asks, *, seeds_each: int = 5, n: int = 10, groups: int = 3, each: int = 5) -> DataFrame:
+    """query_id, seed_id, group_no, rank, id and score: group 0 is the n most similar linked insights of each seed, groups 1 to 3
+    what a hybrid search finds for the questions on the first three of those.
+
+    An insight comes once for a seed, where it occurs first, and never as its own. seeds: query_id, id and rank, at most
+    seeds_each a query.
+    """
     w = Window.partitionBy("query_id", "seed_id").orderBy(F.desc(F.round("similarity", 12)), "id")
-    return near.join(seen, ["query_id", "id"], "left_anti").withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).select("query_id", "seed_id", "id", "similarity")
+    own = seeds.select("query_id", F.col("id").alias("seed_id"), F.col("rank").alias("seed_rank"))
+    near = own.join(links.select(F.col("src").alias("seed_id"), F.col("dst").alias("id"), "similarity"), "seed_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    step = F.col("query_id") * (groups * seeds_each) + (F.col("seed_rank") - 1) * groups + F.col("rank") - 1
+    about = near.where(F.col("rank") <= groups).join(insights.select("id", F.col("text").alias("content")), "id", "left").withColumn("step", step)
+    asked = asks(about.select("step", "query_id", "seed_id", F.col("rank").alias("group_no"), F.col("id").alias("about"), "content"), "content")
+    found = hybrid_search(asked.select(F.col("step").alias("query_id"), "text", "vector"), insights, posted, each, 0.0).withColumnRenamed("query_id", "step")
+    hits = found.join(about.select("step", "query_id", "seed_id", F.col("rank").alias("group_no")), "step")
+    rows = near.select("query_id", "seed_id", F.lit(0).alias("group_no"), "rank", "id", F.col("similarity").alias("score")).unionByName(hits.drop("step"))
+    return unseen(rows.where("id <> seed_id"))
 
 
 def unseen(groups: DataFrame) -> DataFrame:
@@ -122,11 +170,56 @@ def unseen(groups: DataFrame) -> DataFrame:
     return groups.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
-def retrieve(queries: DataFrame, roots: DataFrame, mentions: DataFrame, corpus: DataFrame, *, least: float = 0.5, n: int = 5) -> dict[str, DataFrame]:
-    """Every stage of the chunk branch, from the roots (query_id, id, score) to the final ranks with context. Lazy."""
-    entities = seed_entities(roots, mentions)
-    hop = first_hop(entities, mentions, queries, corpus, least=least)
-    hop = hop.unionByName(neighbor_fallback(entities, hop, queries, corpus, least=least))
-    second = second_hop(hop, mentions, queries, corpus, least=least)
-    final = finalize_roots(roots, hop, second, n)
-    return {"roots": roots, "entities": entities, "first_hop": hop, "second_hop": second, "final": apply_context(final, corpus)}
+def retrieve(
+    queries: DataFrame, variants: DataFrame, corpus: DataFrame, posted: DataFrame, mentions: DataFrame, *, asks: Asks | None = None,
+    scorer: Callable[[Column, Column], Column] = cosine, seeds: int = 10, n: int = 5, least: float = 0.5, budget: int = 100,
+) -> dict[str, DataFrame]:
+    """Every stage of the chunk branch, each written once as the next ones read it several times: fused first stage, reranked roots, entities, both hops within the budget of model calls,
+    final ranks after one reranking of all related chunks, and the contexts of roots and related chunks.
+
+    queries: query_id, text, vector; variants as for first_stage; asks gives the questions of the hops, by default sub_queries.
+    """
+    asks = asks or (lambda steps, column: sub_queries(steps, queries, column))
+    fused = materialize(first_stage(variants, corpus, posted))
+    roots = materialize(rerank(fused, queries, corpus, scorer, seeds))
+    entities = materialize(seed_entities(roots, mentions))
+    questions = materialize(asks(entities.select(*KEY), "name"))
+    hop = materialize(first_hop(questions, mentions, corpus, least=least))
+    hop = materialize(hop.unionByName(neighbor_fallback(questions, hop, corpus, least=least)))
+    few = materialize(second_entities(hop, mentions))
+    steps = materialize(within_budget(expansion_steps(roots, entities, few), budget))
+    places = roots.select("query_id", F.col("id").alias("seed_id"), F.col("rank").alias("seed_rank")).join(entities.withColumnRenamed("place", "entity_rank"), ["query_id", "seed_id"])
+    granted = materialize(places.join(steps, ["query_id", "seed_rank", "entity_rank"]).select(*KEY, "hop"))
+    hop = hop.join(granted.where("hop = 1").drop("hop"), list(KEY), "left_semi")
+    few = few.withColumn("hop", F.col("place") + 2).join(granted, [*KEY, "hop"], "left_semi").drop("hop")
+    second = materialize(second_hop(materialize(asks(few.select(*SECOND), "name2")), mentions, corpus, least=least))
+    related = hop.select("query_id", "id").unionByName(second.select("query_id", "id"))
+    final = materialize(finalize_roots(roots, hop, second, n, scores=rerank(related, queries, corpus, scorer, None)))
+    level = lambda df, name: df.select("query_id", "seed_id", F.lit(name).alias("level"), "id")
+    shown = final.select("query_id", F.col("id").alias("seed_id"))
+    every = level(final.withColumn("seed_id", F.col("id")), "root").unionByName(
+        level(hop, "first").unionByName(level(second, "second")).distinct().join(shown, ["query_id", "seed_id"], "left_semi"))
+    return {"fused": fused, "roots": roots, "entities": entities, "steps": steps, "first_hop": hop, "second_hop": second, "final": final, "contexts": apply_context(every, corpus)}
+
+
+def retrieve_insights(
+    queries: DataFrame, variants: DataFrame, insights: DataFrame, posted: DataFrame, links: DataFrame, *, asks: Asks | None = None,
+    scorer: Callable[[Column, Column], Column] = cosine, seeds: int = 5, n: int = 5,
+) -> dict[str, DataFrame]:
+    """Every stage of the insight branch; fused and seeds are written once. The reranking only selects the seeds, which keep their order and score."""
+    asks = asks or (lambda steps, column: sub_queries(steps, queries, column))
+    fused = materialize(insight_first_stage(variants, insights, posted))
+    chosen = rerank(fused, queries, insights, scorer, seeds).select("query_id", "id")
+    final = materialize(ranked(fused.drop("rank").join(chosen, ["query_id", "id"], "left_semi"), min(n, seeds)))
+    return {"fused": fused, "final": final, "related": expand_insights(final, links, insights, posted, asks, seeds_each=min(n, seeds))}
+
+
+def retrieve_trace(stages: dict[str, DataFrame], corpus: DataFrame, n: int = 5) -> DataFrame:
+    """query_id, stage, place, id and preview of the n best chunks of every stage that has scores."""
+    best = None
+    for name, df in stages.items():
+        if {"id", "score"} <= set(df.columns):
+            one = df.groupBy("query_id", "id").agg(F.max("score").alias("score")).select("query_id", F.lit(name).alias("stage"), "id", "score")
+            best = one if best is None else best.unionByName(one)
+    top = ranked(best, n, ("query_id", "stage")).withColumnRenamed("rank", "place").drop("score")
+    return top.join(corpus.select("id", preview(F.col("text")).alias("preview")), "id")

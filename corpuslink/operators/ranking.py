@@ -144,7 +144,7 @@ def insight_first_stage(variants: DataFrame, corpus: DataFrame, posted: DataFram
     return ranked(rrf_max(found.select(F.col("_query").alias("query_id"), F.col("name").alias("list"), "id", "score"), k), limit)
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: Callable[[Column, Column], Column] = cosine, n: int = 10, column: str = "vector") -> DataFrame:
+def rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: Callable[[Column, Column], Column] = cosine, n: int | None = 10, column: str = "vector") -> DataFrame:
     """Candidates (query_id, id) with the scorer's score of the two columns in place of theirs; the best n."""
     rows = candidates.select("query_id", "id").distinct().join(queries.select("query_id", F.col(column).alias("_q")), "query_id").join(corpus.select("id", F.col(column).alias("_c")), "id")
     return ranked(rows.select("query_id", "id", scorer(F.col("_q"), F.col("_c")).alias("score")), n)

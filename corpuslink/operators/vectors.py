@@ -69,9 +69,9 @@ def dense_pairs(queries: DataFrame, corpus: DataFrame, least: float) -> DataFram
     return _pairs(queries, corpus, lambda s, q, ids: np.nonzero(s >= least))
 
 
-def dense_topk_by_ids(queries: DataFrame, candidates: DataFrame, corpus: DataFrame, n: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """The nearest n of each query's own candidates (keys, id): an equi-join, then exact scores."""
-    rows = candidates.join(queries.withColumnRenamed("vector", "_q"), "query_id").join(corpus.select("id", F.col("vector").alias("_c")), "id")
+def dense_topk_by_ids(queries: DataFrame, candidates: DataFrame, corpus: DataFrame, n: int, keys: tuple[str, ...] = ("query_id",), on: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """The nearest n of each query's own candidates (keys, id): an equi-join on `on`, then exact scores."""
+    rows = candidates.join(queries.withColumnRenamed("vector", "_q"), list(on)).join(corpus.select("id", F.col("vector").alias("_c")), "id")
     scored = rows.where("_q is not null and _c is not null").withColumn("score", cosine(F.col("_q"), F.col("_c"))).drop("_q", "_c")
     best = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 12)), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)

@@ -12,7 +12,7 @@ from ..operators import jobs as J
 from ..operators import maintenance as M
 from ..operators import ranking as N
 from ..operators import vectors as V
-from .search_queries import ASKED, COSINE, DENSE, LIVE, asked, corpus_of, six
+from .search_queries import ASKED, BY_VARIANT, COSINE, DENSE, FUSED, HYBRID, INSIGHTS, LIVE, asked, corpus_of, insights_of, six, variants_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,31 +27,64 @@ def query(sql: str | None = None):
     return take
 
 
-#: Seeds are the nearest 5 chunks of each query; entities are capitalised words of five letters and more.
+#: Seeds come from all variants of a query; entities are capitalised words; a question on a name has the vector of a row that the query
+#: and the length of the name choose, so that SQL can follow it.
 _NAMES = """names as (select distinct chunk_id, unnest(regexp_extract_all(content, '\\b[A-Z][a-z]{3,}')) as name from m_vchunks)"""
-_SEEDS = f"{ASKED}, {LIVE}, {DENSE}, {_NAMES}, seeds as (select query_id, id, score from dense where rank <= 5)"
+_SEEDS = f"""{BY_VARIANT}, {FUSED}, {ASKED.replace("asked", "q0", 1)}, {_NAMES},
+seeds as (select * from (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) as rank from
+  (select q.query_id, c.id, {COSINE} as score from fused f join q0 q using (query_id) join live c on c.id = f.id)) where rank <= 10)"""
 _ENT = """ent as (select query_id, seed_id, name, place from (select s.query_id, s.id as seed_id, n.name, row_number() over (partition by s.query_id, s.id order by n.name) as place
-  from seeds s join names n on n.chunk_id = s.id) where place <= 5)"""
-_HOP = f"""h1 as (select e.query_id, e.seed_id, e.name, c.id, {COSINE} as score from ent e join names n using (name) join live c on c.id = n.chunk_id join asked q on q.query_id = e.query_id),
+  from seeds s join names n on n.chunk_id = s.id) where place <= 5),
+a1 as (select e.*, v.embedding as vector from ent e join embeddings v on v.vec_id = 10 * e.query_id + length(e.name))"""
+_HOP = f"""h1 as (select q.query_id, q.seed_id, q.name, c.id, {COSINE} as score from a1 q join names n using (name) join live c on c.id = n.chunk_id),
 hop as (select * from (select *, row_number() over (partition by query_id, seed_id, name order by round(score, 12) desc, id) as k from h1) where k <= 5 and score >= 0.1 and id <> seed_id)"""
-_PLACE = "place as (select chunk_id as id, source_id, chunk_index from m_vchunks)"
-_FALL = f"""{_PLACE}, n1 as (select e.query_id, e.seed_id, e.name, c.id, {COSINE} as score from ent e join place p on p.id = e.seed_id
-  join place p2 on p2.source_id = p.source_id and p2.chunk_index <> p.chunk_index and abs(p2.chunk_index - p.chunk_index) <= 2 join live c on c.id = p2.id join asked q on q.query_id = e.query_id
-  where not exists (select 1 from hop h where h.query_id = e.query_id and h.seed_id = e.seed_id and h.name = e.name)),
+_FALL = f"""place as (select chunk_id as id, source_id, chunk_index from m_vchunks), n1 as (select q.query_id, q.seed_id, q.name, c.id, {COSINE} as score from a1 q join place p on p.id = q.seed_id
+  join place p2 on p2.source_id = p.source_id and p2.chunk_index <> p.chunk_index and abs(p2.chunk_index - p.chunk_index) <= 2 join live c on c.id = p2.id
+  where not exists (select 1 from hop h where h.query_id = q.query_id and h.seed_id = q.seed_id and h.name = q.name)),
 fall as (select * from (select *, row_number() over (partition by query_id, seed_id, name order by round(score, 12) desc, id) as k from n1) where k <= 3 and score >= 0.1)"""
-_SECOND = f"""via as (select distinct h.query_id, h.seed_id, h.name, h.id as via_id, n.name as name2 from (select * from hop union all select * from fall) h join names n on n.chunk_id = h.id where n.name <> h.name),
-few as (select * from (select *, row_number() over (partition by query_id, seed_id, name, via_id order by name2) as k from via) where k <= 5),
-s1 as (select f.query_id, f.seed_id, f.name, f.via_id, f.name2, c.id, {COSINE} as score from few f join names n on n.name = f.name2 join live c on c.id = n.chunk_id join asked q on q.query_id = f.query_id),
+_STEPS = """both_ as (select * from hop union all select * from fall),
+few as (select * from (select h.query_id, h.seed_id, h.name, h.id as via_id, n.name as name2, row_number() over (partition by h.query_id, h.seed_id, h.name order by round(h.score, 12) desc, h.id, n.name) as k
+  from both_ h join names n on n.chunk_id = h.id where n.name <> h.name) where k <= 5),
+few_at as (select f.*, e.place, s.rank from few f join ent e using (query_id, seed_id, name) join seeds s on s.query_id = f.query_id and s.id = f.seed_id),
+st as (select query_id, rank as seed_rank, 0 as entity_rank, 0 as hop from seeds union all select e.query_id, s.rank, e.place, 1 from ent e join seeds s on s.query_id = e.query_id and s.id = e.seed_id
+  union all select query_id, rank, place, 2 from few_at where k = 1 union all select query_id, rank, place, 2 + k from few_at),
+steps as (select * from (select *, row_number() over (partition by query_id order by seed_rank, entity_rank, hop) as spent from st) where spent <= 100),
+go as (select t.*, s.id as seed_id, e.name from steps t join seeds s on s.query_id = t.query_id and s.rank = t.seed_rank join ent e on e.query_id = t.query_id and e.seed_id = s.id and e.place = t.entity_rank),
+first_ as (select b.* from both_ b join go g on g.query_id = b.query_id and g.seed_id = b.seed_id and g.name = b.name and g.hop = 1),
+few2 as (select f.* from few f join go g on g.query_id = f.query_id and g.seed_id = f.seed_id and g.name = f.name and g.hop = 2 + f.k)"""
+_SECOND = f"""a2 as (select f.*, v.embedding as vector from few2 f join embeddings v on v.vec_id = 10 * f.query_id + length(f.name2)),
+s1 as (select q.query_id, q.seed_id, q.name, q.via_id, q.name2, c.id, {COSINE} as score from a2 q join names n on n.name = q.name2 join live c on c.id = n.chunk_id),
 second as (select * from (select *, row_number() over (partition by query_id, seed_id, name, via_id, name2 order by round(score, 12) desc, id) as k2 from s1) where k2 <= 5 and score >= 0.1 and id <> seed_id)"""
-_FINAL = """f1 as (select query_id, seed_id as id, max(score) as s1 from (select * from hop union all select * from fall) group by 1, 2), f2 as (select query_id, seed_id as id, max(score) as s2 from second group by 1, 2),
-fin as (select query_id, id, 0.6 * s.score + 0.25 * coalesce(s1, 0) + 0.15 * coalesce(s2, 0) + case when s2 is not null then 0.05 else 0 end as score from seeds s left join f1 using (query_id, id) left join f2 using (query_id, id))"""
+_FINAL = f"""again as (select q.query_id, c.id, {COSINE} as score from (select query_id, id from first_ union select query_id, id from second) u join q0 q using (query_id) join live c on c.id = u.id),
+f1 as (select x.query_id, x.seed_id as id, max(a.score) as s1 from first_ x join again a using (query_id, id) group by 1, 2), f2 as (select x.query_id, x.seed_id as id, max(a.score) as s2 from second x join again a using (query_id, id) group by 1, 2),
+fin as (select * from (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) as rank from
+  (select query_id, id, 0.6 * s.score + 0.25 * coalesce(s1, 0) + 0.15 * coalesce(s2, 0) + case when s2 is not null then 0.05 else 0 end as score from seeds s left join f1 using (query_id, id) left join f2 using (query_id, id))) where rank <= 5)"""
+_ALL = f"{_SEEDS}, {_ENT}, {_HOP}, {_FALL}, {_STEPS}, {_SECOND}, {_FINAL}"
 
 
+def _asks(t):
+    rows = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
+    return lambda steps, column: steps.withColumn("vec_id", 10 * F.col("query_id") + F.length(column)).join(rows, "vec_id").drop("vec_id")
+
+
+_DONE: dict = {}
+
+
+def _once(f):
+    """The stages of f, written once for a session, a folder and a number of partitions: several queries show parts of one retrieval."""
+    def of(t):
+        key = (f.__name__, t.spark.sparkContext.applicationId, t.sf_dir, t.spark.conf.get("spark.sql.shuffle.partitions"))
+        if key not in _DONE:
+            _DONE[key] = f(t)
+        return _DONE[key]
+
+    return of
+
+
+@_once
 def _stages(t):
-    q, c = asked(t), corpus_of(t)
-    roots = V.dense_topk(q, c, 5).select("query_id", "id", "score")
-    mentions = G.extract_mentions(t.m_vchunks)
-    return E.retrieve(q, roots, mentions, c, least=0.1)
+    c = corpus_of(t)
+    return E.retrieve(asked(t), variants_of(t), c, N.postings(c), G.extract_mentions(t.m_vchunks), asks=_asks(t), least=0.1)
 
 
 @query(f"with {_SEEDS}, {_ENT} select query_id, seed_id, name, place::int as place from ent")
@@ -61,36 +94,30 @@ def k01_seed_entities(t):
 
 @query(f"with {_SEEDS}, {_ENT}, {_HOP} select query_id, seed_id, name, id, round(score, 6) as score from hop")
 def k02_first_hop(t):
-    q, c = asked(t), corpus_of(t)
-    mentions = G.extract_mentions(t.m_vchunks)
-    entities = E.seed_entities(V.dense_topk(q, c, 5).select("query_id", "id"), mentions)
-    return six(E.first_hop(entities, mentions, q, c, least=0.1).drop("type"))
+    q, c, m = _asks(t), corpus_of(t), G.extract_mentions(t.m_vchunks)
+    return six(E.first_hop(q(_stages(t)["entities"], "name"), m, c, least=0.1).drop("type"))
 
 
 @query(f"with {_SEEDS}, {_ENT}, {_HOP}, {_FALL} select query_id, seed_id, name, id, round(score, 6) as score from fall")
 def k03_neighbor_fallback(t):
-    q, c = asked(t), corpus_of(t)
-    mentions = G.extract_mentions(t.m_vchunks)
-    entities = E.seed_entities(V.dense_topk(q, c, 5).select("query_id", "id"), mentions)
-    return six(E.neighbor_fallback(entities, E.first_hop(entities, mentions, q, c, least=0.1), q, c, least=0.1).drop("type"))
+    c, m = corpus_of(t), G.extract_mentions(t.m_vchunks)
+    q = _asks(t)(_stages(t)["entities"], "name")
+    return six(E.neighbor_fallback(q, E.first_hop(q, m, c, least=0.1), c, least=0.1).drop("type"))
 
 
-@query(f"with {_SEEDS}, {_ENT}, {_HOP}, {_FALL}, {_SECOND} select query_id, seed_id, name, via_id, name2, id, round(score, 6) as score from second")
+@query(f"with {_ALL} select query_id, seed_id, name, via_id, name2, id, round(score, 6) as score from second")
 def k04_second_hop(t):
     return six(_stages(t)["second_hop"].drop("type", "type2"))
 
 
-@query("""with s as (select label as query_id, cast(row_number() over (partition by label order by vec_id) as int) as seed_rank, 1 as cost, vec_id from embeddings),
-u as (select *, sum(cost) over (partition by query_id order by seed_rank) as spent from s) select query_id, seed_rank, cast(spent as bigint) as spent from u where spent <= 20""")
+@query(f"with {_ALL} select query_id, seed_rank::int as seed_rank, entity_rank::int as entity_rank, hop::int as hop, spent from steps")
 def k05_expansion_budget(t):
-    every = t.embeddings.selectExpr("label as query_id", "cast(row_number() over (partition by label order by vec_id) as int) as seed_rank", "0 as entity_rank", "0 as hop", "1 as cost")
-    return E.within_budget(every, 20).select("query_id", "seed_rank", "spent")
+    return _stages(t)["steps"].drop("cost")
 
 
-@query(f"""with {_SEEDS}, {_ENT}, {_HOP}, {_FALL}, {_SECOND}, {_FINAL}
-select query_id, id, round(score, 6) as score, cast(row_number() over (partition by query_id order by round(score, 12) desc, id) as int) as rank from fin""")
+@query(f"with {_ALL} select query_id, id, round(score, 6) as score, rank::int as rank from fin")
 def k06_finalize_roots(t):
-    return six(_stages(t)["final"].select("query_id", "id", "score", "rank"))
+    return six(_stages(t)["final"])
 
 
 _LINKS = """links as (select a.vec_id as src, b.vec_id as dst, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity from embeddings a, embeddings b
@@ -103,12 +130,45 @@ def _links(t):
     return pairs.where("query_id <> id").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("score").alias("similarity"))
 
 
-@query(f"""with {_LINKS}, s as (select label as query_id, vec_id as id from embeddings where vec_id % 3 = 0),
-n as (select s.query_id, s.id as seed_id, l.dst as id, l.similarity from s join links l on l.src = s.id where not exists (select 1 from s x where x.query_id = s.query_id and x.id = l.dst)),
-r as (select *, row_number() over (partition by query_id, seed_id order by round(similarity, 12) desc, id) as k from n) select query_id, seed_id, id, round(similarity, 6) as similarity from r where k <= 10""")
+_FIRST_INSIGHTS = f"""{BY_VARIANT.replace(LIVE, INSIGHTS).replace("rank <= 20", "rank <= 150")}, {HYBRID.replace("0.2", "0.0")},
+fused as (select query_id, id, 1.0 / (60 + best) as score from (select v.query_id, h.id, min(h.rank) as best from h join variants v on v.variant_id = h.query_id where h.rank <= 50 group by 1, 2)),
+{ASKED.replace("asked", "q0", 1)}"""
+_SEED_INSIGHTS = f"""chosen as (select * from (select *, row_number() over (partition by query_id order by round(s, 12) desc, id) as k from
+  (select q.query_id, c.id, f.score, {COSINE} as s from fused f join q0 q using (query_id) join live c on c.id = f.id)) where k <= 5),
+final as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 12) desc, id) as rank from chosen)"""
+_MUTUAL = """ms as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a, embeddings b where a.label <> b.label),
+mk as (select * from (select *, row_number() over (partition by a order by round(s, 12) desc, b) as k from ms) where k <= 10),
+links as (select x.a as src, x.b as dst, x.s as similarity from mk x join mk y on y.a = x.b and y.b = x.a)"""
+_RELATED = f"""near as (select * from (select f.query_id, f.id as seed_id, l.dst as id, l.similarity as score, row_number() over (partition by f.query_id, f.id order by round(l.similarity, 12) desc, l.dst) as rank
+  from final f join links l on l.src = f.id) where rank <= 10),
+ask2 as (select n.query_id, n.seed_id, n.rank as group_no, 'that' as text, e.embedding as vector from near n join embeddings e on e.vec_id = n.rank + 10 * n.query_id where n.rank <= 3),
+d2 as (select *, row_number() over (partition by query_id, seed_id, group_no order by round(score, 12) desc, id) as rank from (select q.query_id, q.seed_id, q.group_no, c.id, {COSINE} as score from ask2 q, live c)),
+p2 as (select *, row_number() over (partition by query_id, seed_id, group_no order by round(score, 12) desc, id) as rank from
+  (select q.query_id, q.seed_id, q.group_no, t.id, 0.1 * count(*) as score from ask2 q join tf t on t.term = q.text group by all)),
+b2 as (select coalesce(d.query_id, s.query_id) as query_id, coalesce(d.seed_id, s.seed_id) as seed_id, coalesce(d.group_no, s.group_no) as group_no, coalesce(d.id, s.id) as id, coalesce(nullif(d.score, 0), nullif(s.score, 0), 0)::double as score
+  from (select * from d2 where rank <= 20) d full join (select * from p2 where rank <= 20) s on s.query_id = d.query_id and s.seed_id = d.seed_id and s.group_no = d.group_no and s.id = d.id),
+g2 as (select *, row_number() over (partition by query_id, seed_id, group_no order by round(score, 12) desc, id) as rank from b2 where score >= 0),
+rows_ as (select query_id, seed_id, 0 as group_no, rank, id, score from near union all select query_id, seed_id, group_no, rank, id, score from g2 where rank <= 5),
+related as (select * from (select *, row_number() over (partition by query_id, seed_id, id order by group_no, rank) as k from rows_ where id <> seed_id) where k = 1)"""
+
+
+@_once
+def _insight_stages(t):
+    rows = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
+    ask = lambda steps, column: steps.withColumn("vec_id", F.col("group_no") + 10 * F.col("query_id")).join(rows, "vec_id").withColumn("text", F.lit("that"))
+    links = I.mutual_links(t.embeddings.selectExpr("vec_id as id", "embedding as vector", "array(label) as sources"))
+    c = insights_of(t)
+    return E.retrieve_insights(asked(t), variants_of(t), c, N.postings(c), links, asks=ask)
+
+
+@query(f"with {_FIRST_INSIGHTS}, {_SEED_INSIGHTS}, {_MUTUAL}, {_RELATED} select query_id, seed_id, group_no::int as group_no, rank::int as rank, id, round(score, 6) as score from related")
 def k07_expand_insights(t):
-    seeds = t.embeddings.where("vec_id % 3 = 0").selectExpr("label as query_id", "vec_id as id")
-    return six(E.expand_insights(seeds, _links(t)), "similarity")
+    return six(_insight_stages(t)["related"])
+
+
+@query(f"with {_FIRST_INSIGHTS}, {_SEED_INSIGHTS} select query_id, id, round(score, 6)::double as score, rank::int as rank from final")
+def k11_retrieve_insights(t):
+    return six(_insight_stages(t)["final"].drop("list"))
 
 
 @query(f"with {ASKED}, live as (select insight_id as id, content as text, embedding as vector from m_insights), {DENSE} select query_id, id, round(score, 6) as score, rank::int as rank from dense where rank <= 5")
@@ -136,28 +196,32 @@ def k09_expand_context(t):
     return E.expand_context(c, c)
 
 
-@query()
+_SHOWN = """shown as (select query_id, id as seed_id, 'root' as level, id from fin union select f.query_id, f.seed_id, 'first', f.id from first_ f join fin on fin.query_id = f.query_id and fin.id = f.seed_id
+  union select s.query_id, s.seed_id, 'second', s.id from second s join fin on fin.query_id = s.query_id and fin.id = s.seed_id)"""
+_LIVE_CONTEXT = _CONTEXT.replace("from m_vchunks)", "from m_vchunks where chunk_id in (select id from live))", 1).removeprefix("with recursive ").replace("select id, t as context from r where step = 4", "").rstrip()
+
+
+@query(f"with recursive {_ALL}, {_SHOWN}, {_LIVE_CONTEXT} select query_id, seed_id, level, s.id, cast(length(r.t) as int) as n_chars from shown s join r on r.id = s.id and r.step = 4")
 def k10_apply_context(t):
-    return _stages(t)["final"].select("query_id", "id", F.length("context").alias("n_chars"))
+    return _stages(t)["contexts"].select("query_id", "seed_id", "level", "id", F.length("context").alias("n_chars"))
 
 
-@query(f"""with {_SEEDS}, {_ENT}, {_HOP}, {_FALL}, {_SECOND}, {_FINAL},
-h as (select query_id, seed_id as id, count(distinct id) as n_first from (select * from hop union all select * from fall) group by 1, 2), s as (select query_id, seed_id as id, count(distinct id) as n_second from second group by 1, 2)
-select query_id, id, round(score, 6) as score, coalesce(n_first, 0) as n_first, coalesce(n_second, 0) as n_second from fin left join h using (query_id, id) left join s using (query_id, id)""")
+@query(f"""with {_ALL}, h as (select query_id, seed_id as id, count(distinct id) as n_first from first_ group by 1, 2), s as (select query_id, seed_id as id, count(distinct id) as n_second from second group by 1, 2)
+select query_id, id, round(score, 6) as score, rank::int as rank, coalesce(n_first, 0) as n_first, coalesce(n_second, 0) as n_second from fin left join h using (query_id, id) left join s using (query_id, id)""")
 def k11_retrieve(t):
     s = _stages(t)
     n = lambda stage, name: s[stage].groupBy("query_id", F.col("seed_id").alias("id")).agg(F.countDistinct(s[stage]["id"]).alias(name))
-    rows = s["final"].select("query_id", "id", "score").join(n("first_hop", "n_first"), ["query_id", "id"], "left").join(n("second_hop", "n_second"), ["query_id", "id"], "left")
+    rows = s["final"].join(n("first_hop", "n_first"), ["query_id", "id"], "left").join(n("second_hop", "n_second"), ["query_id", "id"], "left")
     return six(rows.fillna(0, ["n_first", "n_second"]))
 
 
-@query()
+@query(rf"""with {_ALL}, every as (select query_id, 'fused' as stage, id, score from fused union all select query_id, 'roots', id, score from seeds union all select query_id, 'first_hop', id, max(score) from first_ group by all
+  union all select query_id, 'second_hop', id, max(score) from second group by all union all select query_id, 'final', id, score from fin),
+top as (select *, row_number() over (partition by query_id, stage order by round(score, 12) desc, id) as place from every),
+flat as (select id, trim(regexp_replace(text, '\s+', ' ', 'g')) as x from live)
+select query_id, stage, id, place::int as place, case when length(x) > 180 then concat(rtrim(substr(x, 1, 179)), '…') else x end as preview from top join flat using (id) where place <= 5""")
 def k12_retrieve_trace(t):
-    parts = [df.select("query_id", F.lit(name).alias("stage")) for name, df in _stages(t).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("query_id", "stage").count()
+    return E.retrieve_trace(_stages(t), corpus_of(t))
 
 
 def _said(prompts):

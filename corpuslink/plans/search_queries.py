@@ -168,25 +168,25 @@ def _lists(t):
     return dense.unionByName(N.sparse_topk(N.query_terms(q), N.postings(c), 20).select("query_id", F.lit("sparse").alias("list"), "id", "score", F.lit(0.5).alias("weight")))
 
 
-_HYBRID = """b as (select coalesce(d.query_id, s.query_id) as query_id, coalesce(d.id, s.id) as id, coalesce(nullif(d.score, 0), nullif(s.score, 0), 0)::double as score
+HYBRID = """b as (select coalesce(d.query_id, s.query_id) as query_id, coalesce(d.id, s.id) as id, coalesce(nullif(d.score, 0), nullif(s.score, 0), 0)::double as score
   from dense d full join sparse s on s.query_id = d.query_id and s.id = d.id),
 h as (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) as rank from b where score >= 0.2)"""
 
 
-@query(f"with {ASKED}, {LIVE}, {DENSE}, {SPARSE}, {_HYBRID} select query_id, id, round(score, 6) as score, rank::int as rank from h where rank <= 6")
+@query(f"with {ASKED}, {LIVE}, {DENSE}, {SPARSE}, {HYBRID} select query_id, id, round(score, 6) as score, rank::int as rank from h where rank <= 6")
 def v14_hybrid_search(t):
     c = corpus_of(t)
     return six(N.hybrid_search(asked(t, 1), c, N.postings(c), 6, 0.2))
 
 
-_INSIGHTS = "live as (select insight_id as id, content as text, embedding as vector from m_insights)"
+INSIGHTS = "live as (select insight_id as id, content as text, embedding as vector from m_insights)"
 
 
 def insights_of(t):
     return t.m_insights.select(F.col("insight_id").alias("id"), F.col("content").alias("text"), F.col("embedding").alias("vector"))
 
 
-@query(f"with {ASKED}, {_INSIGHTS}, {DENSE}, {SPARSE}, {_HYBRID} select query_id, id, round(score, 6) as score, rank::int as rank from h where rank <= 6")
+@query(f"with {ASKED}, {INSIGHTS}, {DENSE}, {SPARSE}, {HYBRID} select query_id, id, round(score, 6) as score, rank::int as rank from h where rank <= 6")
 def v15_insight_hybrid_search(t):
     c = insights_of(t)
     return six(N.hybrid_search(asked(t, 1), c, N.postings(c), 6, 0.2))
@@ -203,20 +203,25 @@ def variants_of(t):
 
 _VARIANTS = """variants as (select q.query_id, split_part(q.text, ' ', 1) as text, n.name, n.weight, q.query_id * 3 + n.k as variant_id, e.embedding as vector
   from m_queries q, (values (0, 'original', 1.0), (1, 'hyde', 0.65), (2, 'expanded', 0.85)) as n(k, name, weight), embeddings e where e.vec_id = q.query_id * 3 + n.k)"""
-_BY_VARIANT = _VARIANTS + f""",
+BY_VARIANT = _VARIANTS + f""",
 asked as (select variant_id as query_id, text, vector from variants), {LIVE}, {DENSE}, {SPARSE}"""
 
 
-@query(f"""with {_BY_VARIANT}, u as (select v.query_id, d.id, v.weight / (60 + d.rank) as s from dense d join variants v on v.variant_id = d.query_id
+FUSED = """u as (select v.query_id, d.id, v.weight / (60 + d.rank) as s from dense d join variants v on v.variant_id = d.query_id
   union all select v.query_id, d.id, v.weight / (60 + d.rank) from sparse d join variants v on v.variant_id = d.query_id where v.name <> 'hyde'),
-f as (select query_id, id, sum(s)::double as score from u group by 1, 2)
-select query_id, id, round(score, 6) as score, rank::int as rank from (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) as rank from f) where rank <= 50""")
+f as (select query_id, id, sum(s)::double as score from u group by 1, 2),
+fused as (select * from (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) as rank from f) where rank <= 50)"""
+
+
+@query(f"with {BY_VARIANT}, {FUSED} select query_id, id, round(score, 6) as score, rank::int as rank from fused")
 def v16_first_stage(t):
     c = corpus_of(t)
     return six(N.first_stage(variants_of(t), c, N.postings(c)))
 
 
-@query()
+@query(f"""with {BY_VARIANT.replace(LIVE, INSIGHTS).replace("rank <= 20", "rank <= 150")}, {HYBRID.replace("0.2", "0.0")},
+best as (select v.query_id, h.id, min(h.rank) as r from h join variants v on v.variant_id = h.query_id where h.rank <= 50 group by 1, 2)
+select * from (select query_id, id, round(1.0 / (60 + r), 6)::double as score, cast(row_number() over (partition by query_id order by round(1.0 / (60 + r), 12) desc, id) as int) as rank from best) where rank <= 50""")
 def v17_insight_first_stage(t):
     c = insights_of(t)
     return six(N.insight_first_stage(variants_of(t), c, N.postings(c)).drop("list"))
