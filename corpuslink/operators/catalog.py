@@ -56,6 +56,13 @@ def parse_filter(text: Column) -> Column:
     )
 
 
+def parse_pair(text: Column) -> Column:
+    """`key:value` to a struct; null without a colon or with a blank key or value."""
+    at = F.instr(text, ":")
+    key, value = F.trim(F.substring_index(text, ":", 1)), F.trim(F.substring(text, at + 1, F.length(text)))
+    return F.when((at > 0) & (key != "") & (value != ""), F.struct(key.alias("key"), value.alias("value")))
+
+
 def jobs_by_status(jobs: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
     """Newest first. `failed` and `processing` match with any stage; without a status the last `limit` jobs."""
     if status is None:

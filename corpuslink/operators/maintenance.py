@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import STAGES, live
+from .catalog import STAGES, live, sources_of_kind
 
 
 def drop_orphan_insights(insights: DataFrame, links: DataFrame) -> DataFrame:
@@ -24,6 +24,12 @@ def delete_sources(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, D
     return kept
 
 
+def purge(tables: dict[str, DataFrame], kind: str, execute: bool = False, limit: int | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The live sources of a kind, and the tables without them and what depends on them; as they were unless execute is set."""
+    found = sources_of_kind(tables["sources"], kind, limit)
+    return found, delete_sources(tables, found.select("source_id")) if execute else tables
+
+
 def soft_delete(sources: DataFrame, gone: DataFrame) -> DataFrame:
     marked = gone.select("source_id", F.lit(True).alias("_gone")).distinct()
     return sources.join(marked, "source_id", "left").withColumn("is_deleted", F.col("is_deleted") | F.coalesce("_gone", F.lit(False))).drop("_gone")

@@ -128,6 +128,12 @@ def b05_parse_filters(t):
     return t.documents.select("doc_id", C.parse_filter(text).alias("f")).select("doc_id", "f.key", "f.value", "f.error")
 
 
+@query("select doc_id, case when doc_id % 4 < 2 then source end as key, case when doc_id % 4 < 2 then concat(lang, case when doc_id % 4 = 1 then ':x' else '' end) end as value from documents")
+def b05_parse_pairs(t):
+    text = F.expr("case doc_id % 4 when 0 then concat(' ', source, ' : ', lang) when 1 then concat(source, ':', lang, ':x') when 2 then concat(source, ': ') else source end")
+    return t.documents.select("doc_id", C.parse_pair(text).alias("f")).select("doc_id", "f.key", "f.value")
+
+
 @query("select job_id, status from m_jobs where status like 'failed:%'")
 def b06_jobs_by_status(t):
     return C.jobs_by_status(t.m_jobs, "failed").select("job_id", "status")

@@ -131,7 +131,8 @@ def _links(t):
 
 
 _FIRST_INSIGHTS = f"""{BY_VARIANT.replace(LIVE, INSIGHTS).replace("rank <= 20", "rank <= 150")}, {HYBRID.replace("0.2", "0.0")},
-fused as (select query_id, id, 1.0 / (60 + best) as score from (select v.query_id, h.id, min(h.rank) as best from h join variants v on v.variant_id = h.query_id where h.rank <= 50 group by 1, 2)),
+fused as (select query_id, id, 1.0 / (60 + best) as score from (select *, row_number() over (partition by query_id order by best, id) as k from
+  (select v.query_id, h.id, min(h.rank) as best from h join variants v on v.variant_id = h.query_id where h.rank <= 50 group by 1, 2)) where k <= 50),
 {ASKED.replace("asked", "q0", 1)}"""
 _SEED_INSIGHTS = f"""chosen as (select * from (select *, row_number() over (partition by query_id order by round(s, 12) desc, id) as k from
   (select q.query_id, c.id, f.score, {COSINE} as s from fused f join q0 q using (query_id) join live c on c.id = f.id)) where k <= 5),
@@ -359,9 +360,18 @@ def m08_requeue(t):
 
 @query("select source_id from m_sources where not is_deleted and kind = 'youtube' and source_id % 4 = 2")
 def m09_purge_dry_run(t):
-    from ..operators.catalog import sources_of_kind
+    return M.purge({"sources": t.m_sources}, "youtube")[0].select("source_id")
 
-    return sources_of_kind(t.m_sources, "youtube").select("source_id")
+
+@query("""with gone as (select source_id from m_vsources where kind = 'report' and not is_deleted), lost as (select chunk_id from m_vchunks where source_id in (select source_id from gone)),
+kept as (select * from m_links where chunk_id not in (select chunk_id from lost))
+select 'chunks' as table_name, (select count(*) from m_vchunks where chunk_id not in (select chunk_id from lost)) as n union all select 'jobs', (select count(*) from m_jobs where source_id not in (select source_id from gone))
+union all select 'links', (select count(*) from kept) union all select 'sources', (select count(*) from m_vsources where source_id not in (select source_id from gone))
+union all select 'mentions', (select count(*) from (select unnest(regexp_extract_all(content, '\\b[A-Z][a-z]{3,}')) from m_vchunks where chunk_id not in (select chunk_id from lost)))
+union all select 'insights', (select count(*) from m_insights where insight_id in (select insight_id from kept) or insight_id not in (select insight_id from m_links))""")
+def m09_purge(t):
+    sources = t.m_vsources.withColumn("created_at", F.col("source_id"))
+    return _counts(M.purge(_tables(t) | {"sources": sources, "jobs": t.m_jobs}, "report", execute=True)[1])
 
 
 @query("""with l as (select job_id, stage, max_by(state, [epoch_us(updated_at), event_id]) as state, max([epoch_us(updated_at), event_id]) as lst from m_job_events group by 1, 2),
