@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
+    """The rows with their numbers from 1 in an order that should have no ties.
+
+    Ranges of the order are numbered in tasks of their own and then moved by the sizes of the ranges before them, so that the
+    rows are never ordered in one task; what is broadcast is one number for each range, as many as there are shuffle partitions.
+    The ranges are written to the shared folder once, so that both steps see the same ones.
+    """
+    ranges = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_own", own).join(F.broadcast(first), "_range").select(*df.columns, (F.col("_first") + F.col("_own")).alias(name))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every id of the edges (a, b): the smallest id that can be reached.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import connected_components, materialize
+from ..functions.shared import connected_components, materialize, numbered
 from .vectors import dense_topk
 
 NAME = r"\b[A-Z][a-z]{3,}"
@@ -173,13 +173,15 @@ def pick_chunks(scored: DataFrame, k: int = 5) -> DataFrame:
 
 
 def community_report(membership: DataFrame, mentions: DataFrame) -> DataFrame:
-    """community, size, its entities, its sources and whether there are several; across sources first, then by size."""
+    """community, size, its entities, its sources, whether there are several, and its place: across sources first, then by size.
+
+    The lists are those of one community, once each; only community and size are ordered over all communities.
+    """
     own = membership.join(mentions.select("entity", "source_id").distinct(), "entity")
-    r = own.groupBy("community").agg(
-        F.countDistinct("entity").alias("size"), F.sort_array(F.collect_set("entity")).alias("entities"), F.sort_array(F.collect_set("source_id")).alias("sources")
-    )
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("is_cross_source"), F.desc("size"), "community")
-    return r.withColumn("is_cross_source", F.size("sources") > 1).withColumn("place", F.row_number().over(order))
+    r = materialize(own.groupBy("community").agg(F.sort_array(F.collect_set("entity")).alias("entities"), F.sort_array(F.collect_set("source_id")).alias("sources")))
+    sizes = r.select("community", F.size("entities").cast("long").alias("size"), (F.size("sources") > 1).alias("is_cross_source"))
+    placed = numbered(sizes, F.desc("is_cross_source"), F.desc("size"), F.col("community"))
+    return r.join(placed, "community").select("community", "size", "entities", "sources", "is_cross_source", F.col("place").cast("int").alias("place"))
 
 
 def resolve_scope(results: DataFrame) -> DataFrame:

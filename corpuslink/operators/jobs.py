@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import numbered
 from .catalog import STAGES
 
 
@@ -27,14 +28,8 @@ def stuck_jobs(jobs: DataFrame, now: str, minutes: int = 30) -> DataFrame:
 
 def claim_order(jobs: DataFrame) -> DataFrame:
     """Pending jobs, the oldest first, with the stage they start from. jobs: job_id, status, updated_at, retry_from."""
-    pending = jobs.where("status = 'pending'").withColumn("bucket", F.date_trunc("day", F.col("updated_at")))
-    # Numbered within days and then by the days before, so that the whole queue is never ordered in one task.
-    w = Window.partitionBy("bucket").orderBy("updated_at", "job_id")
-    days = pending.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = days.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    return pending.withColumn("k", F.row_number().over(w)).join(F.broadcast(before), "bucket").select(
-        "job_id", (F.col("first") + F.col("k")).alias("place"), F.coalesce("retry_from", F.lit(STAGES[0])).alias("start_stage")
-    )
+    pending = jobs.where("status = 'pending'").select("job_id", "updated_at", F.coalesce("retry_from", F.lit(STAGES[0])).alias("start_stage"))
+    return numbered(pending, "updated_at", "job_id").select("job_id", "place", "start_stage")
 
 
 def retry(jobs: DataFrame, stage: str) -> DataFrame:

@@ -21,8 +21,8 @@ def query(sql: str | None = None):
     return take
 
 
-#: Mentions in the scope of some sources, entities by their number.
-_M = "m as (select distinct chunk_id, source_id, entity_id as entity from m_mentions where source_id % 20 = 3)"
+#: Mentions of all sources, entities by their number.
+_M = "m as (select distinct chunk_id, source_id, entity_id as entity from m_mentions)"
 _EDGES = f"""{_M}, deg as (select entity, count(distinct chunk_id) as d from m group by 1),
 p as (select x.entity as a, y.entity as b, x.chunk_id from m x join m y on x.chunk_id = y.chunk_id and x.entity < y.entity),
 co as (select a, b, count(*) / sqrt(da.d * db.d) as weight from p join deg da on da.entity = a join deg db on db.entity = b group by a, b, da.d, db.d)"""
@@ -37,7 +37,7 @@ sem as (select least(q, id) as a, greatest(q, id) as b, max(s) * 0.5 as weight f
 
 
 def mentions_of(t):
-    return t.m_mentions.where("source_id % 20 = 3").select("chunk_id", "source_id", F.col("entity_id").alias("entity")).distinct()
+    return t.m_mentions.select("chunk_id", "source_id", F.col("entity_id").alias("entity")).distinct()
 
 
 def vectors_of(t):
@@ -61,7 +61,7 @@ def c00b_relation_edges(t):
 @query(f"with {_M} select entity, count(distinct chunk_id) as n_chunks, count(distinct source_id) as n_sources from m group by 1")
 def c01_scope_graph(t):
     every = t.m_mentions.select("chunk_id", "source_id", F.col("entity_id").alias("entity"))
-    return G.scope_graph(every, t.customer.select(F.col("c_custkey").alias("source_id")).where("source_id % 20 = 3"))[0]
+    return G.scope_graph(every, t.customer.select(F.col("c_custkey").alias("source_id")))[0]
 
 
 @query("select c_custkey + 5 as source_id from customer where c_custkey + 5 not in (select source_id from m_mentions)")

@@ -236,11 +236,11 @@ def i01_extract_insights(t):
     return I.extract_insights(t.m_vchunks, _said).select("source_id", "chunk_id", "seq", "insight")
 
 
-@query("""with s as (select a.vec_id as seq, b.vec_id as id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as score from embeddings a, embeddings b where a.vec_id % 2 = 1 and b.vec_id % 2 = 0),
+@query("""with s as (select a.vec_id as seq, b.vec_id as id, list_cosine_similarity(list_reverse(a.embedding::double[]), b.embedding::double[]) as score from embeddings a, embeddings b),
 r as (select *, row_number() over (partition by seq order by round(score, 12) desc, id) as k from s) select seq, id as existing_id, round(score, 6) as score from r where k = 1 and score >= 0.3""")
 def i02_match_existing(t):
     e = t.embeddings
-    return six(I.match_existing(e.where("vec_id % 2 = 1").selectExpr("vec_id as seq", "embedding as vector"), e.where("vec_id % 2 = 0").selectExpr("vec_id as id", "embedding as vector"), 0.3))
+    return six(I.match_existing(e.selectExpr("vec_id as seq", "reverse(embedding) as vector"), e.selectExpr("vec_id as id", "embedding as vector"), 0.3))
 
 
 _GREEDY = """with recursive p as (select b.vec_id as seq, a.vec_id as earlier, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a join embeddings b on a.vec_id < b.vec_id
@@ -281,9 +281,9 @@ def i06_mutual_links(t):
     return six(I.mutual_links(t.embeddings.selectExpr("vec_id as id", "embedding as vector", "array(label) as sources")), "similarity")
 
 
-@query(f"with {_LINKS}, r as (select *, row_number() over (partition by src order by round(similarity, 12) desc, dst) as k from links where src % 7 = 0) select src, dst, round(similarity, 6) as similarity, k::int as rank from r where k <= 3")
+@query(f"with {_LINKS}, r as (select *, row_number() over (partition by src order by round(similarity, 12) desc, dst) as k from links) select src, dst, round(similarity, 6) as similarity, k::int as rank from r where k <= 3")
 def i07_related(t):
-    return six(I.related(_links(t), t.embeddings.where("vec_id % 7 = 0").selectExpr("vec_id as id"), 3), "similarity")
+    return six(I.related(_links(t), t.embeddings.selectExpr("vec_id as id"), 3), "similarity")
 
 
 @query("select source_id, count(*) as n_chunks, count(*) filter (where chunk_id % 3 = 0) as n_new, count(*) filter (where chunk_id % 3 <> 0) as n_reused from m_vchunks group by 1")
@@ -312,9 +312,14 @@ def m01_delete_sources(t):
     return _counts(M.delete_sources(_tables(t), t.m_vsources.where("source_id in (2, 5)").select("source_id")))
 
 
-@query("select insight_id from m_insights where insight_id in (select insight_id from m_links where chunk_id % 3 = 0)")
+def _labelled(t):
+    """Links of the documents that have labels, each to an insight of its own number."""
+    return t.labels.selectExpr("doc_id as chunk_id", "doc_id as insight_id")
+
+
+@query("select insight_id from m_insights where insight_id in (select doc_id from labels)")
 def m02_drop_orphan_insights(t):
-    return M.drop_orphan_insights(t.m_insights, t.m_links.where("chunk_id % 3 = 0")).select("insight_id")
+    return M.drop_orphan_insights(t.m_insights, _labelled(t)).select("insight_id")
 
 
 @query("select source_id, is_deleted or kind = 'youtube' as is_deleted from m_sources")
@@ -333,16 +338,16 @@ def m04_cleanup_from_stage(t):
     return _counts(kept | {"vectors": kept["chunks"].where("embedding is not null")})
 
 
-@query("""select source_id from m_sources s where not is_deleted and source_id in (select vec_id from embeddings) and source_id % 3 > 0 order by created_at desc, source_id limit 40""")
+@query("""select source_id from m_sources s where not is_deleted and source_id in (select vec_id from embeddings) and source_id not in (select doc_id from labels where doc_id is not null) order by created_at desc, source_id limit 40""")
 def m05_pending_insight_sources(t):
     chunks = t.embeddings.selectExpr("vec_id as chunk_id", "vec_id as source_id", "false as is_deleted")
-    return M.pending_insight_sources(t.m_sources, chunks, t.m_links.where("chunk_id % 3 = 0"), 40).select("source_id")
+    return M.pending_insight_sources(t.m_sources, chunks, _labelled(t), 40).select("source_id")
 
 
-@query("select source_id from m_sources where not is_deleted and (source_id % 3 > 0 or source_id not in (select vec_id from embeddings))")
+@query("select source_id from m_sources where not is_deleted and (source_id not in (select doc_id from labels where doc_id is not null) or source_id not in (select vec_id from embeddings))")
 def m06_rebuild_insights(t):
     chunks = t.embeddings.selectExpr("vec_id as chunk_id", "vec_id as source_id", "false as is_deleted")
-    return M.sources_to_rebuild(t.m_sources, chunks, t.m_links.where("chunk_id % 3 = 0")).select("source_id")
+    return M.sources_to_rebuild(t.m_sources, chunks, _labelled(t)).select("source_id")
 
 
 @query("select chunk_id, insight_id from m_links where chunk_id = insight_id")

@@ -75,12 +75,12 @@ def v03_dense_topk_by_ids(t):
     return six(V.dense_topk_by_ids(asked(t).select("query_id", "vector"), candidates, c, 5))
 
 
-@query("""with s as (select a.vec_id as query_id, b.vec_id as id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as score from embeddings a, embeddings b where a.vec_id % 2 = 0 and b.vec_id % 2 = 1 and b.vec_id % 17 <> 0)
+@query("""with s as (select a.vec_id as query_id, b.vec_id as id, list_cosine_similarity(list_reverse(a.embedding::double[]), b.embedding::double[]) as score from embeddings a, embeddings b where b.vec_id % 17 <> 0)
 select query_id, id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) as k from s) where k = 1""")
 def v04_nearest(t):
     e = t.embeddings
-    corpus = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 17 != 0, F.col("embedding")).alias("vector"))
-    return six(V.nearest(e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), corpus))
+    corpus = e.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 17 != 0, F.col("embedding")).alias("vector"))
+    return six(V.nearest(e.select(F.col("vec_id").alias("query_id"), F.reverse("embedding").alias("vector")), corpus))
 
 
 @query()

@@ -121,10 +121,10 @@ def t12_answer_context(t):
     return g.select("source", K.answer_context(F.concat(F.lit("What is in "), "source", F.lit("?")), F.col("r"), "Answer from the results.").alias("prompt"))
 
 
-@query("""select source_id as community, string_agg(concat('[Source: s', source_id, ']', chr(10), substr(content, 1, 50)), concat(chr(10), chr(10), '---', chr(10), chr(10)) order by chunk_index) as context
+@query("""select source_id as community, string_agg(concat('[Source: s', source_id, ']', chr(10), content), concat(chr(10), chr(10), '---', chr(10), chr(10)) order by chunk_index) as context
 from m_vchunks where chunk_index < 5 group by 1""")
 def t13_community_context(t):
-    rows = t.m_vchunks.where("chunk_index < 5").selectExpr("source_id as community", "chunk_index as rank", "concat('s', source_id) as source_name", "substring(content, 1, 50) as content")
+    rows = t.m_vchunks.where("chunk_index < 5").selectExpr("source_id as community", "chunk_index as rank", "concat('s', source_id) as source_name", "content")
     return K.community_context(rows)
 
 
