@@ -126,3 +126,29 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & verdict(thresholds)).alias("kept"),
     )
+
+
+def sql(table: str = "documents", thresholds=THRESHOLDS) -> str:
+    """The SQL (DuckDB) that gives the rows of quality_rules over a table of doc_id and text."""
+    rules = []
+    for _, ratio, low, high, words in thresholds:
+        top, _, below = ratio.partition(" / ")
+        value = f"coalesce({top}::double / nullif({below}, 0), 0.0)" if below else top
+        bounds = [f"{value} >= {low}"] * (low is not None) + [f"{value} <= {high}"] * (high is not None)
+        rules.append(f"(({' and '.join(bounds)}) or n_words < {words})")
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    following = ", ".join(f"lead(word, {k}) over o" for k in range(1, WINDOW))
+    return rf"""with t as (select row_number() over () as r, doc_id, coalesce(text, '') as t from {table}),
+w as (select r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from t),
+u as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as i, len(w) as n from w where len(w) > {WINDOW}),
+g as (select r, i, n, concat_ws(' ', word, {following}) as x from u window o as (partition by r order by i)),
+h as (select r, i, count(*) over (partition by r, x) as k from g where i <= n - {WINDOW - 1}),
+p as (select r, count(distinct i + x) as n from h, range(0, {WINDOW}) as o(x) where k > 1 group by r),
+l as (select r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from t),
+m as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+  coalesce(n, 0)::bigint as n_repeat_words, len(l)::bigint as n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g'))::bigint as n_capitals,
+  len(list_filter(string_split_regex(lower(t), '[\x09-\x0D\x20.,;:!?]+'), lambda x: list_contains([{stop}], x)))::bigint as n_stop_words
+  from t join w using (r) join l using (r) left join p using (r)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {' and '.join(rules)} as kept from b"""

@@ -12,6 +12,7 @@ from .mixing import mixture
 from .mixing import sql as mixing_sql
 from .packing import pack
 from .quality import quality_rules
+from .quality import sql as quality_sql
 from .sharding import shard
 from .simhash import simhash_components
 from .substrings import remove_repeats
@@ -68,7 +69,7 @@ QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_simhash_near_dedup, op3_substring_dedup, op4_warc_salvage, op5_html_extraction,
     op6_minimax_sharding, op7_source_mixing, op8_embedding_near_dedup, op9_quality_rules, op10_url_filters,
 )}
-ORACLE_SQL: dict[str, str] = {"op7_source_mixing": mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_source_mixing": mixing_sql(), "op9_quality_rules": quality_sql()}
 
 
 def queries() -> dict:

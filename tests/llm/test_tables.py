@@ -96,6 +96,14 @@ def test_verdict(spark):
     assert kept == {1: True, 2: False, 3: False, 4: False, 5: False}
 
 
+def test_quality_is_its_sql(spark, small):
+    from helpers import rows_of, rows_of_sql
+
+    from corpuslink.llm import queries
+
+    assert rows_of(queries.QUERIES["op9_quality_rules"](spark, small)) == rows_of_sql(queries.ORACLE_SQL["op9_quality_rules"], small)
+
+
 def test_quality_keeps_good_labels(spark, small):
     got = quality.quality_rules(spark.read.parquet(f"{small}/documents.parquet")).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id")
     rows = [r for r in got.collect() if not r.base_failed]
