@@ -184,7 +184,15 @@ def community_report(membership: DataFrame, mentions: DataFrame) -> DataFrame:
     return r.join(placed, "community").select("community", "size", "entities", "sources", "is_cross_source", F.col("place").cast("int").alias("place"))
 
 
-def resolve_scope(results: DataFrame) -> DataFrame:
-    """query_id and source_id, each source once, at the place where it first occurs. results: query_id, source_id, rank."""
+def resolve_scope(results: DataFrame, mode: str = "ids", corpus: DataFrame | None = None) -> DataFrame:
+    """query_id and source_id, each source once, at the place where it first occurs.
+
+    results: query_id, source_id, rank where the sources are named (`ids`); query_id, id, rank of the chunks that hybrid_search
+    (`search`) or the reranked first stage (`retrieve`) found, whose sources are those of the corpus (id, source_id).
+    """
+    if mode not in ("ids", "search", "retrieve"):
+        raise ValueError(f"no way to find a scope: {mode}")
+    if mode != "ids":
+        results = results.join(corpus.select("id", "source_id"), "id")
     first = results.groupBy("query_id", "source_id").agg(F.min("rank").alias("first"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "source_id"))).drop("first")

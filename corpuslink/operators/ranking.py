@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ANALYZERS, cosine
-from .vectors import dense_topk
+from .vectors import dense_topk, dense_topk_by_ids
 
 COVER_WEIGHT = 0.1
 
@@ -25,16 +25,21 @@ def query_terms(queries: DataFrame, analyzer: str = "simple") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(ANALYZERS[analyzer](F.col("text")))).alias("term")).withColumn("role", F.lit("required"))
 
 
-def sparse_match(terms: DataFrame, posted: DataFrame) -> DataFrame:
+def sparse_match(terms: DataFrame, posted: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
     """(query_id, id) where all required terms occur, one of the `any` terms if there are some, and no negated one.
 
-    terms: query_id, term, role (required, any, negated). Phrases are added by phrase_match.
+    terms: query_id, term, role (required, any, negated). phrases: query_id, phrase (its number), offset, term, role; a phrase
+    counts as one term of its role, met where its terms stand side by side.
     """
-    need = terms.groupBy("query_id").agg(F.count_if(F.col("role") == "required").alias("n_req"), F.count_if(F.col("role") == "any").alias("n_any"))
-    met = terms.join(posted.select("term", "id"), "term").groupBy("query_id", "id").agg(
-        F.count_if(F.col("role") == "required").alias("req"), F.count_if(F.col("role") == "any").alias("any_"), F.count_if(F.col("role") == "negated").alias("neg")
-    )
-    return met.join(F.broadcast(need), "query_id").where("req = n_req and (n_any = 0 or any_ > 0) and neg = 0 and req + any_ > 0").select("query_id", "id")
+    units, met = terms.select("query_id", "role"), terms.join(posted.select("term", "id"), "term").select("query_id", "id", "role")
+    if phrases is not None:
+        named = phrases.select("query_id", "phrase", "role").distinct()
+        units = units.unionByName(named.select("query_id", "role"))
+        met = met.unionByName(phrase_match(phrases.drop("role"), posted).join(named, ["query_id", "phrase"]).select("query_id", "id", "role"))
+    count = lambda role: F.count_if(F.col("role") == role)
+    need = units.groupBy("query_id").agg(count("required").alias("n_req"), count("any").alias("n_any"))
+    met = met.groupBy("query_id", "id").agg(count("required").alias("req"), count("any").alias("any_"), count("negated").alias("neg"))
+    return met.join(need, "query_id").where("req = n_req and (n_any = 0 or any_ > 0) and neg = 0 and req + any_ > 0").select("query_id", "id")
 
 
 def phrase_match(phrases: DataFrame, posted: DataFrame) -> DataFrame:
@@ -59,15 +64,20 @@ def cover_density(places: list[tuple[int, int]], terms: int, weight: float = COV
     return score
 
 
-def sparse_topk(terms: DataFrame, posted: DataFrame, n: int, weight: float = COVER_WEIGHT) -> DataFrame:
-    """query_id, id, score and rank of the n best matches by cover density of the required terms; ties by id."""
+def sparse_topk(terms: DataFrame, posted: DataFrame, n: int, weight: float = COVER_WEIGHT, *, within: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score and rank of the n best matches by cover density of the required terms; ties by id.
+
+    within: the (query_id, id) that may be found; None for all.
+    """
     required = terms.where("role = 'required'")
     numbered = required.withColumn("t", F.row_number().over(Window.partitionBy("query_id").orderBy("term")))
     sizes = required.groupBy("query_id").agg(F.count("*").alias("k"))
     matched = sparse_match(terms, posted)
+    if within is not None:
+        matched = matched.join(within, ["query_id", "id"], "left_semi")
     rows = (
         numbered.join(posted, "term").join(matched, ["query_id", "id"], "left_semi").select("query_id", "id", "t", F.explode("positions").alias("pos"))
-        .groupBy("query_id", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("places")).join(F.broadcast(sizes), "query_id")
+        .groupBy("query_id", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("places")).join(sizes, "query_id")
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,10 +128,23 @@ def hybrid_scores(dense: DataFrame, sparse: DataFrame, limit: int, least: float)
     return ranked(both.where(F.col("score") >= least), limit)
 
 
-def hybrid_search(queries: DataFrame, corpus: DataFrame, posted: DataFrame, limit: int = 10, least: float = 0.7, analyzer: str = "simple") -> DataFrame:
-    """Hybrid search of a table of queries (query_id, text, vector) over (id, vector) and the postings of the same rows."""
+def hybrid_search(
+    queries: DataFrame, corpus: DataFrame, posted: DataFrame, limit: int = 10, least: float = 0.7, analyzer: str = "simple", scope: DataFrame | None = None
+) -> DataFrame:
+    """Hybrid search of a table of queries (query_id, text, vector) over (id, vector) and the postings of the same rows.
+
+    scope: query_id, source_id. A query that is in it sees only the rows of its sources (corpus then has a source_id), none
+    if that is null; the others see all. Both lists are taken from what a query sees. apply_context adds the contexts.
+    """
     top = max(3 * limit, 20)
-    return hybrid_scores(dense_topk(queries, corpus, top), sparse_topk(query_terms(queries, analyzer), posted, top), limit, least)
+    free = queries if scope is None else queries.join(scope, "query_id", "left_anti")
+    dense, sparse = dense_topk(free, corpus, top), sparse_topk(query_terms(free, analyzer), posted, top)
+    if scope is not None:
+        own = queries.join(scope, "query_id", "left_semi")
+        within = corpus.select("id", "source_id").join(scope.select("query_id", "source_id").distinct(), "source_id").select("query_id", "id")
+        dense = dense.unionByName(dense_topk_by_ids(own.select("query_id", "vector"), within, corpus, top))
+        sparse = sparse.unionByName(sparse_topk(query_terms(own, analyzer), posted, top, within=within))
+    return hybrid_scores(dense, sparse, limit, least)
 
 
 def first_stage(variants: DataFrame, corpus: DataFrame, posted: DataFrame, each: int = 20, fused: int = 50, k: int = 60) -> DataFrame:

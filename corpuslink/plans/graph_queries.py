@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import connected_components
 from ..operators import graph as G
+from ..operators import ranking as N
+from . import search_queries as S
 from .search_queries import six
 
 QUERIES: dict = {}
@@ -147,6 +149,22 @@ def c10_resolve_scope(t):
     return G.resolve_scope(rows)
 
 
+_PLACES = """places as (select r.query_id, c.source_id, min(r.rank) as first from found r join m_vchunks c on c.chunk_id = r.id group by 1, 2)
+select query_id, source_id, cast(row_number() over (partition by query_id order by first, source_id) as int) as place from places"""
+
+
+@query(f"with {S.ASKED}, {S.LIVE}, {S.DENSE}, {S.SPARSE}, {S.HYBRID}, found as (select * from h where rank <= 6), {_PLACES}")
+def c10_resolve_scope_search(t):
+    return G.resolve_scope(S.v14_hybrid_search(t), "search", S.corpus_of(t))
+
+
+@query(f"""with {S.BY_VARIANT}, {S.FUSED}, z as (select f.query_id, f.id, {S.COSINE} as score from fused f join (select m.query_id, e.embedding as vector from m_queries m join embeddings e on e.vec_id = 10 * m.query_id) q using (query_id) join live c on c.id = f.id),
+found as (select * from (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) as rank from z) where rank <= 10), {_PLACES}""")
+def c10_resolve_scope_retrieve(t):
+    c = S.corpus_of(t)
+    return G.resolve_scope(N.rerank(N.first_stage(S.variants_of(t), c, N.postings(c)), S.asked(t), c), "retrieve", c)
+
+
 @query(f"""with {_EDGES}, {_BY_LABEL}, e as (select co.*, x.community as ca, y.community as cb from co join mem x on x.entity = co.a join mem y on y.entity = co.b), t as (select sum(weight) as m from e),
 k as (select c, sum(weight) as k from (select ca as c, weight from e union all select cb, weight from e) group by 1), w as (select ca as c, sum(weight) as w from e where ca = cb group by 1)
 select round(sum(coalesce(w, 0) / m - pow(k / (2 * m), 2)), 6) as modularity from k left join w using (c), t""")

@@ -12,7 +12,7 @@ from ..operators import jobs as J
 from ..operators import maintenance as M
 from ..operators import ranking as N
 from ..operators import vectors as V
-from .search_queries import ASKED, BY_VARIANT, COSINE, DENSE, FUSED, HYBRID, INSIGHTS, LIVE, asked, corpus_of, insights_of, six, variants_of
+from .search_queries import ASKED, BY_VARIANT, COSINE, DENSE, FILTERED, FUSED, HYBRID, INSIGHTS, LIVE, asked, corpus_of, filtered, insights_of, six, variants_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -202,6 +202,11 @@ _SHOWN = """shown as (select query_id, id as seed_id, 'root' as level, id from f
 _LIVE_CONTEXT = _CONTEXT.replace("from m_vchunks)", "from m_vchunks where chunk_id in (select id from live))", 1).removeprefix("with recursive ").replace("select id, t as context from r where step = 4", "").rstrip()
 
 
+@query(f"with recursive {FILTERED}, {_LIVE_CONTEXT} select query_id, h.id, round(score, 6) as score, rank::int as rank, cast(length(r.t) as int) as n_chars from h join r on r.id = h.id and r.step = 4 where rank <= 6")
+def v14_hybrid_search_filtered(t):
+    return six(E.apply_context(filtered(t), corpus_of(t))).select("query_id", "id", "score", "rank", F.length("context").alias("n_chars"))
+
+
 @query(f"with recursive {_ALL}, {_SHOWN}, {_LIVE_CONTEXT} select query_id, seed_id, level, s.id, cast(length(r.t) as int) as n_chars from shown s join r on r.id = s.id and r.step = 4")
 def k10_apply_context(t):
     return _stages(t)["contexts"].select("query_id", "seed_id", "level", "id", F.length("context").alias("n_chars"))

@@ -122,6 +122,15 @@ def v08_phrase_match(t):
     return N.phrase_match(t.spark.createDataFrame(rows, "query_id long, phrase int, offset int, term string"), N.postings(corpus_of(t)))
 
 
+@query(f"""with {LIVE}, w as (select id, concat(' ', array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), ' '), ' ') as t from live)
+select 0::bigint as query_id, id from w where contains(t, ' of the ') and contains(t, ' that ') union all select 1, id from w where contains(t, ' the ') and not contains(t, ' of the ')
+union all select 2, id from w where contains(t, ' that ') or contains(t, ' of the ')""")
+def v08_phrases_with_terms(t):
+    terms = t.spark.createDataFrame([(0, "that", "required"), (1, "the", "required"), (2, "that", "any")], "query_id long, term string, role string")
+    rows = [(q, 0, k, w, role) for q, role in enumerate(("required", "negated", "any")) for k, w in enumerate(("of", "the"))]
+    return N.sparse_match(terms, N.postings(corpus_of(t)), t.spark.createDataFrame(rows, "query_id long, phrase int, offset int, term string, role string"))
+
+
 @query(f"with {ASKED}, {LIVE}, {SPARSE} select query_id, id, round(score, 6)::double as score, rank::int as rank from sparse")
 def v09_sparse_topk(t):
     return six(N.sparse_topk(N.query_terms(asked(t, 1)), N.postings(corpus_of(t)), 20))
@@ -179,6 +188,27 @@ def v14_hybrid_search(t):
     return six(N.hybrid_search(asked(t, 1), c, N.postings(c), 6, 0.2))
 
 
+#: What each query may see: by one pair of metadata, by two, by one that nothing has; the last query has no filter.
+_SEEN = """seen as (select q.query_id, c.chunk_id as id from m_queries q, m_vsources s, m_vchunks c where s.source_id = c.source_id
+  and case q.query_id when 0 then s.kind = 'report' when 1 then s.lang = 'de' when 2 then s.kind = 'article' and s.lang = 'de' else q.query_id = 4 end)"""
+FILTERED = ", ".join((
+    ASKED, LIVE, _SEEN, DENSE.replace("from asked q, live c)", "from asked q, live c, seen where seen.query_id = q.query_id and seen.id = c.id)"),
+    SPARSE.replace("group by 1, 2)", "where (q.query_id, t.id) in (select query_id, id from seen) group by 1, 2)"), HYBRID,
+))
+
+
+def filters_of(t):
+    pairs = F.expr("explode(case query_id when 0 then map('kind', 'report') when 1 then map('lang', 'de') when 2 then map('kind', 'article', 'lang', 'de') when 3 then map('kind', 'none') end)")
+    return t.m_queries.select("query_id", pairs.alias("key", "value"))
+
+
+def filtered(t):
+    """The hybrid search within the sources that have all pairs of a query's filters."""
+    filters, c = filters_of(t), corpus_of(t)
+    scope = filters.select("query_id").distinct().join(C.metadata_all(t.m_vsources.selectExpr("source_id", "map('kind', kind, 'lang', lang) as metadata"), filters), "query_id", "left")
+    return N.hybrid_search(asked(t, 1), c, N.postings(c), 6, 0.2, scope=scope)
+
+
 INSIGHTS = "live as (select insight_id as id, content as text, embedding as vector from m_insights)"
 
 
