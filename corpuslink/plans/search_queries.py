@@ -222,6 +222,18 @@ def v15_insight_hybrid_search(t):
     return six(N.hybrid_search(asked(t, 1), c, N.postings(c), 6, 0.2))
 
 
+@query(f"""with {ASKED}, {INSIGHTS}, {DENSE}, {SPARSE}, {HYBRID}, f as (select query_id, id, score, rank from h where rank <= 6),
+r as (select l.insight_id, c.source_id, concat('t', cast(c.source_id as varchar)) as topic from m_links l join m_vchunks c on c.chunk_id = l.chunk_id join m_vsources s on s.source_id = c.source_id
+  where not c.is_deleted and not s.is_deleted and s.job_status = 'completed'),
+d as (select insight_id, array_to_string(list_sort(list_distinct(list(topic))), ',') as topics, array_to_string(list_sort(list_distinct(list(source_id))), ',') as sources from r group by 1)
+select query_id, id, round(score, 6) as score, rank::int as rank, topics, sources from f left join d on d.insight_id = f.id""")
+def v15_insight_search_details(t):
+    found = v15_insight_hybrid_search(t)
+    links = t.m_links.join(found.select(F.col("id").alias("insight_id")), "insight_id", "left_semi").join(t.m_vchunks.select("chunk_id", F.array(F.concat(F.lit("t"), "source_id")).alias("topics")), "chunk_id")
+    details = C.insight_details(links, t.m_vchunks, t.m_vsources).select(F.col("insight_id").alias("id"), F.array_join("topics", ",").alias("topics"), F.array_join("sources", ",").alias("sources"))
+    return found.join(details, "id", "left")
+
+
 def variants_of(t):
     """Three variants of each query: as it is, a hypothetical text, and one of the expanded kind."""
     names = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("name"), F.lit(w).alias("weight")) for k, n, w in ((0, "original", 1.0), (1, "hyde", 0.65), (2, "expanded", 0.85))]))
