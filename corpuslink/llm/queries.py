@@ -11,11 +11,14 @@ from .html import main_text
 from .mixing import mixture
 from .mixing import sql as mixing_sql
 from .packing import pack
+from .periodic import periodic_runs
 from .quality import quality_rules
 from .quality import sql as quality_sql
 from .sharding import shard
 from .simhash import simhash_components
+from .spelling import spelling_variants
 from .substrings import remove_repeats
+from .tokens import token_counts
 from .urls import filter_urls
 from .vectors import near_vectors
 from .warc import round_trip
@@ -65,9 +68,22 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), 2048)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_read(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_simhash_near_dedup, op3_substring_dedup, op4_warc_salvage, op5_html_extraction,
     op6_minimax_sharding, op7_source_mixing, op8_embedding_near_dedup, op9_quality_rules, op10_url_filters,
+    op11_spelling_variants, op12_token_counts, op13_periodic_runs,
 )}
 ORACLE_SQL: dict[str, str] = {"op7_source_mixing": mixing_sql(), "op9_quality_rules": quality_sql()}
 
