@@ -116,6 +116,22 @@ def pre_token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFram
     return told.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(count, "piece string, n long, n_tokens long")
 
 
+def _least_of_head(known: DataFrame) -> int:
+    """The occurrences from which on at most HEAD pre-tokens are left, by their numbers for each sixteenth of a power of two.
+
+    Where more than HEAD are alike frequent none of these is in the head, and none of them is frequent.
+    """
+    step = F.floor(16 * F.log2("n")).cast("int")
+    sizes = known.where(F.length("piece") <= HEAD_CHARS).groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect()
+    left, least = HEAD, 1 << 62
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        left -= r["k"]
+        if left < 0:
+            break
+        least = r["n"]
+    return least
+
+
 def token_counts(docs: DataFrame, limit: int = 2048, *, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (more than `limit` tokens) of every row, by the counts of its pre-tokens.
 
@@ -132,7 +148,7 @@ def token_counts(docs: DataFrame, limit: int = 2048, *, path: str | None = None,
 
         path = public_tokenizers.path("word_bpe_49k.json")
     known = materialize(pre_token_counts(docs, path, text))
-    first = known.where(F.length("piece") <= HEAD_CHARS).orderBy(F.desc("n"), "piece").limit(HEAD)
+    first = known.where((F.length("piece") <= HEAD_CHARS) & (F.col("n") >= _least_of_head(known)))
     head = docs.sparkSession.sparkContext.broadcast({r["piece"]: r["n_tokens"] for r in first.select("piece", "n_tokens").collect()})
     rest = pa.list_(pa.struct([("piece", pa.string()), ("times", pa.int64())]))
 
