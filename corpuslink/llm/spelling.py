@@ -23,7 +23,7 @@ TYPO = 199
 ROOM = 300_000
 #: Bytes of the words that a cell of the shared trees holds, and of the words that ask it, in one task; what is more goes to tasks of its own.
 CELL, ASKED = 1 << 20, 4 << 20
-#: Words from which the shared trees are laid out, and cells that they have at most: the driver holds no more, and only the sizes of tasks depend on it.
+#: Words (about so many) from which the shared trees are laid out, and cells that they have at most: the driver holds no more, and only the sizes of tasks depend on it.
 SAMPLE, CELLS = 1 << 15, 1 << 12
 #: Lengths from which on all lengths share one tree.
 LONG = 64
@@ -250,8 +250,12 @@ def near_words(words: DataFrame) -> DataFrame:
     they count. No candidate is dropped.
     """
     size = F.least(F.length("word"), F.lit(LONG)).alias("size")
-    per_size = {r["size"]: r["bytes"] for r in words.groupBy(size).agg(F.sum(F.octet_length("word") + 16).alias("bytes")).collect()}
-    sample = [r[0] for r in words.where(F.octet_length("word") <= 4 * LONG).select("word").orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()]
+    sizes = words.groupBy(size).agg(F.sum(F.octet_length("word") + 16).alias("bytes"), F.count("*").alias("k")).collect()
+    per_size = {r["size"]: r["bytes"] for r in sizes}
+    # About SAMPLE words, by their hash; long ones only shape trees and are left out.
+    share = min(1.0, SAMPLE / max(1, sum(r["k"] for r in sizes)))
+    chosen = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = [r[0] for r in words.where(chosen & (F.octet_length("word") <= 4 * LONG)).select("word").collect()]
     by_size = defaultdict(list)
     for w in sample:
         by_size[min(len(w), LONG)].append(w)
