@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.models import map_model
 from ..functions.shared import materialize
 from .responses import parse_insights
-from .vectors import CORPUS_BLOCK, QUERY_BLOCK, _unit, dense_pairs, nearest
+from .cells import CORPUS_BLOCK, QUERY_BLOCK, unit
+from .vectors import dense_pairs, nearest
 
 
 def extract_insights(chunks: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
@@ -94,7 +95,7 @@ def mutual_links(insights: DataFrame, k: int = 10) -> DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "s": pd.Series(dtype="float64")})
         b = b.sort_values("id2")
-        s = np.round(_unit(a["vector"]) @ _unit(b["vector2"]).T, 12)
+        s = np.round(unit(a["vector"]) @ unit(b["vector2"]).T, 12)
         names = {x: i for i, x in enumerate(sorted({x for col in (a["sources"], b["sources2"]) for xs in col for x in xs}))}
         ma, mb = np.zeros((len(a), len(names) + 1), np.float32), np.zeros((len(b), len(names) + 1), np.float32)
         for m, col in ((ma, a["sources"]), (mb, b["sources2"])):

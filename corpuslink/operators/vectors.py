@@ -9,64 +9,62 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import materialize
 from ..functions.text import cosine
+from .cells import Cells
 
-#: Rows of either side that one task compares at once.
-QUERY_BLOCK, CORPUS_BLOCK = 2_000, 20_000
+PAIRS = "query_id long, id long, score double"
 
 
-def _unit(column: pd.Series) -> np.ndarray:
-    x = np.stack(column.to_numpy()).astype(np.float64)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+def _scored(a: pd.DataFrame, b: pd.DataFrame, s: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": a["query_id"].to_numpy()[i].astype(np.int64), "id": b["id"].to_numpy()[j].astype(np.int64), "score": s[i, j].astype(np.float64)})
 
 
-def _pairs(queries: DataFrame, corpus: DataFrame, pick: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(query_id, id, score) of the pairs that `pick` chooses from each block of cosines.
-
-    Both sides are dealt to blocks by hash, and each pair of blocks is a task: no side is broadcast or held whole. With
-    few queries there is one block of them, and the corpus is moved once.
-    """
-    q, c = queries.select("query_id", "vector").where("vector is not null"), corpus.select("id", "vector").where("vector is not null")
-    nq, nc = (max(1, -(-x.count() // n)) for x, n in ((q, QUERY_BLOCK), (c, CORPUS_BLOCK)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("cb", every(nc))
-    right = c.withColumnRenamed("vector", "v2").withColumn("cb2", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int")).withColumn("qb2", every(nq))
-
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        b = b.sort_values("id")  # ties go to the smallest id
-        s = _unit(a["vector"]) @ _unit(b["v2"]).T
-        i, j = pick(s, a["query_id"].to_numpy(), b["id"].to_numpy())
-        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[i], "id": b["id"].to_numpy()[j], "score": s[i, j]})
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb2", "cb2")).applyInPandas(block, "query_id long, id long, score double")
-
-
-def dense_topk(queries: DataFrame, corpus: DataFrame, n: int, *, others: bool = False) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame | Cells, n: int, *, others: bool = False) -> DataFrame:
     """query_id, id, score and rank of the n rows nearest by cosine to each query; exact. With others, never the query's own id.
 
-    Each pair of blocks keeps its best n; only those are shuffled by query. Ties go to the smallest id.
+    The corpus (id, vector) is dealt to cells (`Cells`; one that exists can be given). Each query visits the cells that may
+    hold its nearest first, until these hold n vectors; the n-th best of them is a floor, and then only cells that may hold
+    better than this are visited. A task keeps the best n of each query. Ties go to the smallest id. Null vectors neither
+    ask nor are found; zero vectors have cosine 0 with all.
     """
+    cells = corpus if isinstance(corpus, Cells) else Cells(corpus)
 
-    def pick(s: np.ndarray, q: np.ndarray, ids: np.ndarray):
+    def best(a: pd.DataFrame, b: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
         s = np.round(s, 12)
         if others:
-            s = np.where(q[:, None] == ids[None, :], -np.inf, s)
+            s = np.where(a["query_id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :], -np.inf, s)
         j = np.argsort(-s, axis=1, kind="stable")[:, :n]
-        i = np.repeat(np.arange(len(q)), j.shape[1])
+        i = np.repeat(np.arange(len(a)), j.shape[1])
         j = j.ravel()
         ok = s[i, j] > -np.inf
-        return i[ok], j[ok]
+        return _scored(a, b, s, i[ok], j[ok])
+
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where("vector is not null")
+    top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    q = cells.bounds.first(q, n + others)
+    near = materialize(top(cells.meet(q, cells.bounds.seen, best, PAIRS)))
+    floor = near.where(F.col("rank") == n).select("query_id", F.col("score").alias("floor"))
+    asking = q.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
+    return top(near.drop("rank").unionByName(cells.meet(asking, cells.bounds.better, best, PAIRS)))
+
 
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
-    return _pairs(queries, corpus, pick).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+def dense_pairs(queries: DataFrame, corpus: DataFrame | Cells, least: float, *, earlier: bool = False) -> DataFrame:
+    """All (query_id, id, score) with at least the cosine; with earlier, only those of smaller id than the query's.
+
+    Exact: a query visits the cells that may hold a vector within the angle (`Cells.within`), and these only.
+    """
+    cells = corpus if isinstance(corpus, Cells) else Cells(corpus)
 
+    def enough(a: pd.DataFrame, b: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        on = s >= least
+        if earlier:
+            on &= a["query_id"].to_numpy()[:, None] > b["id"].to_numpy()[None, :]
+        return _scored(a, b, s, *np.nonzero(on))
 
-def dense_pairs(queries: DataFrame, corpus: DataFrame, least: float) -> DataFrame:
-    """All (query_id, id, score) with at least the cosine."""
-    return _pairs(queries, corpus, lambda s, q, ids: np.nonzero(s >= least))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where("vector is not null")
+    return cells.meet(q, cells.bounds.within(float(np.arccos(np.clip(least, -1.0, 1.0)))), enough, PAIRS)
 
 
 def dense_topk_by_ids(queries: DataFrame, candidates: DataFrame, corpus: DataFrame, n: int, keys: tuple[str, ...] = ("query_id",), on: tuple[str, ...] = ("query_id",)) -> DataFrame:
