@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.shared import materialize
 
 #: Vectors of a cell in the mean, centres at most, and vectors that these are learnt from: the driver holds no more of them.
-CELL, CENTRES, SAMPLE = 256, 2048, 8192
-#: Rings of a cell by the angle to its centre.
+CELL, CENTRES, SAMPLE = 1024, 2048, 8192
+#: Rings of a cell by the angle to its centre; a single centre has one.
 RINGS, WIDTH = 16, np.pi / 24
 #: Rows of either side that one task holds, and cosines that one step of it computes.
 QUERY_BLOCK, CORPUS_BLOCK, STEP = 2_000, 8_000, 4_000_000
@@ -56,6 +56,8 @@ class Bounds:
 
     def least_angles(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(least angle to any vector of each cell, angle to the centre of each cell) of the rows."""
+        if not len(self.cell):
+            return np.zeros((len(x), 0)), np.zeros((len(x), 0))
         to = _angles(x, self.centres)[:, self.cell // RINGS]
         return np.maximum(np.maximum(to - self.high, self.low - to), 0.0), to
 
@@ -127,7 +129,7 @@ class Cells:
                 a = _angles(unit(f["vector"]), centres)
                 at = a.argmin(axis=1)
                 own = a[np.arange(len(f)), at]
-                ring = np.minimum(own / WIDTH, RINGS - 1).astype(np.int64)
+                ring = np.minimum(own / WIDTH, RINGS - 1 if len(centres) > 1 else 0).astype(np.int64)
                 yield f.assign(cell=at * RINGS + ring, angle=own)
 
         kind = rows.schema["vector"].dataType.simpleString()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,10 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import map_model
-from ..functions.shared import materialize
+from ..functions.shared import connected_components, materialize
+from .cells import CORPUS_BLOCK, QUERY_BLOCK, Cells, unit
 from .responses import parse_insights
-from .cells import CORPUS_BLOCK, QUERY_BLOCK, unit
-from .vectors import dense_pairs, nearest
+from .vectors import dense_pair_count, dense_pairs, nearest
+
+#: Pairs that one task settles in order, rounds after which `leaders` raises, the first prefix, and pairs of a prefix at most.
+SETTLED, ROUNDS, FIRST, PAIRS = 500_000, 60, 8_000, 50_000_000
 
 
 def extract_insights(chunks: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
@@ -31,37 +35,111 @@ def match_existing(new: DataFrame, store: DataFrame, least: float = 0.95) -> Dat
     return found.where(F.col("score") >= least).select(F.col("query_id").alias("seq"), F.col("id").alias("existing_id"), "score")
 
 
-def leaders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(seq, leader): the lexicographically first maximal independent set of the graph of pairs (earlier, later, score).
+def _settle(f: pd.DataFrame) -> pd.DataFrame:
+    """Greedy in order: whoever has no leader before it among its neighbours leads."""
+    leads: dict[int, bool] = {}
+    f = f.sort_values("later", kind="stable")
+    for a, b in zip(f["earlier"].tolist(), f["later"].tolist()):
+        leads.setdefault(a, True)  # all that is earlier than it has been seen
+        leads[b] = leads.get(b, True) and not leads[a]
+    return pd.DataFrame({"seq": list(leads), "leader": list(leads.values())}).astype({"seq": np.int64, "leader": bool})
+
 
-    A round decides every node all of whose earlier neighbours are decided: a leader if those are followers, a follower if
-    one is a leader. nodes: seq and fixed (leaders from the start). Each round is written to the shared folder.
+def leaders(pairs: DataFrame) -> DataFrame:
+    """(seq, leader) of all that the pairs (earlier, later) name: the lexicographically first maximal independent set of their graph.
+
+    Components of at most SETTLED pairs are settled in order within a task, several small ones in one, so that a chain takes
+    no more rounds than a star. A component with more settles its first SETTLED pairs in the order of `later`, hands on
+    what these decide, and what is left open falls into components again. Every step is written to the shared folder, and
+    more than ROUNDS of them raise.
     """
-    p = materialize(pairs.select("earlier", "later"))
-    state = materialize(nodes.select("seq", F.when(F.col("fixed"), F.lit(True)).alias("leader")))
-    while True:
-        before = p.join(state.select(F.col("seq").alias("earlier"), "leader"), "earlier").groupBy(F.col("later").alias("seq")).agg(
-            F.bool_or(F.coalesce("leader", F.lit(False))).alias("led"), F.bool_or(F.col("leader").isNull()).alias("open")
-        )
-        now = F.when(F.col("leader").isNotNull(), F.col("leader")).when(F.col("led"), False).when(F.coalesce("open", F.lit(False)), F.lit(None)).otherwise(True)
-        state = materialize(state.join(before, "seq", "left").select("seq", now.alias("leader")))
-        if not state.where("leader is null").limit(1).count():
-            return state
+    left, done = materialize(pairs.select("earlier", "later")), None
+    for _ in range(ROUNDS):
+        n = left.count()
+        if n <= SETTLED:
+            parts = left.withColumn("part", F.lit(0).cast("long"))
+        else:
+            parts = left.join(connected_components(left.toDF("a", "b")).toDF("earlier", "part"), "earlier")
+            # A crowded component is cut at the percentile of `later` below which about SETTLED of its pairs lie.
+            hundredths = F.percentile_approx("later", [x / 100 for x in range(1, 100)], 1000)
+            cut = parts.groupBy("part").agg(hundredths.alias("at"), F.count("*").alias("n")).where(F.col("n") > SETTLED)
+            nth = F.greatest(F.lit(1), F.floor(F.lit(100.0 * SETTLED) / F.col("n"))).cast("int")
+            cut = cut.select("part", F.element_at("at", nth).alias("until"))
+            few = F.pmod(F.xxhash64("part"), F.lit(max(1, 2 * n // SETTLED)))
+            parts = materialize(parts.join(cut, "part", "left").withColumn("part", F.when(F.col("until").isNull(), -1 - few).otherwise(F.col("part"))))
+        now = parts if n <= SETTLED else parts.where("until is null or later <= until").drop("until")
+        settled = materialize(now.groupBy("part").applyInPandas(_settle, "seq long, leader boolean"))
+        done = settled if done is None else done.unionByName(settled)
+        if n <= SETTLED:
+            return done
+        # What is settled leaves the graph: followers with all their pairs, leaders with those that they lead.
+        rest = parts.where("later > until").select("earlier", "later")
+        ends = lambda df: df.select(F.col("earlier").alias("seq")).union(df.select(F.col("later").alias("seq"))).distinct()
+        led = materialize(rest.join(settled.where("leader").toDF("earlier", "leader"), "earlier").select(F.col("later").alias("seq")).distinct())
+        gone = settled.select("seq").union(led)
+        open_ = materialize(rest.join(gone.toDF("earlier"), "earlier", "left_anti").join(gone.toDF("later"), "later", "left_anti"))
+        free = ends(rest).join(gone, "seq", "left_anti").join(ends(open_), "seq", "left_anti")
+        done = materialize(done.unionByName(led.withColumn("leader", F.lit(False))).unionByName(free.withColumn("leader", F.lit(True))))
+        left = open_
+    raise RuntimeError(f"leaders have not settled in {ROUNDS} rounds")
+
+
+def _as_queries(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").alias("query_id"), "vector")
 
 
 def dedup_in_order(new: DataFrame, least: float = 0.95, store: DataFrame | None = None) -> DataFrame:
     """seq, insight_seq and is_new: each new insight (seq, vector), in order, joins the nearest earlier kept one from `least` on, else is kept.
 
     With a store (seq below all new ones, vector) its rows are kept from the start and count as earlier.
+
+    Equal vectors are compared once. The first FIRST vectors find their pairs (`dense_pairs`) and settle who leads
+    (`leaders`); all later ones that are near a leader are followers and leave; then twice as many of those left, and so on:
+    the rounds grow with the logarithm of the rows. So a family of near copies meets its first leaders and not all of
+    itself. Where a prefix would still have more than PAIRS pairs, by count, it is halved. At the end each vector is compared
+    with the leaders only, of which those before a row's own place count. Null, zero and broken vectors are near nothing.
     """
-    rows = new.select("seq", "vector", F.lit(False).alias("fixed"))
-    rows = rows if store is None else rows.unionByName(store.select("seq", "vector", F.lit(True).alias("fixed")))
-    sides = rows.select(F.col("seq").alias("query_id"), "vector"), rows.select(F.col("seq").alias("id"), "vector")
-    pairs = materialize(dense_pairs(*sides, least).where("id < query_id").select(F.col("id").alias("earlier"), F.col("query_id").alias("later"), "score"))
-    kept = leaders(pairs.join(rows.where("fixed").select(F.col("seq").alias("later")), "later", "left_anti"), rows)
-    own = kept.where("leader").select(F.col("seq").alias("earlier"))
-    to = pairs.join(own, "earlier", "left_semi").groupBy(F.col("later").alias("seq")).agg(F.max_by("earlier", F.struct(F.round("score", 12), -F.col("earlier"))).alias("to"))
-    return new.select("seq").join(kept, "seq").join(to, "seq", "left").select("seq", F.when(F.col("leader"), F.col("seq")).otherwise(F.col("to")).alias("insight_seq"), F.col("leader").alias("is_new"))
+    usable = F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x))
+    first = lambda df: materialize(df.where(usable).groupBy("vector").agg(F.min("seq").cast("long").alias("id")))
+    classes = first(new)
+    left, stored = classes, None
+    if store is not None:
+        kept = first(store)
+        stored = Cells(kept)
+        left = left.join(kept.select("vector"), "vector", "left_anti")
+        left = materialize(left.join(dense_pairs(_as_queries(left), stored, least, best=True).select(F.col("query_id").alias("id")), "id", "left_anti").select("vector", "id"))
+    found, size = [], FIRST
+    while n := left.count():
+        part, until = left, None
+        if n > size:
+            until = left.agg(F.percentile_approx("id", size / n, 10_000)).first()[0]
+            part = materialize(left.where(F.col("id") <= until))
+        near = Cells(part)
+        if n > FIRST and size > 1 and dense_pair_count(_as_queries(part), near, least) > PAIRS:
+            size = max(1, min(size, n) // 2)
+            continue
+        pairs = dense_pairs(_as_queries(part), near, least, earlier=True)
+        state = leaders(pairs.select(F.col("id").alias("earlier"), F.col("query_id").alias("later")))
+        led = state.where("not leader").select(F.col("seq").alias("id"))
+        now = materialize(part.join(led, "id", "left_anti").select("vector", "id"))
+        found.append(now)
+        if until is None:
+            break
+        left = left.where(F.col("id") > until)
+        left = materialize(left.join(dense_pairs(_as_queries(left), now, least, best=True).select(F.col("query_id").alias("id")), "id", "left_anti").select("vector", "id"))
+        size *= 2
+    own = materialize(reduce(DataFrame.unionByName, found)) if found else classes.limit(0)
+    to = dense_pairs(_as_queries(classes), own, least)
+    if stored is not None:
+        to = to.unionByName(dense_pairs(_as_queries(classes), stored, least, best=True))
+    # Leaders are near none of each other, so that few of them are near one vector.
+    near = F.collect_list(F.struct(F.round("score", 12).alias("score"), (-F.col("id")).alias("less"))).alias("near")
+    to = to.groupBy(F.col("query_id").alias("id")).agg(near)
+    named = classes.join(own.select("id", F.lit(True).alias("leads")), "id", "left").join(to, "id", "left")
+    rows = new.select("seq", "vector").join(named, "vector", "left")
+    leads = F.col("id").isNull() | (F.coalesce("leads", F.lit(False)) & (F.col("seq") == F.col("id")))
+    before = F.array_max(F.filter("near", lambda x: -x["less"] < F.col("seq")))
+    return rows.select("seq", F.when(leads, F.col("seq")).otherwise(-before["less"]).alias("insight_seq"), leads.alias("is_new"))
 
 
 def link_chunk_insights(links: DataFrame) -> DataFrame:

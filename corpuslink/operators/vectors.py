@@ -45,15 +45,18 @@ def dense_topk(queries: DataFrame, corpus: DataFrame | Cells, n: int, *, others:
     top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     q = cells.bounds.first(q, n + others)
     near = materialize(top(cells.meet(q, cells.bounds.seen, best, PAIRS)))
+    if len(cells.bounds.cell) <= 1:
+        return near
     floor = near.where(F.col("rank") == n).select("query_id", F.col("score").alias("floor"))
     asking = q.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
     return top(near.drop("rank").unionByName(cells.meet(asking, cells.bounds.better, best, PAIRS)))
 
 
-def dense_pairs(queries: DataFrame, corpus: DataFrame | Cells, least: float, *, earlier: bool = False) -> DataFrame:
+def dense_pairs(queries: DataFrame, corpus: DataFrame | Cells, least: float, *, earlier: bool = False, best: bool = False) -> DataFrame:
     """All (query_id, id, score) with at least the cosine; with earlier, only those of smaller id than the query's.
 
-    Exact: a query visits the cells that may hold a vector within the angle (`Cells.within`), and these only.
+    Exact: a query visits the cells that may hold a vector within the angle (`Bounds.within`), and these only. With best, each
+    cell tells a query at most its nearest row, so that a query among many near rows doesn't name them all.
     """
     cells = corpus if isinstance(corpus, Cells) else Cells(corpus)
 
@@ -61,12 +64,24 @@ def dense_pairs(queries: DataFrame, corpus: DataFrame | Cells, least: float, *,
         on = s >= least
         if earlier:
             on &= a["query_id"].to_numpy()[:, None] > b["id"].to_numpy()[None, :]
+        if best and s.shape[1]:
+            j = np.where(on, np.round(s, 12), -np.inf).argmax(axis=1)
+            i = np.flatnonzero(on[np.arange(len(a)), j])
+            return _scored(a, b, s, i, j[i])
         return _scored(a, b, s, *np.nonzero(on))
 
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where("vector is not null")
     return cells.meet(q, cells.bounds.within(float(np.arccos(np.clip(least, -1.0, 1.0)))), enough, PAIRS)
 
 
+def dense_pair_count(queries: DataFrame, corpus: DataFrame | Cells, least: float) -> int:
+    """How many pairs `dense_pairs` would give, without making them."""
+    cells = corpus if isinstance(corpus, Cells) else Cells(corpus)
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where("vector is not null")
+    count = lambda a, b, s: pd.DataFrame({"k": [int((s >= least).sum())]})
+    return cells.meet(q, cells.bounds.within(float(np.arccos(np.clip(least, -1.0, 1.0)))), count, "k long").agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+
+
 def dense_topk_by_ids(queries: DataFrame, candidates: DataFrame, corpus: DataFrame, n: int, keys: tuple[str, ...] = ("query_id",), on: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The nearest n of each query's own candidates (keys, id): an equi-join on `on`, then exact scores."""
     rows = candidates.join(queries.withColumnRenamed("vector", "_q"), list(on)).join(corpus.select("id", F.col("vector").alias("_c")), "id")

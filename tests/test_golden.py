@@ -150,6 +150,77 @@ def test_dedup_in_order_is_greedy(spark):
     assert got == _greedy(x, 0.8)
 
 
+def _nearest_earlier(x, kept_before, least):
+    """insight of each row in order; kept_before: rows kept from the start (they count as earlier)."""
+    import numpy as np
+
+    s, kept, out = np.round(x @ x.T, 12), list(range(kept_before)), {}
+    for i in range(kept_before, len(x)):
+        best = max(((s[i, k], -k) for k in kept if s[i, k] >= least and x[i].any()), default=None)
+        out[i] = -best[1] if best else i
+        if not best:
+            kept.append(i)
+    return out
+
+
+@pytest.mark.parametrize("first", [8_000, 7])
+@pytest.mark.parametrize("stored", [0, 12])
+def test_dedup_of_families_and_copies(spark, monkeypatch, first, stored):
+    """Families of near and of equal vectors, zero vectors and nulls; prefixes that grow give what one prefix gives."""
+    import numpy as np
+
+    from corpuslink.operators import cells
+
+    monkeypatch.setattr(I, "FIRST", first)
+    monkeypatch.setattr(I, "PAIRS", 10)
+    monkeypatch.setattr(cells, "CELL", 9)
+    rng = np.random.default_rng(first)
+    centres = rng.normal(size=(6, 8))
+    x = centres[rng.integers(0, 6, 150)] + rng.normal(size=(150, 8)) * rng.choice([0.0, 0.2, 0.5], 150)[:, None]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[[40, 90]] = 0
+    x[[20, 60, 61, 140]] = x[3]
+    want = _nearest_earlier(x, stored, 0.9)
+    rows = [(i, [float(z) for z in v], i) for i, v in enumerate(x)] + [(500, None, 1)]
+    df = spark.createDataFrame(rows, "seq long, vector array<double>, id long").repartition(3)
+    out = I.dedup_in_order(df.where(f"seq >= {stored}"), 0.9, df.where(f"seq < {stored}") if stored else None)
+    got = {r.seq: (r.insight_seq, r.is_new) for r in out.collect()}
+    assert got == {**{i: (k, i == k) for i, k in want.items()}, 500: (500, True)}
+
+
+def _leaders_by_hand(pairs):
+    leads = {}
+    for b in sorted({x for p in pairs for x in p}):
+        leads[b] = not any(leads[a] for a, c in pairs if c == b)
+    return leads
+
+
+@pytest.mark.parametrize("settled", [500_000, 40])
+def test_leaders(spark, monkeypatch, settled):
+    import random
+
+    monkeypatch.setattr(I, "SETTLED", settled)
+    rng = random.Random(settled)
+    pairs = [(a, b) for a, b in ((rng.randrange(200), rng.randrange(200)) for _ in range(160)) if a < b]
+    pairs += [(1000 + i, 1001 + i) for i in range(90)] + [(2000, 2001 + i) for i in range(90)] + [(2005, 2099)]
+    got = {r.seq: r.leader for r in I.leaders(spark.createDataFrame(pairs, "earlier long, later long").repartition(3)).collect()}
+    assert got == _leaders_by_hand(pairs)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(I, "ROUNDS", 1)
+    chain = spark.range(10_000).selectExpr("id as earlier", "id + 1 as later")
+    got = {r.seq: r.leader for r in I.leaders(chain).collect()}
+    assert got == {i: i % 2 == 0 for i in range(10_001)}
+
+
+def test_leaders_raise_at_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(I, "ROUNDS", 1)
+    monkeypatch.setattr(I, "SETTLED", 10)
+    with pytest.raises(RuntimeError):
+        I.leaders(spark.range(60).selectExpr("id as earlier", "id + 1 as later"))
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in connected_components(e).collect()}
