@@ -22,7 +22,6 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark, path = df.sparkSession, workspace(df.sparkSession)
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # what the write shuffled is no longer referred to, and Spark then removes it
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ANALYZERS, cosine
+from .postings import Index
 from .vectors import dense_topk, dense_topk_by_ids
 
 COVER_WEIGHT = 0.1
@@ -88,8 +89,14 @@ def sparse_topk(terms: DataFrame, posted: DataFrame, n: int, weight: float = COV
     return ranked(rows.mapInPandas(run, "query_id long, id long, score double"), n)
 
 
-def bm25_topk(terms: DataFrame, posted: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, id, score and rank of the n best rows that have any of the terms, by BM25."""
+def bm25_topk(terms: DataFrame, posted: DataFrame | Index, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, id, score and rank of the n best rows that have any of the terms, by BM25.
+
+    An index knows its frequencies and lengths, and leaves out blocks that can't hold one of the best; from postings alone
+    both are counted over all of them.
+    """
+    if isinstance(posted, Index):
+        return posted.bm25_topk(terms, n)
     length = posted.groupBy("id").agg(F.sum("tf").alias("len"))
     corpus = length.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
@@ -129,14 +136,16 @@ def hybrid_scores(dense: DataFrame, sparse: DataFrame, limit: int, least: float)
 
 
 def hybrid_search(
-    queries: DataFrame, corpus: DataFrame, posted: DataFrame, limit: int = 10, least: float = 0.7, analyzer: str = "simple", scope: DataFrame | None = None
+    queries: DataFrame, corpus: DataFrame, posted: DataFrame | Index, limit: int = 10, least: float = 0.7, analyzer: str = "simple", scope: DataFrame | None = None
 ) -> DataFrame:
-    """Hybrid search of a table of queries (query_id, text, vector) over (id, vector) and the postings of the same rows.
+    """Hybrid search of a table of queries (query_id, text, vector) over (id, vector) and the postings or the index of the same rows.
 
     scope: query_id, source_id. A query that is in it sees only the rows of its sources (corpus then has a source_id), none
     if that is null; the others see all. Both lists are taken from what a query sees. apply_context adds the contexts.
     """
     top = max(3 * limit, 20)
+    if isinstance(posted, Index):
+        posted = posted.posted(query_terms(queries, analyzer))
     free = queries if scope is None else queries.join(scope, "query_id", "left_anti")
     dense, sparse = dense_topk(free, corpus, top), sparse_topk(query_terms(free, analyzer), posted, top)
     if scope is not None:
@@ -147,12 +156,14 @@ def hybrid_search(
     return hybrid_scores(dense, sparse, limit, least)
 
 
-def first_stage(variants: DataFrame, corpus: DataFrame, posted: DataFrame, each: int = 20, fused: int = 50, k: int = 60) -> DataFrame:
+def first_stage(variants: DataFrame, corpus: DataFrame, posted: DataFrame | Index, each: int = 20, fused: int = 50, k: int = 60) -> DataFrame:
     """Weighted fusion over all variants of a query: dense and sparse lists of each, the hyde variant dense only.
 
     variants: variant_id, query_id, name, weight, text, vector. Variants are rows, so that all are one search.
     """
     v = variants.withColumnRenamed("query_id", "_query").withColumnRenamed("variant_id", "query_id")
+    if isinstance(posted, Index):
+        posted = posted.posted(query_terms(v.where("name <> 'hyde'")))
     dense = dense_topk(v, corpus, each).withColumn("kind", F.lit("dense"))
     sparse = sparse_topk(query_terms(v.where("name <> 'hyde'")), posted, each).withColumn("kind", F.lit("sparse"))
     lists = dense.unionByName(sparse).drop("rank").join(v.select("query_id", "_query", "name", "weight"), "query_id")

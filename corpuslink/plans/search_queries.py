@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.shared import workspace
 from ..operators import catalog as C
 from ..operators import ranking as N
 from ..operators import vectors as V
+from ..operators.postings import Index
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,6 +45,11 @@ def asked(t, words: int | None = None):
     return q if words is None else q.withColumn("text", F.substring_index("text", " ", words))
 
 
+def index_of(corpus):
+    """The index of a corpus, built where the session's shared folder is."""
+    return Index.build(corpus, workspace(corpus.sparkSession))
+
+
 def six(df, *names):
     for n in names or ("score",):
         df = df.withColumn(n, F.round(n, 6))
@@ -149,6 +156,22 @@ def v10_bm25_topk(t):
     return six(N.bm25_topk(N.query_terms(t.m_queries), N.postings(corpus_of(t)), 20))
 
 
+#: The first twelve words of each document whose number is divisible by 100 ask all documents.
+_ASKING = """w as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents),
+q as (select distinct doc_id as query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:12]) as term from documents where doc_id % 100 = 0)"""
+
+
+@query(f"""with {_ASKING}, p as (select id, term, count(*) as tf from w group by all), l as (select id, sum(tf) as len from p group by 1), g as (select count(*) as n, avg(len) as a from l),
+d as (select term, count(*) as df from p group by 1),
+s as (select q.query_id, p.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) as score from q join d using (term) join p using (term) join l using (id), g group by 1, 2)
+select query_id, id, round(score, 6) as score, rank::int as rank from (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) as rank from s) where rank <= 10""")
+def v10_bm25_all_documents(t):
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    words = F.slice(X.simple_terms(F.col("text")), 1, 12)
+    terms = docs.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.explode(F.array_distinct(words)).alias("term"))
+    return six(N.bm25_topk(terms, index_of(docs), 10))
+
+
 @query(f"with {LIVE}, {TF} select term, id, count(*) as tf from tf group by all")
 def v11_postings_simple(t):
     return N.postings(corpus_of(t)).select("term", "id", "tf")
