@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IMAGE = r"!\[[^\]]*\]\(([^)]+)\)"
@@ -17,11 +17,19 @@ def submit(docs: DataFrame, sources: DataFrame) -> DataFrame:
     Within a batch the first by (arrived_at, doc_id) wins, and the others are rejected for it. docs: doc_id, content,
     arrived_at; sources: source_id, md5, is_deleted.
     """
-    d = docs.select("doc_id", F.md5(F.col("content").cast("binary")).alias("md5"), "arrived_at")
+    return submit_by_md5(docs.withColumn("md5", F.md5(F.col("content").cast("binary"))), sources)
+
+
+def submit_by_md5(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """`submit` of documents whose MD5 is known (doc_id, md5, arrived_at).
+
+    Copies of one content are not gathered: the first one is a partial minimum for each MD5, and joined back. Null contents
+    are copies of each other; rows of one doc_id are one document.
+    """
     live = sources.where("not is_deleted").groupBy("md5").agg(F.min("source_id").alias("live_id"))
-    first = Window.partitionBy("md5").orderBy("arrived_at", "doc_id")
-    d = d.join(live, "md5", "left").withColumn("rank", F.row_number().over(first)).withColumn("winner", F.first("doc_id").over(first))
-    existing = F.coalesce("live_id", F.when(F.col("rank") > 1, F.col("winner")))
+    first = docs.groupBy(F.col("md5").alias("_md5")).agg(F.min(F.struct("arrived_at", "doc_id"))["doc_id"].alias("winner"))
+    d = docs.select("doc_id", "md5").join(first, F.col("md5").eqNullSafe(F.col("_md5"))).join(live, "md5", "left")
+    existing = F.coalesce("live_id", F.when(F.col("doc_id") != F.col("winner"), F.col("winner")))
     return d.select("doc_id", "md5", existing.isNull().alias("accepted"), existing.alias("existing_id"))
 
 

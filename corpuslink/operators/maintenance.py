@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import materialize, numbered
 from .catalog import STAGES, live, sources_of_kind
+from .insights import dedup_in_order, extract_insights, link_chunk_insights
+from .vectors import embed, hashed_embedding
 
 
 def drop_orphan_insights(insights: DataFrame, links: DataFrame) -> DataFrame:
@@ -67,6 +72,43 @@ def sources_to_rebuild(sources: DataFrame, chunks: DataFrame, links: DataFrame,
     return live(sources).join(linked, "source_id", "left_anti")
 
 
+def rebuild_insights(
+    tables: dict[str, DataFrame], asked: DataFrame, model: Callable[[list[str]], list[str]], embedder: Callable = hashed_embedding, *, force: bool = False, least: float = 0.95
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(links and insights as they are to be, source_id and skipped of the asked sources) after insights are built anew.
+
+    tables: chunks (chunk_id, source_id, chunk_index, content, is_deleted), links (chunk_id, insight_id, topics) and
+    insights (insight_id, content, embedding). A source that has links is skipped; by force its links go, then all
+    insights without a link, and it is built like the others: the model reads its live chunks in their order, what it says
+    is embedded, joins the nearest kept or stored insight from `least` on or is a new one, and is linked. New insights are
+    numbered after the last one. Nothing is changed in place: commit both tables as one (`sources.snapshots`).
+    """
+    chunks, links, insights = tables["chunks"], tables["links"], tables["insights"]
+    asked = asked.select("source_id").distinct()
+    linked = chunks.join(links.select("chunk_id").distinct(), "chunk_id", "left_semi").select("source_id").distinct()
+    has = materialize(asked.join(linked.withColumn("_has", F.lit(True)), "source_id", "left").select("source_id", F.coalesce("_has", F.lit(False)).alias("has")))
+    todo, skipped = has, has.select("source_id", F.col("has").alias("skipped"))
+    if force:
+        skipped = has.select("source_id", F.lit(False).alias("skipped"))
+        lost = chunks.join(has.where("has"), "source_id", "left_semi").select("chunk_id")
+        if lost.limit(1).count():
+            links = materialize(links.join(lost, "chunk_id", "left_anti"))
+            insights = drop_orphan_insights(insights, links)
+    else:
+        todo = has.where("not has")
+    insights = materialize(insights)
+    said = extract_insights(live(chunks).join(todo, "source_id", "left_semi"), model)
+    last = insights.agg(F.coalesce(F.max("insight_id"), F.lit(-1).cast("long"))).first()[0]
+    said = numbered(said, "source_id", "seq").withColumn("number", (F.col("place") + last).cast("long"))
+    said = materialize(embed(said.select("chunk_id", "number", "insight", "topics"), "insight", embedder))
+    store = insights.select(F.col("insight_id").alias("seq"), F.col("embedding").alias("vector"))
+    joined = materialize(dedup_in_order(said.select(F.col("number").alias("seq"), F.col("embedding").alias("vector")), least, store))
+    of = said.join(joined.select(F.col("seq").alias("number"), F.col("insight_seq").alias("insight_id"), "is_new"), "number")
+    kept = insights.select("insight_id", "content", "embedding").unionByName(of.where("is_new").select("insight_id", F.col("insight").alias("content"), "embedding"))
+    upserted = link_chunk_insights(links.select("chunk_id", "insight_id", "topics", F.lit(-1).cast("long").alias("seq")).unionByName(of.select("chunk_id", "insight_id", "topics", F.col("number").alias("seq"))))
+    return {"links": upserted, "insights": kept}, skipped
+
+
 def drop_edge_types(edges: DataFrame, types: tuple[str, ...] = ("RELATED_TO", "MENTIONED_IN")) -> DataFrame:
     return edges.where(~F.col("type").isin(*types))
 

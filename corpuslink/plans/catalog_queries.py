@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.shared import workspace
 from ..operators import catalog as C
 from ..operators import documents as D
+from ..streaming.ingest import ANY_AGE, ingest
 
 IMAGES = "concat(text, '\n![a](img/', cast(doc_id as varchar(20)), '.png) ![b](https://x/y.png) ![c](z.exe)')"
 QUERIES: dict = {}
@@ -32,6 +34,20 @@ def a03_submit(t):
     return D.submit(docs, t.m_sources)
 
 
+@query("""with r as (select doc_id, md5(text) as md5, first(doc_id) over (partition by md5(text) order by doc_id) as winner from documents where text is not null)
+select doc_id, md5, doc_id = winner as accepted, case when doc_id <> winner then winner end as existing_id from r""")
+def s06_submit_stream(t):
+    """The documents as a stream that is submitted batch by batch, and what became of each."""
+    schema = t.documents.schema
+    stream = t.spark.readStream.schema(schema).option("maxFileAge", ANY_AGE).parquet(f"{t.sf_dir}/documents.parquet").where("text is not null")
+    number = F.lpad(F.col("doc_id").cast("string"), 20, "0")
+    docs = stream.select(number.alias("source_id"), F.col("doc_id").cast("string").alias("name"), F.md5("text").alias("md5"), "text", F.col("doc_id").alias("arrived_at"))
+    out = workspace(t.spark)
+    ingest(docs, out, f"{out}/progress", embedder=None).awaitTermination()
+    told = t.spark.read.parquet(f"{out}/submitted")
+    return told.select(F.col("source_id").cast("long").alias("doc_id"), "md5", "accepted", F.col("existing_id").cast("long").alias("existing_id"))
+
+
 @query("""select doc_id, lang as v_lang, origin as v_origin, 'submitted' as v_kind, 3 as n_keys
 from (select doc_id, lang, source as origin from documents)""")
 def a04_merge_metadata(t):

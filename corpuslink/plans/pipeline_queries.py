@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions.models import map_model
+from ..functions.shared import workspace
 from ..operators import expansion as E
 from ..operators import graph as G
 from ..operators import insights as I
@@ -12,6 +15,7 @@ from ..operators import jobs as J
 from ..operators import maintenance as M
 from ..operators import ranking as N
 from ..operators import vectors as V
+from ..sources.snapshots import Snapshots
 from .search_queries import ASKED, BY_VARIANT, COSINE, DENSE, FILTERED, FUSED, HYBRID, INSIGHTS, LIVE, asked, corpus_of, filtered, insights_of, six, variants_of
 
 QUERIES: dict = {}
@@ -355,6 +359,28 @@ def m06_rebuild_insights(t):
     return M.sources_to_rebuild(t.m_sources, chunks, _labelled(t)).select("source_id")
 
 
+def first_sentences(texts):
+    """Stands for a model: the first two lines of six words of a text are its insights."""
+    out = []
+    for text in texts:
+        words = (text or "").split()
+        said = [" ".join(words[k : k + 6]) for k in (0, 6) if words[k : k + 6]]
+        out.append(json.dumps({"insights": [{"insight": x, "topics": [x.split()[0]]} for x in said]}))
+    return out
+
+
+@query()
+def m06_rebuild_by_force(t):
+    """All reports are built anew; both tables are committed as one version and read back."""
+    tables = {"chunks": t.m_vchunks, "links": t.m_links.withColumn("topics", F.array(F.lit("old"))), "insights": t.m_insights}
+    asked = t.m_vsources.where("kind = 'report' and not is_deleted")
+    built, _ = M.rebuild_insights(tables, asked, first_sentences, force=True)
+    store = Snapshots(t.spark, workspace(t.spark))
+    store.commit(built)
+    now = store.read()
+    return now["links"].join(now["insights"].select("insight_id", "content"), "insight_id").select("chunk_id", "insight_id", F.array_join("topics", ",").alias("topics"), "content")
+
+
 @query("select chunk_id, insight_id from m_links where chunk_id = insight_id")
 def m07_drop_edge_types(t):
     edges = t.m_links.withColumn("type", F.when(F.col("chunk_id") == F.col("insight_id"), "CONTAINS").otherwise("RELATED_TO"))

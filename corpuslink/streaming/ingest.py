@@ -5,21 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.shared import materialize
 from ..operators.chunking import semantic_chunks
+from ..operators.documents import submit_by_md5
 from ..operators.graph import extract_mentions
 from ..operators.jobs import event_windows
 from ..operators.vectors import embed, hashed_embedding
 
 
-def arriving_documents(spark: SparkSession, path: str, wait: str = "1 hour") -> DataFrame:
-    """Text files as they arrive, each content once while the watermark remembers it."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return _documents(files).withWatermark("arrived_at", wait).dropDuplicatesWithinWatermark(["md5"])
+#: Files of any age are taken; by itself the file source leaves out those a week older than the newest one.
+ANY_AGE = "36500d"
+
+
+def arriving_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Text files as they arrive, whatever their age. Whether a content has been there before is for `submit_batch` to say."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFileAge", ANY_AGE).load(path)
+    return _documents(files)
 
 
 def _documents(files: DataFrame) -> DataFrame:
@@ -38,16 +45,58 @@ def process(docs: DataFrame, embedder: Callable = hashed_embedding) -> tuple[Dat
     return embed(chunks, "content", embedder), extract_mentions(chunks.select("chunk_id", "source_id", "content"))
 
 
-def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, embedder: Callable = hashed_embedding) -> StreamingQuery:
-    """Submit, chunk, embed and extract what has arrived; each batch replaces its own folder, so that a replay changes nothing."""
+def submit_batch(docs: DataFrame, known: str, n: int, live: DataFrame | None = None) -> DataFrame:
+    """The documents of micro-batch n (source_id, md5, arrived_at, ...) with accepted and existing_id, and their MD5s added to the known ones.
 
-    def batch(docs: DataFrame, n: int) -> None:
-        chunks, mentions = process(docs, embedder)
-        docs.write.mode("overwrite").parquet(f"{out}/sources/batch={n}")
-        chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={n}")
-        mentions.write.mode("overwrite").parquet(f"{out}/mentions/batch={n}")
+    known: a table of (md5, source_id) in folders of the batch that wrote them and of the first two digits. A batch reads only the
+    digits that it has itself, and only what earlier batches wrote; its own folder is replaced. So nothing is forgotten with
+    time, a copy is rejected after any number of batches, and a replayed batch decides and writes the same again. Of equal
+    contents within a batch the first by (arrived_at, source_id) wins. live: the sources (source_id) that still count; a
+    content whose sources are all gone is accepted again.
+    """
+    spark = docs.sparkSession
+    digits = F.substring("md5", 1, 2)
+    seen = [r[0] for r in docs.select(digits.alias("d")).distinct().collect()]  # at most 256
+    held = spark.createDataFrame([], "md5 string, source_id string")
+    if seen:
+        try:
+            before = spark.read.schema("md5 string, source_id string, batch long, digits string").parquet(known)
+            held = before.where((F.col("batch") < n) & F.col("digits").isin(seen)).select("md5", "source_id")
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+    if live is not None:
+        held = held.join(live.select("source_id"), "source_id", "left_semi")
+    told = materialize(submit_by_md5(docs.withColumnRenamed("source_id", "doc_id"), held.withColumn("is_deleted", F.lit(False))).withColumnRenamed("doc_id", "source_id"))
+    accepted = told.where("accepted").select("md5", "source_id", F.substring("md5", 1, 2).alias("digits"))
+    accepted.write.mode("overwrite").partitionBy("digits").parquet(f"{known}/batch={n}")
+    return told
+
+
+def ingest(docs: DataFrame, out: str, checkpoint: str, embedder: Callable | None = hashed_embedding, live: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+    """Submit, chunk, embed and extract a stream of documents (source_id, name, md5, text, arrived_at).
+
+    Each batch replaces its own folders, so that a replay changes nothing. `submitted` has every document with what became of
+    it; chunks and mentions are made of the accepted ones only. Without an embedder the stream ends at the submission.
+    """
 
-    return arriving_documents(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def batch(arrived: DataFrame, n: int) -> None:
+        arrived = materialize(arrived)
+        told = submit_batch(arrived, f"{out}/md5s", n, live() if live else None)
+        told.write.mode("overwrite").parquet(f"{out}/submitted/batch={n}")
+        taken = arrived.join(told.where("accepted").select("source_id"), "source_id", "left_semi")
+        taken.write.mode("overwrite").parquet(f"{out}/sources/batch={n}")
+        if embedder is not None:
+            chunks, mentions = process(taken, embedder)
+            chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={n}")
+            mentions.write.mode("overwrite").parquet(f"{out}/mentions/batch={n}")
+
+    return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, embedder: Callable = hashed_embedding) -> StreamingQuery:
+    """`ingest` of the text files that arrive in a folder."""
+    return ingest(arriving_documents(spark, path), out, checkpoint, embedder)
 
 
 def stuck_job_alerts(events: DataFrame, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
@@ -76,4 +125,4 @@ def stuck_job_alerts(events: DataFrame, minutes: int = 30, late: str = "10 minut
     )
 
 
-__all__ = ["arriving_documents", "process", "ingest_stream", "stuck_job_alerts", "event_windows"]
+__all__ = ["arriving_documents", "process", "submit_batch", "ingest", "ingest_stream", "stuck_job_alerts", "event_windows"]
