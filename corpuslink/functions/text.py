@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+_TOKENS = regex.compile(TOKEN_PATTERN.replace(r"\s", " \t\n\x0b\f\r"))  # white space as Spark takes it
 HEADING = r"^#{1,6}\s+"
 
 
@@ -14,6 +19,20 @@ def token_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0))
 
 
+class TokenCounter(NamedTuple):
+    """One way to count tokens, for columns and for single strings; both give the same number."""
+
+    column: Callable[[Column], Column]
+    plain: Callable[[str], int]
+
+
+def _count_words(text: str) -> int:
+    return len(_TOKENS.findall(text))
+
+
+WORDS = TokenCounter(token_count, _count_words)
+
+
 def normalize_text(text: Column) -> Column:
     """Trimmed, white space collapsed, lower case (casefold differs for a few letters such as the sharp s)."""
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))

@@ -29,7 +29,20 @@ def in_sources(chunks: DataFrame, scope: DataFrame) -> DataFrame:
     """
     some = scope.where("source_id is not null").select("query_id", "source_id").distinct()
     free = scope.select("query_id").distinct().join(some, "query_id", "left_anti")
-    return chunks.join(some, "source_id").unionByName(chunks.crossJoin(F.broadcast(free)))  # free: queries, not rows of the corpus
+    return chunks.join(some, "source_id").unionByName(_to_all(chunks, free))
+
+
+#: Queries that see all rows together, and parts that the rows are dealt to for each such block of queries.
+TOGETHER, PARTS = 1_000, 64
+
+
+def _to_all(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """The chunks with each of the queries: blocks of queries meet parts of the chunks, neither side is broadcast."""
+    blocks = max(1, -(-queries.count() // TOGETHER))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_part", every(PARTS))
+    rows = chunks.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)).cast("int")).withColumn("_block", every(blocks))
+    return rows.join(asking, ["_block", "_part"]).drop("_block", "_part")
 
 
 def metadata_all(rows: DataFrame, filters: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import materialize
-from ..functions.text import cosine, preview, token_count
+from ..functions.text import WORDS, TokenCounter, cosine, preview
 from .ranking import first_stage, hybrid_search, insight_first_stage, ranked, rerank
 from .vectors import dense_topk_by_ids, embed, hashed_embedding
 
@@ -106,21 +106,21 @@ def finalize_roots(roots: DataFrame, first: DataFrame, second: DataFrame, n: int
     return ranked(rows.select("query_id", "id", score.alias("score")), n)
 
 
-def _extended(text: Column, more: Column, low: int, high: int, before: bool) -> Column:
+def _extended(text: Column, more: Column, low: int, high: int, before: bool, count: Callable[[Column], Column]) -> Column:
     """The text with more texts, in order, until it has `low` tokens or the next would take it over `high`."""
     def step(s, x):
         joined = F.concat(x, F.lit("\n\n"), s["t"]) if before else F.concat(s["t"], F.lit("\n\n"), x)
-        n = token_count(joined)
+        n = count(joined)
         over = s["stop"] | (s["n"] >= low)
         return F.when(over, F.struct(s["t"].alias("t"), s["n"].alias("n"), F.lit(True).alias("stop"))).when(
             n > high, F.struct(s["t"].alias("t"), s["n"].alias("n"), F.lit(True).alias("stop"))
         ).otherwise(F.struct(joined.alias("t"), n.alias("n"), F.lit(False).alias("stop")))
 
-    start = F.struct(text.alias("t"), token_count(text).alias("n"), F.lit(False).alias("stop"))
+    start = F.struct(text.alias("t"), count(text).alias("n"), F.lit(False).alias("stop"))
     return F.aggregate(more, start, step, lambda s: s["t"])
 
 
-def expand_context(centers: DataFrame, corpus: DataFrame, window: int = 2, low: int = 200, high: int = 600) -> DataFrame:
+def expand_context(centers: DataFrame, corpus: DataFrame, window: int = 2, low: int = 200, high: int = 600, counter: TokenCounter = WORDS) -> DataFrame:
     """id and context: short chunks with their followers, then what precedes them, within the window of their source.
 
     centers: id; corpus: id, source_id, chunk_index, text. The neighbours are found by equality of (source, index), so that
@@ -136,21 +136,22 @@ def expand_context(centers: DataFrame, corpus: DataFrame, window: int = 2, low:
     lists = texts.groupBy("id").agg(side(F.col("off") > 0, F.col("off")).alias("after"), side(F.col("off") < 0, -F.col("off")).alias("before"))
     none = F.array().cast("array<string>")
     rows = mid.select("id", "text").join(lists, "id", "left").select("id", "text", F.coalesce("after", none).alias("after"), F.coalesce("before", none).alias("before"))
-    rows = rows.withColumn("text", _extended(F.col("text"), F.col("after"), low, high, False))
-    return rows.select("id", _extended(F.col("text"), F.col("before"), low, high, True).alias("context"))
+    rows = rows.withColumn("text", _extended(F.col("text"), F.col("after"), low, high, False, counter.column))
+    return rows.select("id", _extended(F.col("text"), F.col("before"), low, high, True, counter.column).alias("context"))
 
 
-def apply_context(results: DataFrame, corpus: DataFrame, **limits: int) -> DataFrame:
+def apply_context(results: DataFrame, corpus: DataFrame, **limits) -> DataFrame:
     """The results (any rows with an id) with the context of their chunk."""
     return results.join(expand_context(results, corpus, **limits), "id", "left")
 
 
-def expand_insights(seeds: DataFrame, links: DataFrame, insights: DataFrame, posted: DataFrame, asks: Asks, *, seeds_each: int = 5, n: int = 10, groups: int = 3, each: int = 5) -> DataFrame:
-    """query_id, seed_id, group_no, rank, id and score: group 0 is the n most similar linked insights of each seed, groups 1 to 3
+def expand_insights(seeds: DataFrame, links: DataFrame, insights: DataFrame, posted: DataFrame, asks: Asks, *, seeds_each: int = 5, n: int = 10, groups: int = 3, each: int = 5, details: DataFrame | None = None) -> DataFrame:
+    """query_id, seed_id, group_no, sub_query, rank, id and score: group 0 is the n most similar linked insights of each seed, groups 1 to 3
     what a hybrid search finds for the questions on the first three of those.
 
     An insight comes once for a seed, where it occurs first, and never as its own. seeds: query_id, id and rank, at most
-    seeds_each a query.
+    seeds_each a query. sub_query is the question of a group, null for group 0. details: insight_id and what is to go with each
+    found insight, such as topics and sources (`catalog.insight_details`).
     """
     w = Window.partitionBy("query_id", "seed_id").orderBy(F.desc(F.round("similarity", 12)), "id")
     own = seeds.select("query_id", F.col("id").alias("seed_id"), F.col("rank").alias("seed_rank"))
@@ -159,9 +160,11 @@ def expand_insights(seeds: DataFrame, links: DataFrame, insights: DataFrame, pos
     about = near.where(F.col("rank") <= groups).join(insights.select("id", F.col("text").alias("content")), "id", "left").withColumn("step", step)
     asked = asks(about.select("step", "query_id", "seed_id", F.col("rank").alias("group_no"), F.col("id").alias("about"), "content"), "content")
     found = hybrid_search(asked.select(F.col("step").alias("query_id"), "text", "vector"), insights, posted, each, 0.0).withColumnRenamed("query_id", "step")
-    hits = found.join(about.select("step", "query_id", "seed_id", F.col("rank").alias("group_no")), "step")
-    rows = near.select("query_id", "seed_id", F.lit(0).alias("group_no"), "rank", "id", F.col("similarity").alias("score")).unionByName(hits.drop("step"))
-    return unseen(rows.where("id <> seed_id"))
+    questions = asked.select("step", F.col("text").alias("sub_query"))
+    hits = found.join(about.select("step", "query_id", "seed_id", F.col("rank").alias("group_no")), "step").join(questions, "step")
+    rows = near.select("query_id", "seed_id", F.lit(0).alias("group_no"), F.lit(None).cast("string").alias("sub_query"), "rank", "id", F.col("similarity").alias("score")).unionByName(hits.drop("step"))
+    out = unseen(rows.where("id <> seed_id"))
+    return out if details is None else out.join(details.withColumnRenamed("insight_id", "id"), "id", "left")
 
 
 def unseen(groups: DataFrame) -> DataFrame:
@@ -204,14 +207,14 @@ def retrieve(
 
 def retrieve_insights(
     queries: DataFrame, variants: DataFrame, insights: DataFrame, posted: DataFrame, links: DataFrame, *, asks: Asks | None = None,
-    scorer: Callable[[Column, Column], Column] = cosine, seeds: int = 5, n: int = 5,
+    scorer: Callable[[Column, Column], Column] = cosine, seeds: int = 5, n: int = 5, details: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Every stage of the insight branch; fused and seeds are written once. The reranking only selects the seeds, which keep their order and score."""
     asks = asks or (lambda steps, column: sub_queries(steps, queries, column))
     fused = materialize(insight_first_stage(variants, insights, posted))
     chosen = rerank(fused, queries, insights, scorer, seeds).select("query_id", "id")
     final = materialize(ranked(fused.drop("rank").join(chosen, ["query_id", "id"], "left_semi"), min(n, seeds)))
-    return {"fused": fused, "final": final, "related": expand_insights(final, links, insights, posted, asks, seeds_each=min(n, seeds))}
+    return {"fused": fused, "final": final, "related": expand_insights(final, links, insights, posted, asks, seeds_each=min(n, seeds), details=details)}
 
 
 def retrieve_trace(stages: dict[str, DataFrame], corpus: DataFrame, n: int = 5) -> DataFrame:

@@ -43,18 +43,38 @@ def scope_graph(mentions: DataFrame, scope: DataFrame) -> tuple[DataFrame, DataF
     return nodes, scope.join(inside.select("source_id").distinct(), "source_id", "left_anti")
 
 
+#: Entities of a chunk of which a task makes all pairs.
+CROWD = 500
+
+
+def _pairs_within(m: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """All rows of a key with all others of it, as (key, a, b and both sides' columns), a < b.
+
+    The rows of a crowded key are dealt to parts of about CROWD by hash, and each pair of parts is a key of its own for the
+    join, so that no task has all pairs of one key and each pair is met once.
+    """
+    parts = m.groupBy(key).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("_parts"))
+    dealt = m.join(parts, key).withColumn("_own", F.pmod(F.xxhash64("entity"), F.col("_parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    side = lambda e, own, other: dealt.withColumn("_other", every).select(
+        key, F.col("_own").alias(own), F.col("_other").alias(other), F.col("entity").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in columns)
+    )
+    return side("a", "_i", "_j").join(side("b", "_j", "_i"), [key, "_i", "_j"]).where("a < b").drop("_i", "_j")
+
+
 def cooccurrence_edges(mentions: DataFrame, max_entities: int | None = None) -> DataFrame:
     """a < b and weight: per shared chunk 1 / sqrt(degree a * degree b), half as much again if a and b share no source.
 
-    The degree is the number of chunks. With max_entities, chunks with more are left out; without, none are.
+    The degree is the number of chunks. With max_entities, chunks with more are left out; without, none are, and the pairs
+    of a crowded chunk are made by several tasks.
     """
     m = mentions.select("chunk_id", "source_id", "entity").distinct()
     degree = m.groupBy("entity").agg(F.countDistinct("chunk_id").alias("degree"))
     if max_entities is not None:
         small = m.groupBy("chunk_id").agg(F.countDistinct("entity").alias("n")).where(F.col("n") <= max_entities)
         m = m.join(small, "chunk_id", "left_semi")
-    left, right = (m.select("chunk_id", F.col("entity").alias(e), F.col("source_id").alias(s)) for e, s in (("a", "sa"), ("b", "sb")))
-    per_chunk = left.join(right, "chunk_id").where("a < b").groupBy("a", "b", "chunk_id").agg(F.max(F.col("sa") == F.col("sb")).alias("same"))
+    met = _pairs_within(m, "chunk_id", ("source_id",))
+    per_chunk = met.groupBy("a", "b", "chunk_id").agg(F.max(F.col("source_id_a") == F.col("source_id_b")).alias("same"))
     pairs = per_chunk.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("same").alias("same"))
     # Entities of one chunk nearly always share its source; only for the others are all their sources compared.
     apart = pairs.where("not same").select("a", "b")

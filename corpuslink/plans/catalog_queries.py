@@ -39,7 +39,13 @@ select doc_id, md5, doc_id = winner as accepted, case when doc_id <> winner then
 def s06_submit_stream(t):
     """The documents as a stream that is submitted batch by batch, and what became of each."""
     schema = t.documents.schema
-    stream = t.spark.readStream.schema(schema).option("maxFileAge", ANY_AGE).parquet(f"{t.sf_dir}/documents.parquet").where("text is not null")
+    files = t.spark.readStream.schema(schema).option("maxFileAge", ANY_AGE)
+    # A stream reads folders; where the table is one file it is that file of its folder.
+    if t.documents.inputFiles()[0].endswith("/documents.parquet"):
+        stream = files.option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
+    else:
+        stream = files.parquet(f"{t.sf_dir}/documents.parquet")
+    stream = stream.where("text is not null")
     number = F.lpad(F.col("doc_id").cast("string"), 20, "0")
     docs = stream.select(number.alias("source_id"), F.col("doc_id").cast("string").alias("name"), F.md5("text").alias("md5"), "text", F.col("doc_id").alias("arrived_at"))
     out = workspace(t.spark)

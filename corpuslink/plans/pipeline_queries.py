@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.models import map_model
 from ..functions.shared import workspace
+from ..operators import catalog as C
 from ..operators import expansion as E
 from ..operators import graph as G
 from ..operators import insights as I
@@ -162,13 +163,23 @@ def _insight_stages(t):
     rows = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
     ask = lambda steps, column: steps.withColumn("vec_id", F.col("group_no") + 10 * F.col("query_id")).join(rows, "vec_id").withColumn("text", F.lit("that"))
     links = I.mutual_links(t.embeddings.selectExpr("vec_id as id", "embedding as vector", "array(label) as sources"))
-    c = insights_of(t)
-    return E.retrieve_insights(asked(t), variants_of(t), c, N.postings(c), links, asks=ask)
+    c, topics = insights_of(t), t.m_vchunks.select("chunk_id", F.array(F.concat(F.lit("t"), "source_id")).alias("topics"))
+    return E.retrieve_insights(asked(t), variants_of(t), c, N.postings(c), links, asks=ask, details=C.insight_details(t.m_links.join(topics, "chunk_id"), t.m_vchunks, t.m_vsources))
 
 
 @query(f"with {_FIRST_INSIGHTS}, {_SEED_INSIGHTS}, {_MUTUAL}, {_RELATED} select query_id, seed_id, group_no::int as group_no, rank::int as rank, id, round(score, 6) as score from related")
 def k07_expand_insights(t):
-    return six(_insight_stages(t)["related"])
+    return six(_insight_stages(t)["related"].drop("sub_query", "topics", "sources"))
+
+
+@query(f"""with {_FIRST_INSIGHTS}, {_SEED_INSIGHTS}, {_MUTUAL}, {_RELATED},
+r as (select l.insight_id, c.source_id, concat('t', cast(c.source_id as varchar)) as topic from m_links l join m_vchunks c on c.chunk_id = l.chunk_id join m_vsources s on s.source_id = c.source_id
+  where not c.is_deleted and not s.is_deleted and s.job_status = 'completed'),
+d as (select insight_id, array_to_string(list_sort(list_distinct(list(topic))), ',') as topics, array_to_string(list_sort(list_distinct(list(source_id))), ',') as sources from r group by 1)
+select query_id, seed_id, group_no::int as group_no, rank::int as rank, id, case when group_no > 0 then 'that' end as sub_query, topics, sources from related left join d on d.insight_id = related.id""")
+def k07_related_details(t):
+    rows = _insight_stages(t)["related"]
+    return rows.select("query_id", "seed_id", "group_no", "rank", "id", "sub_query", F.array_join("topics", ",").alias("topics"), F.array_join("sources", ",").alias("sources"))
 
 
 @query(f"with {_FIRST_INSIGHTS}, {_SEED_INSIGHTS} select query_id, id, round(score, 6)::double as score, rank::int as rank from final")

@@ -115,16 +115,17 @@ def t11_build_prompt(t):
 
 
 @query("""select source, concat('Answer from the results.', chr(10), chr(10), 'Question: What is in ', source, '?', chr(10), chr(10), '```json', chr(10),
-  to_json(list({'doc_id': doc_id, 'lang': lang} order by doc_id)), chr(10), '```') as prompt from documents group by source""")
+  to_json(list({'doc_id': doc_id, 'lang': lang} order by doc_id)), chr(10), '```') as prompt
+from (select *, row_number() over (partition by source order by doc_id) as k from documents) where k <= 20 group by source""")
 def t12_answer_context(t):
-    g = t.documents.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "lang"))).alias("r"))
-    return g.select("source", K.answer_context(F.concat(F.lit("What is in "), "source", F.lit("?")), F.col("r"), "Answer from the results.").alias("prompt"))
+    """The answer for each source names its best twenty results."""
+    return K.answer_contexts(t.documents, "source", F.concat(F.lit("What is in "), "source", F.lit("?")), ("doc_id", "lang"), "Answer from the results.", 20, ("doc_id",))
 
 
 @query("""select source_id as community, string_agg(concat('[Source: s', source_id, ']', chr(10), content), concat(chr(10), chr(10), '---', chr(10), chr(10)) order by chunk_index) as context
 from m_vchunks where chunk_index < 5 group by 1""")
 def t13_community_context(t):
-    rows = t.m_vchunks.where("chunk_index < 5").selectExpr("source_id as community", "chunk_index as rank", "concat('s', source_id) as source_name", "content")
+    rows = t.m_vchunks.selectExpr("source_id as community", "chunk_index as rank", "concat('s', source_id) as source_name", "content")
     return K.community_context(rows)
 
 

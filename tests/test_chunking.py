@@ -4,7 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from corpuslink.functions.text import WORDS, TokenCounter
 from corpuslink.operators import chunking as K
+from corpuslink.operators import expansion as E
 from corpuslink.plans import registry, text_queries
 from corpuslink.plans.tables import Tables
 
@@ -88,3 +90,28 @@ def test_texts_without_chunks(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, "One.")], "doc_id long, text string")
     for f in (K.semantic_chunks, K.recursive_chunks, K.markdown_chunks):
         assert [(r.doc_id, r.content) for r in f(docs).collect()] == [(4, "One.")]
+
+
+def test_another_token_counter(spark):
+    """Characters as tokens: the same counter for columns and for what is cut in Python."""
+    letters = TokenCounter(F.length, len)
+    text = "# One\n" + "aa bb. " * 20 + "\n# Two\nshort."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = K.semantic_chunks(docs, max_tokens=30, counter=letters).collect()
+    assert all(r.token_count == len(r.content) <= 30 + r.content.count(". ") for r in rows) and len(rows) > 3  # sentences are counted, not the spaces between
+    wide = "abcdefghijklmnop " * 12
+    assert len(K.markdown_pieces(wide, 25, len)) > len(K.markdown_pieces(wide, 25)) == 1
+    marked = K.markdown_chunks(docs, counter=letters).collect()
+    assert [r.token_count for r in marked] == [len(r.content) for r in marked]
+    corpus = spark.createDataFrame([(k, 0, k, "x" * 40) for k in range(4)], "id long, source_id long, chunk_index int, text string")
+    context = lambda **kw: E.expand_context(corpus.where("id = 1"), corpus, low=70, high=90, **kw).first().context
+    assert context(counter=letters) == "x" * 40 + "\n\n" + "x" * 40 and len(context()) == 40 * 4 + 6
+    assert WORDS.plain("ab, c1_d!") == spark.range(1).select(WORDS.column(F.lit("ab, c1_d!"))).first()[0] == 4
+
+
+def test_best_rows_within_a_budget(spark):
+    rows = spark.createDataFrame([(k % 2, k, "w " * k) for k in range(20)], "key long, rank int, text string")
+    got = sorted((r.key, r["rank"]) for r in K.best_rows(rows, "key", 5, ("rank",), "text", 12).collect())
+    assert got == [(0, 0), (0, 2), (0, 4), (0, 6), (1, 1), (1, 3), (1, 5)]
+    plan = K.best_rows(rows, "key", 5)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan  # tasks cut before the shuffle

@@ -285,3 +285,46 @@ def test_every_query_gives_rows(spark, small):
     only = set(registry.queries()) - set(registry.oracle_sql())
     for name in sorted(only):
         assert registry.queries()[name](spark, small).limit(1).count() == 1, name
+
+
+def test_a_crowded_chunk_is_dealt_to_pairs_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(G, "CROWD", 7)
+    rng = random.Random(2)
+    rows = [(0, 0, k) for k in range(60)] + [(c, c % 3, rng.randrange(60)) for c in range(1, 60) for _ in range(3)]
+    df = spark.createDataFrame(rows, "chunk_id long, source_id long, entity long").repartition(3)
+    got = {(r.a, r.b): round(r.weight, 9) for r in G.cooccurrence_edges(df).collect()}
+    of, sources, chunks = {}, {}, {}
+    for c, s, e in set(rows):
+        of.setdefault(c, set()).add(e)
+        sources.setdefault(e, set()).add(s)
+        chunks.setdefault(e, set()).add(c)
+    want: dict = {}
+    for es in of.values():
+        for a in es:
+            for b in es:
+                if a < b:
+                    bonus = 1.0 if sources[a] & sources[b] else 1.5
+                    want[a, b] = want.get((a, b), 0) + bonus / (len(chunks[a]) * len(chunks[b])) ** 0.5
+    assert got == {k: round(v, 9) for k, v in want.items()}
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        met = G._pairs_within(df.distinct(), "chunk_id", ()).where("chunk_id = 0").groupBy(F.spark_partition_id()).count()
+        sizes = [r[1] for r in met.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 60 * 59 // 2 and len(sizes) > 1  # more than one task makes the pairs of chunk 0
+
+
+def test_queries_without_a_scope_see_all_in_blocks(spark, monkeypatch):
+    from corpuslink.operators import catalog as C
+
+    monkeypatch.setattr(C, "TOGETHER", 2)
+    chunks = spark.createDataFrame([(k, k % 3) for k in range(30)], "chunk_id long, source_id long")
+    scope = spark.createDataFrame([(q, q if q < 2 else None) for q in range(7)], "query_id long, source_id long")
+    got = sorted((r.query_id, r.chunk_id) for r in C.in_sources(chunks, scope).collect())
+    assert got == sorted((q, k) for q in range(7) for k in range(30) if q > 1 or k % 3 == q)
+    assert "CartesianProduct" not in C.in_sources(chunks, scope)._jdf.queryExecution().toString()
