@@ -156,18 +156,19 @@ def extraction_stats(upserted: DataFrame) -> DataFrame:
     return upserted.groupBy("source_id").agg(F.countDistinct("chunk_id").alias("n_chunks"), F.count_if("is_new").alias("n_new"), F.count_if(~F.col("is_new")).alias("n_reused"))
 
 
-def mutual_links(insights: DataFrame, k: int = 10) -> DataFrame:
-    """src, dst and similarity, both ways, of insights (id, vector, sources) that are among each other's k nearest without a common source.
+def nearest_apart(asking: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
+    """a, b and s of the k rows of the corpus nearest to each asking one, without itself and those that share a source with it.
 
-    Blocks of both sides meet as in dense_topk; within a pair of blocks common sources are found by a product of the two
-    membership matrices.
+    Both: id, vector, sources. Asking rows may have a `floor`: what is below it is left out (null for none). Blocks of both sides meet in
+    tasks; within a pair of blocks common sources are found by a product of the two membership matrices.
     """
-    rows = insights.where("vector is not null").select("id", "vector", "sources")
-    n = rows.count()
-    na, nb = max(1, -(-n // QUERY_BLOCK)), max(1, -(-n // CORPUS_BLOCK))
+    floor = F.coalesce("floor", F.lit(-2.0)) if "floor" in asking.columns else F.lit(-2.0)
+    rows = asking.where("vector is not null").select("id", "vector", "sources", floor.alias("floor"))
+    held = corpus.where("vector is not null").select(F.col("id").alias("id2"), F.col("vector").alias("vector2"), F.col("sources").alias("sources2"))
+    na, nb = max(1, -(-rows.count() // QUERY_BLOCK)), max(1, -(-held.count() // CORPUS_BLOCK))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = rows.withColumn("qa", F.pmod(F.xxhash64("id"), F.lit(na)).cast("int")).withColumn("qb", every(nb))
-    right = rows.select(F.col("id").alias("id2"), F.col("vector").alias("vector2"), F.col("sources").alias("sources2")).withColumn("cb", F.pmod(F.xxhash64("id2"), F.lit(nb)).cast("int")).withColumn("ca", every(na))
+    right = held.withColumn("cb", F.pmod(F.xxhash64("id2"), F.lit(nb)).cast("int")).withColumn("ca", every(na))
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -180,18 +181,44 @@ def mutual_links(insights: DataFrame, k: int = 10) -> DataFrame:
             for i, xs in enumerate(col):
                 m[i, [names[x] for x in xs]] = 1
         ia, ib = a["id"].to_numpy(), b["id2"].to_numpy()
-        s = np.where((ma @ mb.T > 0) | (ia[:, None] == ib[None, :]), -np.inf, s)
+        s = np.where((ma @ mb.T > 0) | (ia[:, None] == ib[None, :]) | (s < a["floor"].to_numpy()[:, None]), -np.inf, s)
         j = np.argsort(-s, axis=1, kind="stable")[:, :k]
         i = np.repeat(np.arange(len(a)), j.shape[1])
         j = j.ravel()
         ok = s[i, j] > -np.inf
         return pd.DataFrame({"a": ia[i[ok]], "b": ib[j[ok]], "s": s[i[ok], j[ok]]})
 
-    near = left.groupBy("qa", "qb").cogroup(right.groupBy("ca", "cb")).applyInPandas(block, "a long, b long, s double")
+    return _first(left.groupBy("qa", "qb").cogroup(right.groupBy("ca", "cb")).applyInPandas(block, "a long, b long, s double"), k)
+
+
+def _first(near: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    top = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    back = top.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return top.join(back, ["a", "b"]).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("s").alias("similarity"))
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
+def extend_nearest(near: DataFrame, stored: DataFrame, new: DataFrame, k: int = 10) -> DataFrame:
+    """The lists (a, b, s) of `nearest_apart` over the stored and the new insights together, from those of the stored ones.
+
+    The new ones ask all. A stored one is asked about the new ones only, and takes in those that reach the k-th score of its
+    list, so that the stored ones aren't compared with each other again. ids of new ones are new; a stored insight whose
+    sources have changed is to be taken out of the lists and the store, and given as a new one.
+    """
+    kth = near.groupBy(F.col("a").alias("id")).agg(F.when(F.count("*") >= k, F.min("s")).alias("floor"))
+    entering = nearest_apart(stored.join(kth, "id", "left"), new, k)
+    own = nearest_apart(new, stored.select("id", "vector", "sources").unionByName(new.select("id", "vector", "sources")), k)
+    return _first(near.unionByName(entering), k).unionByName(own)
+
+
+def mutual(near: DataFrame) -> DataFrame:
+    """src, dst and similarity, both ways, of those that are in each other's list."""
+    back = near.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return near.join(back, ["a", "b"]).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("s").alias("similarity"))
+
+
+def mutual_links(insights: DataFrame, k: int = 10) -> DataFrame:
+    """src, dst and similarity, both ways, of insights (id, vector, sources) that are among each other's k nearest without a common source."""
+    rows = insights.select("id", "vector", "sources")
+    return mutual(nearest_apart(rows, rows, k))
 
 
 def related(links: DataFrame, insights: DataFrame, k: int = 10) -> DataFrame:

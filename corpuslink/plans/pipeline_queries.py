@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions.models import map_model
-from ..functions.shared import workspace
+from ..functions.shared import materialize, workspace
 from ..operators import catalog as C
 from ..operators import expansion as E
 from ..operators import graph as G
@@ -294,13 +294,27 @@ def i05b_contains_edges(t):
     return I.contains_edges(t.lineitem.selectExpr("l_orderkey as chunk_id", "l_partkey as insight_id", "l_returnflag as topics"))
 
 
-@query("""with s as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a, embeddings b where a.label <> b.label),
+_MUTUAL_ROWS = """with s as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a, embeddings b where a.label <> b.label),
 k as (select * from (select *, row_number() over (partition by a order by round(s, 12) desc, b) as k from s) where k <= 10)
-select x.a as src, x.b as dst, round(x.s, 6) as similarity from k x join k y on y.a = x.b and y.b = x.a""")
+select x.a as src, x.b as dst, round(x.s, 6) as similarity from k x join k y on y.a = x.b and y.b = x.a"""
+
+
+@query(_MUTUAL_ROWS)
 def i06_mutual_links(t):
     return six(I.mutual_links(t.embeddings.selectExpr("vec_id as id", "embedding as vector", "array(label) as sources")), "similarity")
 
 
+@query(_MUTUAL_ROWS)
+def i06_mutual_links_in_batches(t):
+    """The same links when the insights come in three batches, none of which compares the stored ones again."""
+    rows = t.embeddings.selectExpr("vec_id as id", "embedding as vector", "array(label) as sources")
+    batch = lambda n: rows.where(F.col("id") % 3 == n)
+    near, stored = materialize(I.nearest_apart(batch(0), batch(0))), batch(0)
+    for n in (1, 2):
+        near, stored = materialize(I.extend_nearest(near, stored, batch(n))), stored.unionByName(batch(n))
+    return six(I.mutual(near), "similarity")
+
+
 @query(f"with {_LINKS}, r as (select *, row_number() over (partition by src order by round(similarity, 12) desc, dst) as k from links) select src, dst, round(similarity, 6) as similarity, k::int as rank from r where k <= 3")
 def i07_related(t):
     return six(I.related(_links(t), t.embeddings.selectExpr("vec_id as id"), 3), "similarity")

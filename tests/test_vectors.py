@@ -96,3 +96,26 @@ def test_empty_sides(corpus):
     assert dense_topk(asked, none, 3).count() == 0
     assert dense_pairs(asked, none, 0.5).count() == 0
     assert dense_topk(asked.limit(0), corpus, 3).count() == 0
+
+
+def test_lists_that_grow_by_batches(spark, monkeypatch):
+    """Ties, lists shorter than k, null vectors and insights without another source; blocks of a few rows."""
+    from corpuslink.operators import insights as I
+
+    monkeypatch.setattr(I, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(I, "CORPUS_BLOCK", 13)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(50, 3)), 1)
+    x[20:24] = x[3]
+    rows = [(i, None if i == 17 else v.tolist(), [f"s{k}" for k in {int(i) % 4, int(rng.integers(6))}]) for i, v in enumerate(x)]
+    rows[30] = (30, rows[30][1], [f"s{k}" for k in range(6)])
+    df = spark.createDataFrame(rows, "id long, vector array<double>, sources array<string>").repartition(3)
+    key = lambda near: sorted((r.a, r.b, r.s) for r in near.collect())
+    want = key(I.nearest_apart(df, df, 4))
+    part = lambda n: df.where(f"id % 3 = {n}")
+    near = I.extend_nearest(I.nearest_apart(part(2), part(2), 4), part(2), part(0), 4)
+    assert key(I.extend_nearest(near, part(2).unionByName(part(0)), part(1), 4)) == want
+    s = np.round(cosines(x), 12)
+    for i, v, own in rows:
+        others = [] if v is None else [(-s[i, j], j) for j, w, theirs in rows if j != i and w is not None and not set(own) & set(theirs)]
+        assert sorted(b for a, b, _ in want if a == i) == sorted(j for _, j in sorted(others)[:4])
