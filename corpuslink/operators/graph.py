@@ -129,51 +129,107 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
     return ends.join(inside, "c", "left").crossJoin(F.broadcast(total)).agg(F.sum(part).alias("modularity"))
 
 
-def communities(edges: DataFrame, min_size: int = 3, resolution: float = 1.0, rounds: int = 6, levels: int = 3) -> DataFrame:
+def _chosen(toward: DataFrame, at: DataFrame, totals: DataFrame, total: float, resolution: float) -> DataFrame:
+    """v, to, g and now: the neighbouring community of greatest gain of each vertex, and the gain of its own one if it has neighbours there."""
+    choices = toward.join(at.select("v", F.col("c").alias("own"), "k"), "v").join(totals, "c")
+    gain = F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total
+    best = F.max_by("c", F.struct("g", -F.col("c"))).alias("to"), F.max("g").alias("g"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("now")
+    return choices.withColumn("g", F.round(gain, 10)).groupBy("v").agg(*best)
+
+
+def _move(e: DataFrame, at: DataFrame, total: float, resolution: float, rounds: int) -> tuple[DataFrame, bool]:
+    """(at after local moving, whether any vertex moved). e: a, b, w both ways; at: v, c, k.
+
+    In each round a hashed half of the vertices moves to the neighbouring community of greatest gain, if that beats staying.
+    """
+    others, any_, last, size = e.where("a <> b"), False, 0, at.count()
+    for r in range(rounds):
+        totals = at.groupBy("c").agg(F.sum("k").alias("tot"))
+        toward = others.join(at.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v"), "c").agg(F.sum("w").alias("w"))
+        best = _chosen(toward, at, totals, total, resolution)
+        joined = at.join(best, "v", "left").join(totals.withColumnRenamed("tot", "tot0"), "c")
+        stay = F.coalesce("now", -resolution * F.col("k") * (F.col("tot0") - F.col("k")) / total)
+        turn = F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2)) == 0
+        go = F.coalesce(turn & (F.col("to") != F.col("c")) & (F.col("g") > stay + 1e-9), F.lit(False))
+        at = materialize(joined.select("v", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), "k", go.alias("moved")))
+        n = at.where("moved").count()
+        any_ |= n > 0
+        at = at.drop("moved")
+        if r % 2 and n + last <= size / 500:  # both halves have had their turn, and hardly any moved
+            break
+        last = n
+    return at, any_
+
+
+def _refine(e: DataFrame, at: DataFrame, total: float, resolution: float, rounds: int) -> DataFrame:
+    """v, c, k and p: each community p of `at` (v, c, k) in parts c that are connected inside it.
+
+    All begin alone. A vertex that is alone and well connected to the rest of its community joins the part of it with the
+    greatest gain, if that part is well connected too: its weight to the rest is at least what the weights of both ends
+    let expect. Whoever joins has an edge into the part, and a vertex alone is only joined while it can't move itself, so
+    that a part is always connected (Traag, Waltman and van Eck, 2019).
+    """
+    of = at.select("v", F.col("c").alias("p"))
+    whole = at.groupBy(F.col("c").alias("p")).agg(F.sum("k").alias("all"))
+    inside = materialize(e.where("a <> b").join(of.toDF("a", "p"), "a").join(of.toDF("b", "pb"), "b").where("p = pb").select("a", "b", "w"))
+    own = inside.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("inner"))
+    tied = lambda w, k: F.coalesce(w, F.lit(0.0)) >= resolution * k * (F.col("all") - k) / total - 1e-12
+    rows = at.select("v", F.col("v").alias("c"), "k", F.col("c").alias("p")).join(whole, "p").join(own, "v", "left")
+    now = materialize(rows.select("v", "c", "k", "p", "all", tied(F.col("inner"), F.col("k")).alias("tied")))
+    for r in range(rounds):
+        turn = F.pmod(F.xxhash64("c", F.lit(r)), F.lit(2)) == 0
+        named = inside.join(now.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(now.select(F.col("v").alias("b"), F.col("c").alias("c")), "b").where("ca <> c")
+        outer = named.groupBy("c").agg(F.sum("w").alias("outer"))
+        parts = now.groupBy("c").agg(F.sum("k").alias("tot"), F.count("*").alias("n"), F.max("all").alias("all")).join(outer, "c", "left")
+        open_ = parts.where(tied(F.col("outer"), F.col("tot")) & ((F.col("n") > 1) | ~turn)).select("c", "tot")
+        alone = now.where("tied").join(parts.where("n = 1").select("c"), "c", "left_semi").where(turn)
+        toward = named.join(alone.select(F.col("v").alias("a")), "a", "left_semi").groupBy(F.col("a").alias("v"), "c").agg(F.sum("w").alias("w"))
+        best = _chosen(toward, now, open_, total, resolution).where("g > 1e-9")
+        now = materialize(now.join(best.select("v", "to"), "v", "left").select("v", F.coalesce("to", "c").alias("c"), "k", "p", "all", "tied"))
+    return now.select("v", "c", "k", "p")
+
+
+def communities(edges: DataFrame, min_size: int = 3, resolution: float = 1.0, rounds: int = 6, levels: int = 3, refining: int = 3) -> DataFrame:
     """(entity, community) of communities with at least min_size members, by modularity.
 
-    Vertices move, a hashed half of them in each round, to the neighbouring community with the largest gain; communities are
-    then contracted and moved in turn. At last each is split into its connected parts. State stays distributed; the driver
-    sees a total weight and a number of moves per round. ids are longs; the result doesn't depend on partitions.
+    Each level moves vertices to neighbouring communities (`_move`) and contracts these. Then all communities are refined into
+    well-connected parts (`_refine`) of the original graph, and the parts move from the communities that they are in, so that
+    what the levels have put together wrongly comes apart again; that is kept if it raises the modularity. At last each
+    community is split into its connected parts. State stays distributed; the driver sees totals and a number of
+    moves per round. ids are longs; the result doesn't depend on partitions.
     """
     e0 = materialize(edges.where("a <> b").select("a", "b", F.col("weight").cast("double").alias("w")))
-    e = materialize(e0.union(e0.select("b", "a", "w")))
+    whole = e = materialize(e0.union(e0.select("b", "a", "w")))
     total = e.agg(F.sum("w")).first()[0]
     if not total:
         return edges.select(F.col("a").alias("entity"), F.col("a").alias("community")).limit(0)
-    owner = e.select("a").distinct().select(F.col("a").alias("entity"), F.col("a").alias("community"))
-    for _ in range(levels):
-        strength = materialize(e.groupBy("a").agg(F.sum("w").alias("k")))
-        at = strength.select(F.col("a").alias("v"), F.col("a").alias("c"), "k")
-        moved_any = False
-        for r in range(rounds):
-            totals = at.groupBy("c").agg(F.sum("k").alias("tot"))
-            toward = e.where("a <> b").join(at.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v"), "c").agg(F.sum("w").alias("w"))
-            choices = toward.join(at.select("v", F.col("c").alias("own"), "k"), "v").join(totals, "c")
-            gain = F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total
-            scored = choices.withColumn("g", F.round(gain, 10))
-            best = scored.groupBy("v").agg(
-                F.max_by("c", F.struct("g", -F.col("c"))).alias("to"), F.max("g").alias("g"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("now")
-            )
-            stay = F.coalesce("now", -resolution * F.col("k") * (F.col("tot0") - F.col("k")) / total)
-            turn = F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2)) == 0
-            joined = at.join(best, "v", "left").join(totals.select(F.col("c"), F.col("tot").alias("tot0")), "c")
-            go = turn & F.col("to").isNotNull() & (F.col("to") != F.col("c")) & (F.col("g") > stay + 1e-9)
-            at = materialize(joined.select("v", F.when(F.coalesce(go, F.lit(False)), F.col("to")).otherwise(F.col("c")).alias("c"), "k", F.coalesce(go, F.lit(False)).alias("moved")))
-            n = at.where("moved").count()
-            moved_any |= n > 0
-            at = at.drop("moved")
-            if n == 0 and r % 2:
-                break
-        if not moved_any:
+    strength = materialize(e.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k")))
+    owner = strength.select(F.col("v").alias("entity"), F.col("v").alias("community"))
+
+    def contracted(e: DataFrame, to: DataFrame) -> DataFrame:
+        return materialize(e.join(to.toDF("a", "ca"), "a").join(to.toDF("b", "cb"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+
+    for level in range(levels):
+        k = strength if level == 0 else e.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k"))
+        at, moved = _move(e, k.select("v", F.col("v").alias("c"), "k"), total, resolution, rounds)
+        if not moved:
             break
         owner = materialize(owner.join(at.select(F.col("v").alias("community"), "c"), "community").select("entity", F.col("c").alias("community")))
-        to = at.select("v", "c")
-        e = materialize(e.join(to.toDF("a", "ca"), "a").join(to.toDF("b", "cb"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        if level < levels - 1:
+            e = contracted(e, at.select("v", "c"))
+    if refining:
+        now = strength.join(owner.toDF("v", "c"), "v").select("v", "c", "k")
+        parts = materialize(_refine(whole, now, total, resolution, refining))
+        e = contracted(whole, parts.select("v", "c"))
+        at, moved = _move(e, parts.groupBy(F.col("c").alias("v")).agg(F.min("p").alias("c"), F.sum("k").alias("k")), total, resolution, rounds)
+        again = parts.select(F.col("v").alias("entity"), F.col("c").alias("v")).join(at.select("v", "c"), "v").select("entity", F.col("c").alias("community"))
+        quality = lambda m: modularity(e0.withColumnRenamed("w", "weight"), m, resolution).first()[0]
+        if moved and quality(again) > quality(owner):
+            owner = materialize(again)
     inside = e0.join(owner.toDF("a", "ca"), "a").join(owner.toDF("b", "cb"), "b").where("ca = cb").select("a", "b")
-    parts = connected_components(inside).select(F.col("id").alias("entity"), F.col("component").alias("community"))
-    large = parts.groupBy("community").count().where(F.col("count") >= min_size)
-    return parts.join(large, "community", "left_semi").select("entity", "community")
+    split = connected_components(inside).select(F.col("id").alias("entity"), F.col("component").alias("community"))
+    large = split.groupBy("community").count().where(F.col("count") >= min_size)
+    return split.join(large, "community", "left_semi").select("entity", "community")
 
 
 def score_chunks(mentions: DataFrame, membership: DataFrame, cutoff: float = 0.5) -> DataFrame:

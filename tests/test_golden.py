@@ -84,6 +84,72 @@ def test_ring_of_cliques(spark):
     assert G.modularity(e, found).first().modularity >= G.modularity(e, cliques).first().modularity - 0.05
 
 
+def _best_by_moving(edges, n):
+    """A small model: vertices in turn to the best neighbouring community, then communities to each other, while either gains."""
+    m = sum(w for _, _, w in edges)
+    k, c = [0.0] * n, list(range(n))
+    for a, b, w in edges:
+        k[a] += w
+        k[b] += w
+
+    def quality():
+        inner = sum(w for a, b, w in edges if c[a] == c[b]) / m
+        return inner - sum((sum(k[v] for v in range(n) if c[v] == x) / (2 * m)) ** 2 for x in set(c))
+
+    best, gained = quality(), True
+    while gained:
+        gained = False
+        groups = [[v] for v in range(n)] + [[v for v in range(n) if c[v] == x] for x in sorted(set(c))]
+        for group in groups:
+            for to in sorted({c[b] for a, b, _ in edges if a in group} | {c[a] for a, b, _ in edges if b in group}):
+                before = c[:]
+                for v in group:
+                    c[v] = to
+                if quality() > best + 1e-9:
+                    best, gained = quality(), True
+                else:
+                    c[:] = before
+    return best
+
+
+def _planted(rng, n, groups):
+    return [(a, b, 1.0 if a % groups == b % groups else 0.5) for a in range(n) for b in range(a + 1, n) if rng.random() < (0.5 if a % groups == b % groups else 0.04)]
+
+
+@pytest.mark.parametrize("seed, n, groups", [(1, 40, 4), (2, 48, 6), (3, 36, 2)])
+def test_communities_are_as_good_as_moving_in_turn(spark, seed, n, groups):
+    edges = _planted(random.Random(seed), n, groups)
+    e = spark.createDataFrame(edges, "a long, b long, weight double")
+    found = G.communities(e, min_size=1)
+    assert found.count() == len({x for a, b, _ in edges for x in (a, b)})
+    assert G.modularity(e, found).first().modularity >= _best_by_moving(edges, n) - 0.02  # vertices move together here, not in turn
+
+
+def test_refined_parts_are_connected_and_inside_their_community(spark):
+    """Communities that aren't connected, as moving alone may leave them, fall into connected parts."""
+    edges = _planted(random.Random(5), 40, 4)
+    both = [(a, b, w) for a, b, w in edges] + [(b, a, w) for a, b, w in edges]
+    strength: dict = {}
+    for a, _, w in both:
+        strength[a] = strength.get(a, 0.0) + w
+    at = spark.createDataFrame([(v, v % 2, k) for v, k in strength.items()] , "v long, c long, k double")
+    e = spark.createDataFrame(both, "a long, b long, w double")
+    parts = {r.v: (r.c, r.p) for r in G._refine(e, at, sum(strength.values()), 1.0, 4).collect()}
+    assert all(p == v % 2 for v, (_, p) in parts.items()) and len({c for c, _ in parts.values()}) < len(parts)
+    near: dict = {}
+    for a, b, _ in both:
+        near.setdefault(a, set()).add(b)
+    for part in {c for c, _ in parts.values()}:
+        members = {v for v, (c, _) in parts.items() if c == part}
+        seen, todo = set(), [min(members)]
+        while todo:
+            v = todo.pop()
+            if v not in seen:
+                seen.add(v)
+                todo += near[v] & members
+        assert seen == members and len({parts[v][1] for v in members}) == 1
+
+
 def test_chunk_score(spark):
     m = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (2, 1, 2), (2, 1, 3)], "chunk_id long, source_id long, entity long")
     members = spark.createDataFrame([(i, 0) for i in (1, 2, 3, 4)], "entity long, community long")
