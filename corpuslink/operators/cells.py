@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import materialize
 
 #: Vectors of a cell in the mean, centres at most, and vectors that these are learnt from: the driver holds no more of them.
-CELL, CENTRES, SAMPLE = 1024, 2048, 8192
+CELL, CENTRES, SAMPLE = 4096, 2048, 8192
 #: Rings of a cell by the angle to its centre; a single centre has one.
 RINGS, WIDTH = 16, np.pi / 24
 #: Rows of either side that one task holds, and cosines that one step of it computes.
