@@ -32,6 +32,9 @@ FAMILY = 32
 #: Words of further SimHash bits that a class carries, and shingles from which on these are telling enough to drop a pair.
 SKETCH = ("s0", "s1", "s2", "s3")
 TELLING = 32
+#: Bytes of shingle hashes and pairs of a cell in which pairs are verified.
+CELL_BYTES = 4 << 20
+CELL_PAIRS = 100_000
 #: Spanning forests that are handed on in each round where pairs are verified later; None hands on all pairs that are left.
 ROUNDS = (3, None)
 
@@ -237,7 +240,9 @@ def trie_join(tries: DataFrame, bits: int, budget: int, near: tuple[int, float]
 
     tries: trie long (which one), value long (`bits` bits, 63 at most), id long, and if near = (bits, similarity) is given the
     longs of SKETCH, of which a pair may differ in so many bits at the most if both sets have TELLING elements, their number
-    n, which may differ by the similarity, and a label long: ids of one label are connected already. A pair of a trie is given through `layers` spanning forests, so that a dense family isn't spelled out in all its
+    n, a bound core on the elements that a set can share with any other (n if nothing more is known; the similarity can't be
+    reached where the lesser core of a pair is too small for its sizes), and a label long: ids of one label are connected
+    already. A pair of a trie is given through `layers` spanning forests, so that a dense family isn't spelled out in all its
     pairs, or as it is if layers is None. With near, an edge (a, a) says that pairs of a were left out.
 
     The rows of a trie beyond HOT are dealt to its node pairs HOT_LEVELS down, each with the bits in which they differ so
@@ -245,7 +250,7 @@ def trie_join(tries: DataFrame, bits: int, budget: int, near: tuple[int, float]
     of parts is a cell of its own. So no task holds more than a few times HOT rows of one trie, and no pair is lost.
     """
     hot, levels = HOT, HOT_LEVELS
-    columns = ["trie", "value", "id"] + ([*SKETCH, "n", "label"] if near else [])
+    columns = ["trie", "value", "id"] + ([*SKETCH, "n", "core", "label"] if near else [])
     tries = tries.select(*columns)
     crowded = materialize(tries.groupBy("trie").count().where(F.col("count") > hot).select("trie"))
     masks = [m for m in range(1 << levels) if m.bit_count() <= budget]
@@ -315,7 +320,7 @@ def _join(frame: pd.DataFrame, bits: int, levels: int, budget: int, near: tuple[
         elif 0 < (right := int(sides[low:high].sum())) < high - low:
             roots.append((low, high - right, high - right, high, int(errors[low])))
     sketch = np.ascontiguousarray(frame[list(SKETCH)].to_numpy()).view(np.uint64) if near else None
-    sizes = frame["n"].to_numpy() if near else None
+    sizes, cores = (frame["n"].to_numpy(), frame["core"].to_numpy()) if near else (None, None)
     labels = frame["label"].to_numpy() if near else None
     forest = Forest(layers or 1)
     more: list[np.ndarray] | None = [] if brief else None
@@ -325,8 +330,10 @@ def _join(frame: pd.DataFrame, bits: int, levels: int, budget: int, near: tuple[
         for i, j, far in trie_pairs(values & np.uint64((1 << depth) - 1) if deep else values, part, depth, budget, more, labels):
             if near:
                 far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-                low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-                ok = ((far <= near[0]) | (low < TELLING)) & (low >= near[1] * high)
+                # A similarity of s takes s / (1 + s) of both sizes in common.
+                ok = ((far <= near[0]) | (np.minimum(sizes[i], sizes[j]) < TELLING)) & (
+                    (1 + near[1]) * np.minimum(cores[i], cores[j]) >= near[1] * (sizes[i] + sizes[j]) - 1e-6
+                )
                 i, j, far = i[ok], j[ok], far[ok]
             if layers:
                 forest.add(i, j, far)
@@ -444,7 +451,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, *,
     exact Jaccard similarity of the shingles, and components are formed of the pairs that pass: first of classes in tries of
     over FAMILY with the first of their trie, so that a dense family carries one label and its node pairs are passed over;
     then of a few spanning forests; then in further ROUNDS of the pairs left out whose texts verified links have not
-    connected, and at last of all of these.
+    connected, and at last of all of these. Of classes with pairs left out the shingles are counted: what no other of them
+    has can't be shared, so that pairs of texts of one template with too much of their own are dropped by two numbers, and
+    exactly. A pair is verified in a cell of parts of the classes by sorted hashes, which are sent once to each cell.
 
     Null and empty texts are copies of each other; rows of one doc_id count as one document, which has no link to itself;
     a null doc_id takes no part. Only key and text are read. An empty table gives no rows.
@@ -455,22 +464,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, *,
     copies = rows.join(classes.select("own", "value", "id"), ["own", "value"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for one, two in zip(batch.column(2), batch.column(3)):
-                one, two = (np.unique(shingle_hashes(x.as_py(), size)) for x in (one, two))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(both >= similarity * (len(one) + len(two) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            sets = [np.unique(shingle_hashes(raw.as_py(), size)).tobytes() for raw in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "h"])
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = np.unique(shingle_hashes(raw.as_py(), size)).view(np.int64)
+                for k in range(0, len(h), SLICE):
+                    part = h[k : k + SLICE]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i)), pa.array(part)], ["id", "h"])
+
+    def alike(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        h = {i: np.frombuffer(x, np.uint64) if x else np.empty(0, np.uint64) for i, x in zip(sets["id"].to_pylist(), sets["h"].to_pylist())}
+        keep = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            both = len(np.intersect1d(h[a], h[b], assume_unique=True))
+            keep.append(both >= similarity * (len(h[a]) + len(h[b]) - both))
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs of at least the similarity. A text is hashed once and sent to each cell that has a pair of it once."""
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        some = materialize(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))
-        one, two = some.select(F.col("id").alias("a"), F.col("t").alias("t1")), some.select(F.col("id").alias("b"), F.col("t").alias("t2"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "t1", "t2").mapInArrow(alike, "a long, b long")
-
-    columns = ["id", "value", "n", *SKETCH]
+        sets = materialize(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(hashed, "id long, h binary"))
+        total, k = sets.agg(F.coalesce(F.sum(F.length("h")), F.lit(0)), F.count("*")).first()
+        n, mean = pairs.count(), total / max(1, k)
+        side = math.ceil(max(1, (n / CELL_PAIRS) ** 0.5, min((2 * n * mean / CELL_BYTES) ** 0.5, 2 * total / CELL_BYTES)))
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+        celled = pairs.select("a", "b", (part("a") * side + part("b")).alias("cell"))
+        wanted = celled.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("id")).distinct()
+        return wanted.join(sets, "id").groupBy("at").cogroup(celled.groupBy("cell")).applyInArrow(alike, "a long, b long")
+
+    def bounded(some: DataFrame) -> DataFrame:
+        """core without the shingles that no other of these classes has."""
+        every = texts.join(some.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(spelled, "id long, h long")
+        alone = every.groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own_only"))
+        return some.join(alone, "id", "left").withColumn("core", F.greatest(F.lit(0), F.col("n") - F.coalesce("own_only", F.lit(0)))).drop("own_only")
+
+    columns = ["id", "value", "n", "core", *SKETCH]
+    classes = classes.withColumn("core", F.col("n"))
     dealt = classes.select(F.explode("tries").alias("trie"), *columns)
     first = materialize(dealt.groupBy("trie").agg(F.count("*").alias("k"), F.min(F.struct(*columns)).alias("p")).where(F.col("k") > FAMILY))
     apart = lambda *c: sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"p.{x}"))) for x in c)
@@ -494,5 +528,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, *,
         cut = found.where("a = b").select(F.col("a").alias("id"))
         if cut.isEmpty():
             break
-        left = classes.join(cut, "id", "left_semi")
+        left = materialize(bounded(classes.join(cut, "id", "left_semi")))
     return components.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))

@@ -197,3 +197,32 @@ def test_repeated_ids_are_one_document(spark):
     a, b = words(rng, 60), words(rng, 60)
     docs = spark.createDataFrame([(1, a), (1, a), (2, b), (3, b + " end"), (None, a), (4, None), (5, "")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()} == {2: 2, 3: 2, 4: 4, 5: 4}
+
+
+@pytest.mark.parametrize("cell", [4 << 20, 20_000])
+def test_template_of_texts_that_are_not_alike(spark, monkeypatch, cell):
+    """All pairs are candidates and fail, but for texts that were taken from another one; small cells find the same."""
+    monkeypatch.setattr(S, "CELL_BYTES", cell)
+    rng = random.Random(12)
+    base = words(rng, 200).split()
+    rows = []
+    for i in range(200):
+        w = base[:]
+        for k in range(5):  # five words of its own, a shingle apart: 25 of 196 shingles
+            w[20 + 30 * k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+        if i % 20 == 0:
+            w[190] = f"end{i}"
+            rows.append((1000 + i, " ".join(w)))
+    want = brute_force(rows)
+    assert sum(want[i] != i for i in want) == 10
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_bound_on_common_shingles(spark):
+    """Two sets of ten with the same fingerprint are a pair as long as both can share 16/9 of their mean at 0.8."""
+    for core, n in ((10, 1), (9, 1), (8, 0)):
+        rows = [(1, 5, k, 0, 0, 0, 0, 10, core if k else 10, k) for k in (0, 1)]
+        tries = spark.createDataFrame(rows, "trie long, value long, id long, s0 long, s1 long, s2 long, s3 long, n long, core long, label long")
+        assert [(r.a, r.b) for r in S.trie_join(tries, 63, 22, (100, 0.8), None).collect()] == [(0, 1)] * n
