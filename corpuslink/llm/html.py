@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 from zlib import crc32
@@ -40,6 +40,10 @@ CLOSED_BY = {
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "head": frozenset(["body"]),
 }
 CLOSERS = frozenset().union(*CLOSED_BY.values())
+#: Above these an element that lacks its end tag isn't closed by another.
+WALLS = ("table", "ul", "ol", "div", "article", "section", "body")
+#: The kinds of elements that a tag closes.
+CLOSES = {tag: tuple(kind for kind, closers in CLOSED_BY.items() if tag in closers) for tag in CLOSERS}
 # Quotes count after = only. No part gives back what it has taken, so that a page is read in one pass.
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|<[!?][^>]*>", re.S)
 PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*>", re.S)
@@ -49,20 +53,43 @@ SPACE = re.compile(r"\s+")
 BREAK = re.compile(rf"</?(?:{'|'.join(sorted(BREAKS - {'option', 'select', 'hr'}))})(?=[\s/>])", re.I)
 
 
+class Place:
+    """An element with what it says of itself, the place it stands in, and the label of the closest marked element."""
+
+    __slots__ = ("above", "tag", "said", "label")
+
+    def __init__(self, above: Place | None, tag: str, said: str):
+        self.above, self.tag, self.said = above, tag, said
+        self.label = "data-main=1" in said if "data-main=" in said else above.label if above else None
+
+
 class Block:
-    """A run of text between breaks: its text, the path of elements above it, the characters in links, the label if marked."""
+    """A run of text between breaks: its text, the innermost of the elements above it, the characters in links, the label if marked."""
+
+    __slots__ = ("text", "place", "linked", "label")
 
-    __slots__ = ("text", "path", "linked", "label")
+    def __init__(self, text: str, place: Place | None, linked: int):
+        self.text, self.place, self.linked, self.label = text, place, linked, place.label if place else None
 
-    def __init__(self, text: str, path: tuple, linked: int, label: bool | None):
-        self.text, self.path, self.linked, self.label = text, path, linked, label
+    @property
+    def path(self) -> list[tuple[str, str]]:
+        """The elements above the text, the outermost first."""
+        out, place = [], self.place
+        while place:
+            out.append((place.tag, place.said))
+            place = place.above
+        return out[::-1]
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in its order. Tags that aren't closed, or are closed twice, end where browsers end them."""
+    """The blocks of a page in its order. Tags that aren't closed, or are closed twice, end where browsers end them.
+
+    Blocks share their places, and an inline element that says nothing has none of its own, so that elements that are never
+    closed cost each block nothing.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    opened: Counter[str] = Counter()
+    stack: list[tuple[str, Place | None]] = []
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # where the stack holds a tag
     held: list[tuple[str, bool]] = []
     end = 0
 
@@ -70,18 +97,18 @@ def blocks_of(page: str) -> list[Block]:
         if held:
             text = SPACE.sub(" ", unescape("".join(t for t, _ in held))).strip()
             if text:
-                path = tuple(x for x in stack if x[0] in BREAKS or x[1])
-                marks = [x[1] for x in stack if "data-main=" in x[1]]
-                label = "data-main=1" in marks[-1] if marks else None
-                out.append(Block(text, path, sum(len(t) for t, link in held if link), label))
+                out.append(Block(text, stack[-1][1] if stack else None, sum(len(t) for t, link in held if link)))
             held.clear()
 
     def linked() -> bool:
-        return opened["a"] > 0
+        return bool(opened["a"])
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((opened[tag][-1] for tag in tags if opened[tag]), default=-1)
 
     def leave(k: int) -> None:
         for tag, _ in stack[k:]:
-            opened[tag] -= 1
+            opened[tag].pop()
         del stack[k:]
 
     ahead: dict[str, tuple[int, int]] = {}
@@ -93,8 +120,8 @@ def blocks_of(page: str) -> list[Block]:
             ahead[name] = found.span() if found else (len(page), len(page))
         return ahead[name]
 
-    at, last, tags = 0, page.rfind(">") + 1, TAG
-    while (here := OPENED.search(page, at, last)) is not None:
+    at, final, tags = 0, page.rfind(">") + 1, TAG
+    while (here := OPENED.search(page, at, final)) is not None:
         m = tags.match(page, here.start())
         if m is None:  # a quote that nothing ends: from here on tags end at the next >
             tags = PLAIN
@@ -112,10 +139,7 @@ def blocks_of(page: str) -> list[Block]:
             if opened[tag]:
                 if tag in BREAKS:
                     flush()
-                k = len(stack) - 1
-                while stack[k][0] != tag:
-                    k -= 1
-                leave(k)
+                leave(opened[tag][-1])
             elif tag in BREAKS:
                 flush()
             continue
@@ -132,15 +156,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BREAKS:
             flush()
-        for k in range(len(stack) - 1 if tag in CLOSERS else -1, -1, -1):
-            if stack[k][0] in CLOSED_BY and tag in CLOSED_BY[stack[k][0]]:
-                leave(k)
-                break
-            if stack[k][0] in ("table", "ul", "ol", "div", "article", "section", "body"):
-                break
+        if tag in CLOSERS and (k := last(CLOSES[tag])) > last(WALLS):
+            leave(k)
         if tag not in VOID and not m[3].endswith("/"):
-            opened[tag] += 1
-            stack.append((tag, " ".join(f"{a[0].lower()}={a[1] or a[2] or a[3]}" for a in ATTRIBUTE.findall(m[3])) if "=" in m[3] else ""))
+            opened[tag].append(len(stack))
+            said = " ".join(f"{a[0].lower()}={a[1] or a[2] or a[3]}" for a in ATTRIBUTE.findall(m[3])) if "=" in m[3] else ""
+            above = stack[-1][1] if stack else None
+            stack.append((tag, Place(above, tag, said) if said or tag in BREAKS else above))
     if end < len(page):
         held.append((page[end:], linked()))
     flush()
@@ -152,25 +174,51 @@ def blocks_of(page: str) -> list[Block]:
 _SIGNS = np.random.default_rng(3).normal(size=(4096, WORD_DIMS)).astype(np.float32) / 4
 
 
+def _hashed(v: np.ndarray, *tokens: str) -> np.ndarray:
+    """v with each token added in two places, so that two tokens rarely share all of theirs."""
+    for token in tokens:
+        h = crc32(token.encode())
+        for k in (0, 12):
+            v[(h >> k) % PATH_DIMS] += 1.0 if (h >> 24 + k // 12) & 1 else -1.0
+    return v
+
+
 class Features:
     """Vectors of blocks: hashed tag path, mean of hashed words, and four numbers."""
 
     def __init__(self):
-        self.paths: dict[tuple, np.ndarray] = {}
+        self.places: dict[tuple[int, str, str], int] = {}  # the number of a path by that of the path above it
+        self.sums: list[np.ndarray] = []
+        self.paths: dict[int, np.ndarray] = {}
         self.words: dict[str, int] = {}
 
-    def path(self, path: tuple) -> np.ndarray:
-        if (v := self.paths.get(path)) is None:
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            v = np.zeros(PATH_DIMS, np.float32)
-            for depth, (tag, said) in enumerate(reversed(path)):
-                names = [n for n in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", re.sub(r"data-main=\S*|\b(class|id|role|itemprop)=", " ", said)).lower()) if n]
-                for token in [f"<{tag}>", *([f"leaf {tag}"] if depth == 0 else []), *(f".{n}" for n in names)]:
-                    h = crc32(token.encode())
-                    for k in (0, 12):  # two places each, so that two tokens rarely share all of theirs
-                        v[(h >> k) % PATH_DIMS] += 1.0 if (h >> 24 + k // 12) & 1 else -1.0
-            self.paths[path] = v = np.clip(v, -2, 2)
+    def _forget(self) -> None:
+        self.places.clear()
+        self.paths.clear()
+        self.sums[:] = [np.zeros(PATH_DIMS, np.float32)]
+
+    def _number(self, place: Place | None, numbers: dict[Place | None, int]) -> int:
+        """The number of a path; sums has the vectors of its elements added up, so that each is looked at once."""
+        down = []
+        while place not in numbers:
+            down.append(place)
+            place = place.above
+        number = numbers[place]
+        for place in reversed(down):
+            own = (number, place.tag, place.said)
+            if (known := self.places.get(own)) is None:
+                said = re.sub(r"data-main=\S*|\b(class|id|role|itemprop)=", " ", place.said)
+                names = [n for n in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", said).lower()) if n]
+                self.places[own] = known = len(self.sums)
+                self.sums.append(_hashed(self.sums[number].copy(), f"<{place.tag}>", *(f".{n}" for n in names)))
+            numbers[place] = number = known
+        return number
+
+    def path(self, place: Place | None, numbers: dict[Place | None, int]) -> np.ndarray:
+        number = self._number(place, numbers)
+        if (v := self.paths.get(number)) is None:
+            v = self.sums[number].copy()
+            self.paths[number] = v = np.clip(_hashed(v, f"leaf {place.tag}") if place else v, -2, 2)
         return v
 
     def _word(self, word: str) -> int:
@@ -183,8 +231,11 @@ class Features:
         n = len(blocks)
         x = np.empty((n, PATH_DIMS + WORD_DIMS + NUMBERS), np.float32)
         get, ids, ends = self.words.get, [], []
+        if not self.sums or len(self.sums) > 50_000:
+            self._forget()
+        numbers: dict[Place | None, int] = {None: 0}
         for k, b in enumerate(blocks):
-            x[k, :PATH_DIMS] = self.path(b.path)
+            x[k, :PATH_DIMS] = self.path(b.place, numbers)
             for w in b.text.split(" "):
                 ids.append(h if (h := get(w)) is not None else self._word(w))
             ends.append(len(ids))

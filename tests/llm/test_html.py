@@ -102,3 +102,24 @@ def test_query(spark, pages):
     assert {r.text for r in got if r.page_id in (100, 101, 102)} == {""}
     assert sum(r.page_id == 0 for r in got) == 2
     assert H.main_text(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<p>x</p><b>", "<p>x</p><b class=c>", "<td><p>x<i>", "<p>x<b id=a><li><u>y"])
+def test_unclosed_inline_elements_are_read_in_one_pass(unit):
+    """A page of a megabyte, in time that grows with its length."""
+    import time
+
+    H.Features().of(H.blocks_of(unit * 2000))
+    page = unit * (1_000_000 // len(unit))
+    start = time.perf_counter()
+    x = H.Features().of(H.blocks_of(page))
+    assert len(x) >= page.count("x") - 1 and time.perf_counter() - start < 20
+
+
+def test_places():
+    blocks = H.blocks_of("<body><div class=a><p>x<b>y</b></p><span data-main=1><p>z</div>w")
+    assert [(b.text, b.path, b.label) for b in blocks] == [
+        ("xy", [("body", ""), ("div", "class=a"), ("p", "")], None),
+        ("z", [("body", ""), ("div", "class=a"), ("span", "data-main=1"), ("p", "")], True),
+        ("w", [("body", "")], None),
+    ]
