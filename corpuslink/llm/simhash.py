@@ -32,6 +32,9 @@ FAMILY = 32
 #: Words of further SimHash bits that a class carries, and shingles from which on these are telling enough to drop a pair.
 SKETCH = ("s0", "s1", "s2", "s3")
 TELLING = 32
+#: Bits of the map of a class's shingles, and pairs whose maps are compared at once.
+MAP_BITS = 4096
+MAP_PAIRS = 20_000
 #: Bytes of shingle hashes and pairs of a cell in which pairs are verified.
 CELL_BYTES = 4 << 20
 CELL_PAIRS = 100_000
@@ -241,8 +244,9 @@ def trie_join(tries: DataFrame, bits: int, budget: int, near: tuple[int, float]
     tries: trie long (which one), value long (`bits` bits, 63 at most), id long, and if near = (bits, similarity) is given the
     longs of SKETCH, of which a pair may differ in so many bits at the most if both sets have TELLING elements, their number
     n, a bound core on the elements that a set can share with any other (n if nothing more is known; the similarity can't be
-    reached where the lesser core of a pair is too small for its sizes), and a label long: ids of one label are connected
-    already. A pair of a trie is given through `layers` spanning forests, so that a dense family isn't spelled out in all its
+    reached where     the lesser core of a pair is too small for its sizes), and a label long: ids of one label are connected
+    already. With a column map (binary, see shingle_map) a pair also goes where its maps show that too few elements can be
+    shared. A pair of a trie is given through `layers` spanning forests, so that a dense family isn't spelled out in all its
     pairs, or as it is if layers is None. With near, an edge (a, a) says that pairs of a were left out.
 
     The rows of a trie beyond HOT are dealt to its node pairs HOT_LEVELS down, each with the bits in which they differ so
@@ -250,7 +254,7 @@ def trie_join(tries: DataFrame, bits: int, budget: int, near: tuple[int, float]
     of parts is a cell of its own. So no task holds more than a few times HOT rows of one trie, and no pair is lost.
     """
     hot, levels = HOT, HOT_LEVELS
-    columns = ["trie", "value", "id"] + ([*SKETCH, "n", "core", "label"] if near else [])
+    columns = ["trie", "value", "id"] + ([*SKETCH, "n", "core", "label"] if near else []) + (["map"] if "map" in tries.columns else [])
     tries = tries.select(*columns)
     crowded = materialize(tries.groupBy("trie").count().where(F.col("count") > hot).select("trie"))
     masks = [m for m in range(1 << levels) if m.bit_count() <= budget]
@@ -322,6 +326,7 @@ def _join(frame: pd.DataFrame, bits: int, levels: int, budget: int, near: tuple[
     sketch = np.ascontiguousarray(frame[list(SKETCH)].to_numpy()).view(np.uint64) if near else None
     sizes, cores = (frame["n"].to_numpy(), frame["core"].to_numpy()) if near else (None, None)
     labels = frame["label"].to_numpy() if near else None
+    maps = np.frombuffer(b"".join(frame["map"]), np.uint64).reshape(len(frame), -1) if "map" in frame else None
     forest = Forest(layers or 1)
     more: list[np.ndarray] | None = [] if brief else None
     for deep in (False, True):  # the rows of a cell lie below one node or two, so many levels down
@@ -335,6 +340,9 @@ def _join(frame: pd.DataFrame, bits: int, levels: int, budget: int, near: tuple[
                     (1 + near[1]) * np.minimum(cores[i], cores[j]) >= near[1] * (sizes[i] + sizes[j]) - 1e-6
                 )
                 i, j, far = i[ok], j[ok], far[ok]
+            if maps is not None:
+                ok = (1 + near[1]) * most_shared(maps, sizes, i, j) >= near[1] * (sizes[i] + sizes[j]) - 1e-6
+                i, j, far = i[ok], j[ok], far[ok]
             if layers:
                 forest.add(i, j, far)
             else:
@@ -415,6 +423,27 @@ def minima(h: np.ndarray, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def shingle_map(h: np.ndarray) -> bytes:
+    """MAP_BITS bits, of which each element of a set of hashes sets one."""
+    bits = np.zeros(MAP_BITS, bool)
+    bits[h % np.uint64(MAP_BITS)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_shared(maps: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A bound from above on the elements that the sets i and j share, from their maps (rows of 64-bit words) and sizes.
+
+    What they share lies on the bits that both maps have. A set of n elements on k bits has at most n - k more elements
+    on these bits than there are bits, so that the lesser of these surpluses is all that can be added.
+    """
+    both = np.empty(len(i), np.int64)
+    for k in range(0, len(i), MAP_PAIRS):
+        part = slice(k, k + MAP_PAIRS)
+        both[part] = np.bitwise_count(maps[i[part]] & maps[j[part]]).sum(axis=1, dtype=np.int64)
+    surplus = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    return both + np.minimum(surplus[i], surplus[j])
+
+
 def sketches(docs: DataFrame, size: int, bands: int, key: str, text: str) -> DataFrame:
     """doc_id, own (a hash of the set of shingles), n (its size), value (63 bits of its SimHash), SKETCH (others), tries (its bands)."""
 
@@ -453,7 +482,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, *,
     then of a few spanning forests; then in further ROUNDS of the pairs left out whose texts verified links have not
     connected, and at last of all of these. Of classes with pairs left out the shingles are counted: what no other of them
     has can't be shared, so that pairs of texts of one template with too much of their own are dropped by two numbers, and
-    exactly. A pair is verified in a cell of parts of the classes by sorted hashes, which are sent once to each cell.
+    exactly; a map of the shingles in MAP_BITS bits gives a second exact bound for each pair, on which nearly all pairs below
+    the similarity fall that would be verified otherwise (texts of far more words than bits pass it). A pair is verified in a cell of parts of the classes by sorted hashes, which are sent once to each cell.
 
     Null and empty texts are copies of each other; rows of one doc_id count as one document, which has no link to itself;
     a null doc_id takes no part. Only key and text are read. An empty table gives no rows.
@@ -469,6 +499,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, *,
             sets = [np.unique(shingle_hashes(raw.as_py(), size)).tobytes() for raw in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "h"])
 
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [shingle_map(np.unique(shingle_hashes(raw.as_py(), size))) for raw in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["id", "map"])
+
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -498,10 +533,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, *,
         return wanted.join(sets, "id").groupBy("at").cogroup(celled.groupBy("cell")).applyInArrow(alike, "a long, b long")
 
     def bounded(some: DataFrame) -> DataFrame:
-        """core without the shingles that no other of these classes has."""
-        every = texts.join(some.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(spelled, "id long, h long")
+        """core without the shingles that no other of these classes has, and the map of all shingles."""
+        own = texts.join(some.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+        every = own.mapInArrow(spelled, "id long, h long")
         alone = every.groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own_only"))
-        return some.join(alone, "id", "left").withColumn("core", F.greatest(F.lit(0), F.col("n") - F.coalesce("own_only", F.lit(0)))).drop("own_only")
+        core = F.greatest(F.lit(0), F.col("n") - F.coalesce("own_only", F.lit(0)))
+        return some.join(own.mapInArrow(mapped, "id long, map binary"), "id").join(alone, "id", "left").withColumn("core", core).drop("own_only")
 
     columns = ["id", "value", "n", "core", *SKETCH]
     classes = classes.withColumn("core", F.col("n"))
@@ -517,7 +554,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, *,
     left = classes
     for layers in ROUNDS:
         named = materialize(left.join(components, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
-        dealt = named.select(F.explode("tries").alias("trie"), *columns, "label")
+        dealt = named.select(F.explode("tries").alias("trie"), *columns, "label", *(["map"] if "map" in left.columns else []))
         mixed = materialize(dealt.groupBy("trie").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("trie"))
         found = materialize(trie_join(dealt.join(mixed, "trie", "left_semi"), 63, budget, (near, similarity), layers, brief=left is classes))
         pairs = materialize(found.where("a < b").join(tested, ["a", "b"], "left_anti"))

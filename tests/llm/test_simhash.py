@@ -226,3 +226,35 @@ def test_bound_on_common_shingles(spark):
         rows = [(1, 5, k, 0, 0, 0, 0, 10, core if k else 10, k) for k in (0, 1)]
         tries = spark.createDataFrame(rows, "trie long, value long, id long, s0 long, s1 long, s2 long, s3 long, n long, core long, label long")
         assert [(r.a, r.b) for r in S.trie_join(tries, 63, 22, (100, 0.8), None).collect()] == [(0, 1)] * n
+
+
+def test_maps_never_drop_a_pair_that_is_alike():
+    """The bound is at least what two sets share: on few and on many more elements than bits, and on equal and empty sets."""
+    rng = np.random.default_rng(5)
+    sets = [np.empty(0, np.uint64)]
+    for n in (1, 30, 150, 1000, 5000, 40_000):
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        sets += [np.unique(np.r_[base[rng.random(n) < keep], rng.integers(0, 1 << 63, int(n * own), np.uint64)]) for keep in (1, 0.9, 0.6) for own in (0, 0.1, 0.5)]
+    maps = np.frombuffer(b"".join(map(S.shingle_map, sets)), np.uint64).reshape(len(sets), -1)
+    sizes = np.array([len(s) for s in sets])
+    i, j = np.triu_indices(len(sets))
+    shared = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    bound = S.most_shared(maps, sizes, i, j)
+    assert (bound >= shared).all()
+    small = np.maximum(sizes[i], sizes[j]) < 250
+    assert (bound - shared)[small].max() <= 12
+
+
+def test_family_with_losses_of_their_own(spark):
+    """Texts that each lack other passages of one text: nearly all pairs lie a little below the similarity."""
+    rng = random.Random(17)
+    base = words(rng, 150).split()
+    rows = [(0, " ".join(base))]
+    for k in range(1, 150):
+        text = base[:]
+        for at in sorted(rng.sample(range(150), 4), reverse=True):
+            text[at] = rng.choice("abcd")
+        rows.append((k, " ".join(text)))
+    want = brute_force(rows)
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got.get(k, k) for k in want} == want
