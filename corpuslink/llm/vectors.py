@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ SAMPLE, PER_CENTRE = 20_000, 8
 PER_CELL, SIDE = 24, 9
 #: Members and probes of a group that one task compares; fuller groups are split.
 MEMBERS, PROBES = 8_000, 32_000
+#: The first of the numbers by which classes without an id go.
+UNNAMED = 1 << 62
 
 
 def learn_codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -99,10 +102,10 @@ def near_vectors(table: DataFrame, least: float = 0.9, recall: float = 0.98, *,
     from both sides counts once. Groups with many members or probes are split among tasks. A dense cell returns counts and
     a spanning forest of its links, not its pairs. The codebooks grow with the root of the number of vectors.
 
-    A null or zero vector, or one with null or non-finite components or of another length than the longest run of equal
-    lengths, links with nothing. Repeated rows are copies. A row with a null id is returned with kept false; it counts as a
-    copy of rows with its vector, and links with nothing if none of these has an id. Only the two columns are read. An
-    empty table gives no rows.
+    A null or zero vector, or one with null or non-finite components, links with nothing. Vectors of different lengths aren't
+    compared: each length has an index of its own, one after the other, as a table has few. Repeated rows are copies. A row
+    with a null id is compared and counted like any other and returned with kept false; its component_id is null if nothing
+    that it reaches has an id. Ids lie below 2^62. Only the two columns are read. An empty table gives no rows.
     """
     single = table.schema[vector].dataType == ArrayType(FloatType(), table.schema[vector].dataType.containsNull)
     kind = np.float32 if single else np.float64
@@ -111,26 +114,39 @@ def near_vectors(table: DataFrame, least: float = 0.9, recall: float = 0.98, *,
         F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0.0), F.lit(False)
     )
     rows = materialize(rows.select("vec_id", "e", fine.alias("fine"), F.xxhash64("e").alias("h"), F.xxhash64(F.lit(7), "e").alias("h2")))
-    classes = materialize(rows.where("fine").groupBy("h", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("e").alias("e")))
-    known = classes.where("id is not null")
-    n = known.count()
+    # A class without an id goes by a number beyond the ids, so that it never names a component that holds one.
+    key_ = F.coalesce(F.min("vec_id"), F.xxhash64("h", "h2").bitwiseAND(UNNAMED - 1).bitwiseOR(UNNAMED)).alias("id")
+    classes = materialize(rows.where("fine").groupBy("h", "h2").agg(key_, F.count("*").alias("copies"), F.first("e").alias("e")))
+    sizes = classes.groupBy(F.size("e").alias("width")).count().orderBy("width").collect()
     nothing = rows.select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), "fine"
     )
-    if n == 0:
+    if not sizes:
         return nothing.drop("fine")
+    found = reduce(DataFrame.union, [_links(classes.where(F.size("e") == s["width"]), s["count"], s["width"], kind, least, recall) for s in sizes])
+    counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    components = connected_components(found.where("b is not null").select("a", "b"))
+    component = F.coalesce("component", "id")
+    result = classes.select("h", "h2", "id", "copies").join(counts, "id", "left").join(components, "id", "left").select(
+        "h", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(component < UNNAMED, component).alias("component_id")
+    )
+    some = rows.where("fine").join(result, ["h", "h2"], "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    )
+    return some.unionByName(nothing.where("not fine").drop("fine"))
+
+
+def _links(known: DataFrame, n: int, width: int, kind: type, least: float, recall: float) -> DataFrame:
+    """Rows (a, b, n) of n classes of one length: with null b the links that a class has outside of it, else an edge."""
     k = max(1, round((n / PER_CELL) ** 0.5))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, PER_CENTRE * k)).select("e").toPandas()["e"]
-    lengths = sample.map(len)
-    width = int(lengths.mode().max())
-    x = _unit(np.stack(sample[lengths == width].to_numpy()))
+    x = _unit(np.stack(sample.to_numpy()))
     books = tuple(in_blocks(learn_codebook(half, k)) for half in (x[:, : width // 2], x[:, width // 2 :]))
     visits = cells_for_recall(x, books, least, recall)
     across = len(books[1])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[batch["e"].map(len) == width]
             for k in range(0, len(batch), 2000):
                 part = batch.iloc[k : k + 2000]
                 e = np.stack(part["e"].to_numpy()).astype(kind)
@@ -188,15 +204,4 @@ def near_vectors(table: DataFrame, least: float = 0.9, recall: float = 0.98, *,
         b[: some_m.sum() + some_p.sum()] = pd.NA
         return pd.DataFrame({"a": a, "b": b, "n": np.concatenate([counts_m[some_m], counts_p[some_p], np.zeros(len(edges), np.int64)])})
 
-    found = materialize(
-        left.groupBy("group", "m", "p").cogroup(right.groupBy("q_group", "q_m", "q_p")).applyInPandas(compare, "a long, b long, n long")
-    )
-    counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    components = connected_components(found.where("b is not null").select("a", "b"))
-    result = known.select("h", "h2", "id", "copies").join(counts, "id", "left").join(components, "id", "left").select(
-        "h", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
-    )
-    some = rows.where("fine").join(result, ["h", "h2"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
-    )
-    return some.unionByName(nothing.where("not fine").drop("fine"))
+    return materialize(left.groupBy("group", "m", "p").cogroup(right.groupBy("q_group", "q_m", "q_p")).applyInPandas(compare, "a long, b long, n long"))

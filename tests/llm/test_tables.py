@@ -1,5 +1,6 @@
 """Sharding, quality rules, URL rules, mixing and vectors."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -318,3 +319,14 @@ def test_multi_sequence_visits_the_nearest():
     for v, cells in zip(x, got):
         d = {i * 5 + j: ((v[:4] - a) ** 2).sum() + ((v[4:] - b) ** 2).sum() for i, a in enumerate(books[0]) for j, b in enumerate(books[1])}
         assert cells.tolist() == sorted(d, key=d.get)[:9]
+
+
+def test_vectors_without_ids_and_of_other_lengths(spark):
+    """Rows without an id are compared and counted, also where they only bridge others; each length is a table of its own."""
+    turned = [[math.cos(t), math.sin(t), 0.0, 0.0] for t in (0.0, 0.4, 0.8, 1.2)]  # neighbours at cosine 0.921, others below 0.7
+    rows = [(7, turned[0]), (None, turned[1]), (3, turned[2]), (None, [0.0, 0.0, 1.0, 0.0]), (None, [0.0, 0.0, 1.0, 0.05])]
+    rows += [(20, [1.0, 0.0]), (21, [1.0, 0.1]), (22, [1.0, 0.0]), (None, [0.0, 1.0]), (30, [2.0]), (31, [5.0]), (32, [-1.0]), (40, [1.0, 0.0, None]), (41, None)]
+    got = sorted((tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    want = [(7, 1, 3, False), (None, 2, 3, False), (3, 1, 3, True), (None, 1, None, False), (None, 1, None, False)]
+    want += [(20, 2, 20, True), (21, 2, 20, False), (22, 2, 20, False), (None, 0, None, False), (30, 1, 30, True), (31, 1, 30, False), (32, 0, 32, True), (40, 0, 40, True), (41, 0, 41, True)]
+    assert got == sorted(want, key=str)
