@@ -129,15 +129,15 @@ def source_insights(chunks: DataFrame, links: DataFrame, insights: DataFrame) ->
 
 def heading_only_sources(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
     """Per source and completed job, the chunks that are a single heading line."""
-    alone = live(chunks).where(F.col("content").rlike(HEADING) & ~F.col("content").contains("\n"))
-    done = jobs.where("status = 'completed'").select("source_id", "job_id")
-    return alone.join(done, "source_id").groupBy("source_id", "job_id").agg(F.count("*").alias("n_chunks"))
+    alone = live(chunks).where(F.col("content").rlike(HEADING) & ~F.col("content").contains("\n")).groupBy("source_id").agg(F.count("*").alias("n"))
+    done = jobs.where("status = 'completed'").groupBy("source_id", "job_id").agg(F.count("*").alias("times"))
+    return alone.join(done, "source_id").select("source_id", "job_id", (F.col("n") * F.col("times")).alias("n_chunks"))
 
 
 def image_placeholder_sources(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
-    left = live(chunks).where(F.col("content").contains(PLACEHOLDER))
-    done = jobs.where("status = 'completed'").select("source_id", "job_id")
-    return left.join(done, "source_id").groupBy("source_id", "job_id").agg(F.countDistinct("chunk_id").alias("n_chunks"))
+    """Per source and completed job, the chunks with a placeholder: counted once for a source, before its jobs are joined."""
+    left = live(chunks).where(F.col("content").contains(PLACEHOLDER)).groupBy("source_id").agg(F.countDistinct("chunk_id").alias("n_chunks"))
+    return left.join(jobs.where("status = 'completed'").select("source_id", "job_id").distinct(), "source_id").select("source_id", "job_id", "n_chunks")
 
 
 def insight_details(links: DataFrame, chunks: DataFrame, sources: DataFrame) -> DataFrame:
