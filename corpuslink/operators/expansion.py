@@ -17,6 +17,8 @@ KEY = ("query_id", "seed_id", "name", "type")
 SECOND = (*KEY, "via_id", "name2", "type2")
 #: Gives steps their own questions: (steps, column that names what is asked about) to the steps with text and vector.
 Asks = Callable[[DataFrame, str], DataFrame]
+#: Gives the links (src, dst, similarity) of the ids (id) asked for.
+Links = Callable[[DataFrame], DataFrame]
 
 
 def _named(mentions: DataFrame) -> DataFrame:
@@ -145,17 +147,19 @@ def apply_context(results: DataFrame, corpus: DataFrame, **limits) -> DataFrame:
     return results.join(expand_context(results, corpus, **limits), "id", "left")
 
 
-def expand_insights(seeds: DataFrame, links: DataFrame, insights: DataFrame, posted: DataFrame, asks: Asks, *, seeds_each: int = 5, n: int = 10, groups: int = 3, each: int = 5, details: DataFrame | None = None) -> DataFrame:
+def expand_insights(seeds: DataFrame, links: DataFrame | Links, insights: DataFrame, posted: DataFrame, asks: Asks, *, seeds_each: int = 5, n: int = 10, groups: int = 3, each: int = 5, details: DataFrame | None = None) -> DataFrame:
     """query_id, seed_id, group_no, sub_query, rank, id and score: group 0 is the n most similar linked insights of each seed, groups 1 to 3
     what a hybrid search finds for the questions on the first three of those.
 
     An insight comes once for a seed, where it occurs first, and never as its own. seeds: query_id, id and rank, at most
-    seeds_each a query. sub_query is the question of a group, null for group 0. details: insight_id and what is to go with each
+    seeds_each a query. links: all of them, or a function that gives those of the ids asked for. sub_query is the question of a group, null for group 0. details: insight_id and what is to go with each
     found insight, such as topics and sources (`catalog.insight_details`).
     """
     w = Window.partitionBy("query_id", "seed_id").orderBy(F.desc(F.round("similarity", 12)), "id")
     own = seeds.select("query_id", F.col("id").alias("seed_id"), F.col("rank").alias("seed_rank"))
+    links = links(own.select(F.col("seed_id").alias("id"))) if callable(links) else links
     near = own.join(links.select(F.col("src").alias("seed_id"), F.col("dst").alias("id"), "similarity"), "seed_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    near = materialize(near)  # read by the questions, by both searches and by the result
     step = F.col("query_id") * (groups * seeds_each) + (F.col("seed_rank") - 1) * groups + F.col("rank") - 1
     about = near.where(F.col("rank") <= groups).join(insights.select("id", F.col("text").alias("content")), "id", "left").withColumn("step", step)
     asked = asks(about.select("step", "query_id", "seed_id", F.col("rank").alias("group_no"), F.col("id").alias("about"), "content"), "content")
@@ -206,7 +210,7 @@ def retrieve(
 
 
 def retrieve_insights(
-    queries: DataFrame, variants: DataFrame, insights: DataFrame, posted: DataFrame, links: DataFrame, *, asks: Asks | None = None,
+    queries: DataFrame, variants: DataFrame, insights: DataFrame, posted: DataFrame, links: DataFrame | Links, *, asks: Asks | None = None,
     scorer: Callable[[Column, Column], Column] = cosine, seeds: int = 5, n: int = 5, details: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Every stage of the insight branch; fused and seeds are written once. The reranking only selects the seeds, which keep their order and score."""

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions.models import map_model
 from ..functions.shared import connected_components, materialize
-from .cells import CORPUS_BLOCK, QUERY_BLOCK, Cells, unit
+from .cells import COLUMNS, Best, Cells, unit
 from .responses import parse_insights
 from .vectors import dense_pair_count, dense_pairs, nearest
 
 #: Pairs that one task settles in order, rounds after which `leaders` raises, the first prefix, and pairs of a prefix at most.
 SETTLED, ROUNDS, FIRST, PAIRS = 500_000, 60, 8_000, 50_000_000
+#: Insights of either side that a task of `nearest_apart` holds, and rows of one step of it.
+QUERY_BLOCK, CORPUS_BLOCK, STEP_ROWS = 16_000, 64_000, 1_000
 
 
 def extract_insights(chunks: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
@@ -160,7 +162,7 @@ def nearest_apart(asking: DataFrame, corpus: DataFrame, k: int = 10) -> DataFram
     """a, b and s of the k rows of the corpus nearest to each asking one, without itself and those that share a source with it.
 
     Both: id, vector, sources. Asking rows may have a `floor`: what is below it is left out (null for none). Blocks of both sides meet in
-    tasks; within a pair of blocks common sources are found by a product of the two membership matrices.
+    tasks, step by step; of a step, what `Best` leaves of it is kept, and pairs with a common source are taken out source by source.
     """
     floor = F.coalesce("floor", F.lit(-2.0)) if "floor" in asking.columns else F.lit(-2.0)
     rows = asking.where("vector is not null").select("id", "vector", "sources", floor.alias("floor"))
@@ -174,19 +176,33 @@ def nearest_apart(asking: DataFrame, corpus: DataFrame, k: int = 10) -> DataFram
         if not len(a) or not len(b):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "s": pd.Series(dtype="float64")})
         b = b.sort_values("id2")
-        s = np.round(unit(a["vector"]) @ unit(b["vector2"]).T, 12)
+        ia, ib, floor = a["id"].to_numpy(np.int64), b["id2"].to_numpy(np.int64), a["floor"].to_numpy(np.float64)
         names = {x: i for i, x in enumerate(sorted({x for col in (a["sources"], b["sources2"]) for xs in col for x in xs}))}
-        ma, mb = np.zeros((len(a), len(names) + 1), np.float32), np.zeros((len(b), len(names) + 1), np.float32)
-        for m, col in ((ma, a["sources"]), (mb, b["sources2"])):
-            for i, xs in enumerate(col):
-                m[i, [names[x] for x in xs]] = 1
-        ia, ib = a["id"].to_numpy(), b["id2"].to_numpy()
-        s = np.where((ma @ mb.T > 0) | (ia[:, None] == ib[None, :]) | (s < a["floor"].to_numpy()[:, None]), -np.inf, s)
-        j = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        i = np.repeat(np.arange(len(a)), j.shape[1])
-        j = j.ravel()
-        ok = s[i, j] > -np.inf
-        return pd.DataFrame({"a": ia[i[ok]], "b": ib[j[ok]], "s": s[i[ok], j[ok]]})
+        of = [(np.repeat(np.arange(len(col)), [len(xs) for xs in col]), np.array([names[x] for xs in col for x in xs], np.int64)) for col in (a["sources"], b["sources2"])]
+
+        def held(k: int, lo: int, hi: int) -> dict:
+            """source -> rows of side k between lo and hi, counted from lo."""
+            row, name = (x[np.searchsorted(of[k][0], lo) : np.searchsorted(of[k][0], hi)] for x in of[k])
+            order = np.argsort(name, kind="stable")
+            cut = np.flatnonzero(np.diff(name[order])) + 1
+            return {int(name[o[0]]): row[o] - lo for o in np.split(order, cut) if len(o)}
+
+        def apart(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+            mine, theirs = held(0, i[0], i[-1] + 1), held(1, j[0], j[-1] + 1)
+            for name in mine.keys() & theirs.keys():
+                s[np.ix_(mine[name], theirs[name])] = -np.inf
+            same = np.searchsorted(ib[j], ia[i])
+            hit = np.flatnonzero(ib[j][np.minimum(same, len(j) - 1)] == ia[i])
+            s[hit, same[hit]] = -np.inf
+
+        best = Best(unit(a["vector"]), unit(b["vector2"]), ib, k, floor)
+        for c in range(0, len(b), COLUMNS):
+            for r in range(0, len(a), STEP_ROWS):
+                best.add(np.arange(r, min(r + STEP_ROWS, len(a))), np.arange(c, min(c + COLUMNS, len(b))), apart)
+        i, j, s = best.rows()
+        s = np.round(s, 12)
+        ok = s >= floor[i]
+        return pd.DataFrame({"a": ia[i[ok]], "b": ib[j[ok]], "s": s[ok]})
 
     return _first(left.groupBy("qa", "qb").cogroup(right.groupBy("ca", "cb")).applyInPandas(block, "a long, b long, s double"), k)
 
@@ -209,16 +225,22 @@ def extend_nearest(near: DataFrame, stored: DataFrame, new: DataFrame, k: int =
     return _first(near.unionByName(entering), k).unionByName(own)
 
 
-def mutual(near: DataFrame) -> DataFrame:
-    """src, dst and similarity, both ways, of those that are in each other's list."""
-    back = near.select(F.col("b").alias("a"), F.col("a").alias("b"))
+def mutual(near: DataFrame, back: DataFrame | None = None) -> DataFrame:
+    """src, dst and similarity of those that are in each other's list; the lists of the others may be given apart."""
+    back = (near if back is None else back).select(F.col("b").alias("a"), F.col("a").alias("b"))
     return near.join(back, ["a", "b"]).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("s").alias("similarity"))
 
 
-def mutual_links(insights: DataFrame, k: int = 10) -> DataFrame:
-    """src, dst and similarity, both ways, of insights (id, vector, sources) that are among each other's k nearest without a common source."""
+def mutual_links(insights: DataFrame, k: int = 10, of: DataFrame | None = None) -> DataFrame:
+    """src, dst and similarity, both ways, of insights (id, vector, sources) that are among each other's k nearest without a common source.
+
+    of: the ids (id) whose links are asked for. Then only they and those in their lists are compared with all insights.
+    """
     rows = insights.select("id", "vector", "sources")
-    return mutual(nearest_apart(rows, rows, k))
+    if of is None:
+        return mutual(materialize(nearest_apart(rows, rows, k)))
+    near = materialize(nearest_apart(rows.join(of.select("id").distinct(), "id", "left_semi"), rows, k))
+    return mutual(near, nearest_apart(rows.join(near.select(F.col("b").alias("id")).distinct(), "id", "left_semi"), rows, k))
 
 
 def related(links: DataFrame, insights: DataFrame, k: int = 10) -> DataFrame:

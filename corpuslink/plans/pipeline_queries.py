@@ -129,10 +129,11 @@ _LINKS = """links as (select a.vec_id as src, b.vec_id as dst, list_cosine_simil
   where a.vec_id <> b.vec_id and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3)"""
 
 
-def _links(t):
+def _links(t, k):
+    """The k nearest of each row that have at least the cosine: of all its links, those that a list of k can show."""
     e = t.embeddings
-    pairs = V.dense_pairs(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.3)
-    return pairs.where("query_id <> id").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("score").alias("similarity"))
+    pairs = V.dense_topk(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), k, others=True)
+    return pairs.where("score >= 0.3").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("score").alias("similarity"))
 
 
 _FIRST_INSIGHTS = f"""{BY_VARIANT.replace(LIVE, INSIGHTS).replace("rank <= 20", "rank <= 150")}, {HYBRID.replace("0.2", "0.0")},
@@ -162,7 +163,8 @@ related as (select * from (select *, row_number() over (partition by query_id, s
 def _insight_stages(t):
     rows = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
     ask = lambda steps, column: steps.withColumn("vec_id", F.col("group_no") + 10 * F.col("query_id")).join(rows, "vec_id").withColumn("text", F.lit("that"))
-    links = I.mutual_links(t.embeddings.selectExpr("vec_id as id", "embedding as vector", "array(label) as sources"))
+    rows_of_links = t.embeddings.selectExpr("vec_id as id", "embedding as vector", "array(label) as sources")
+    links = lambda of: I.mutual_links(rows_of_links, of=of)
     c, topics = insights_of(t), t.m_vchunks.select("chunk_id", F.array(F.concat(F.lit("t"), "source_id")).alias("topics"))
     return E.retrieve_insights(asked(t), variants_of(t), c, N.postings(c), links, asks=ask, details=C.insight_details(t.m_links.join(topics, "chunk_id"), t.m_vchunks, t.m_vsources))
 
@@ -317,7 +319,7 @@ def i06_mutual_links_in_batches(t):
 
 @query(f"with {_LINKS}, r as (select *, row_number() over (partition by src order by round(similarity, 12) desc, dst) as k from links) select src, dst, round(similarity, 6) as similarity, k::int as rank from r where k <= 3")
 def i07_related(t):
-    return six(I.related(_links(t), t.embeddings.selectExpr("vec_id as id"), 3), "similarity")
+    return six(I.related(_links(t, 3), t.embeddings.selectExpr("vec_id as id"), 3), "similarity")
 
 
 @query("select source_id, count(*) as n_chunks, count(*) filter (where chunk_id % 3 = 0) as n_new, count(*) filter (where chunk_id % 3 <> 0) as n_reused from m_vchunks group by 1")
