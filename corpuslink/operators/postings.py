@@ -16,6 +16,11 @@ def _bucket(term: str | Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def exact_sum(column: Column) -> Column:
+    """The sum in decimals: the same in any order, so that rows with equal parts tie."""
+    return F.sum(column.cast("decimal(28,18)")).cast("double")
+
+
 class Index:
     """The postings of a corpus (id, text) below a path.
 
@@ -109,6 +114,6 @@ class Index:
         rows = blocks.select("query_id", "block").join(wanted, "query_id").join(kept, ["term", "block"]).select("query_id", "idf", F.explode("rows").alias("r"))
         tf = F.size("r.positions")
         one = F.col("idf") * tf * (t["k1"] + 1) / (tf + t["k1"] * (1 - t["b"] + t["b"] * F.col("r.len") / F.lit(t["avg_len"] or 1.0)))
-        scored = rows.groupBy("query_id", F.col("r.id").alias("id")).agg(F.sum(one).alias("score"))
+        scored = rows.groupBy("query_id", F.col("r.id").alias("id")).agg(exact_sum(one).alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
         return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
