@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import materialize
 from ..functions.text import WORDS, TokenCounter, cosine, preview
-from .ranking import first_stage, hybrid_search, insight_first_stage, ranked, rerank
-from .vectors import dense_topk_by_ids, embed, hashed_embedding
+from .ranking import Posted, first_stage, hybrid_search, insight_first_stage, ranked, rerank
+from .vectors import dense_topk_by_ids, dense_topk_by_names, embed, hashed_embedding
 
 KEY = ("query_id", "seed_id", "name", "type")
 SECOND = (*KEY, "via_id", "name2", "type2")
@@ -43,8 +43,7 @@ def first_hop(asks: DataFrame, mentions: DataFrame, corpus: DataFrame, n: int =
 
     asks: query_id, seed_id, name, type and the vector of the question. Cut before filter.
     """
-    candidates = asks.select(*KEY).join(_named(mentions), ["name", "type"]).withColumnRenamed("chunk_id", "id")
-    best = dense_topk_by_ids(asks.select(*KEY, "vector"), candidates, corpus, n, KEY, KEY)
+    best = dense_topk_by_names(asks, _named(mentions).withColumnRenamed("chunk_id", "id"), corpus, n, ("name", "type"), KEY)
     return best.where((F.col("score") >= least) & (F.col("id") != F.col("seed_id"))).select(*KEY, "id", "score")
 
 
@@ -70,8 +69,7 @@ def second_entities(hop: DataFrame, mentions: DataFrame, n: int = 5) -> DataFram
 def second_hop(asks: DataFrame, mentions: DataFrame, corpus: DataFrame, n: int = 5, least: float = 0.5) -> DataFrame:
     """From the second entities (with the vectors of their questions) to the n nearest chunks that mention them, as in the first hop."""
     named = _named(mentions).select(F.col("chunk_id").alias("id"), F.col("name").alias("name2"), F.col("type").alias("type2"))
-    candidates = asks.select(*SECOND).join(named, ["name2", "type2"])
-    best = dense_topk_by_ids(asks.select(*SECOND, "vector"), candidates, corpus, n, SECOND, SECOND)
+    best = dense_topk_by_names(asks, named, corpus, n, ("name2", "type2"), SECOND)
     return best.where((F.col("score") >= least) & (F.col("id") != F.col("seed_id"))).select(*SECOND, "id", "score")
 
 
@@ -147,7 +145,7 @@ def apply_context(results: DataFrame, corpus: DataFrame, **limits) -> DataFrame:
     return results.join(expand_context(results, corpus, **limits), "id", "left")
 
 
-def expand_insights(seeds: DataFrame, links: DataFrame | Links, insights: DataFrame, posted: DataFrame, asks: Asks, *, seeds_each: int = 5, n: int = 10, groups: int = 3, each: int = 5, details: DataFrame | None = None) -> DataFrame:
+def expand_insights(seeds: DataFrame, links: DataFrame | Links, insights: DataFrame, posted: DataFrame | Posted, asks: Asks, *, seeds_each: int = 5, n: int = 10, groups: int = 3, each: int = 5, details: DataFrame | None = None) -> DataFrame:
     """query_id, seed_id, group_no, sub_query, rank, id and score: group 0 is the n most similar linked insights of each seed, groups 1 to 3
     what a hybrid search finds for the questions on the first three of those.
 
@@ -178,15 +176,17 @@ def unseen(groups: DataFrame) -> DataFrame:
 
 
 def retrieve(
-    queries: DataFrame, variants: DataFrame, corpus: DataFrame, posted: DataFrame, mentions: DataFrame, *, asks: Asks | None = None,
+    queries: DataFrame, variants: DataFrame, corpus: DataFrame, posted: DataFrame | Posted, mentions: DataFrame, *, asks: Asks | None = None,
     scorer: Callable[[Column, Column], Column] = cosine, seeds: int = 10, n: int = 5, least: float = 0.5, budget: int = 100,
 ) -> dict[str, DataFrame]:
     """Every stage of the chunk branch, each written once as the next ones read it several times: fused first stage, reranked roots, entities, both hops within the budget of model calls,
     final ranks after one reranking of all related chunks, and the contexts of roots and related chunks.
 
     queries: query_id, text, vector; variants as for first_stage; asks gives the questions of the hops, by default sub_queries.
+    What all stages read, the corpus and the names that its chunks mention, is written once, too, and among the stages.
     """
     asks = asks or (lambda steps, column: sub_queries(steps, queries, column))
+    corpus, mentions = materialize(corpus), materialize(mentions.select("chunk_id", "canonical_name", "entity_type").distinct())
     fused = materialize(first_stage(variants, corpus, posted))
     roots = materialize(rerank(fused, queries, corpus, scorer, seeds))
     entities = materialize(seed_entities(roots, mentions))
@@ -206,11 +206,14 @@ def retrieve(
     shown = final.select("query_id", F.col("id").alias("seed_id"))
     every = level(final.withColumn("seed_id", F.col("id")), "root").unionByName(
         level(hop, "first").unionByName(level(second, "second")).distinct().join(shown, ["query_id", "seed_id"], "left_semi"))
-    return {"fused": fused, "roots": roots, "entities": entities, "steps": steps, "first_hop": hop, "second_hop": second, "final": final, "contexts": apply_context(every, corpus)}
+    return {
+        "corpus": corpus, "mentions": mentions, "fused": fused, "roots": roots, "entities": entities, "steps": steps, "first_hop": hop,
+        "second_hop": second, "final": final, "contexts": apply_context(every, corpus),
+    }
 
 
 def retrieve_insights(
-    queries: DataFrame, variants: DataFrame, insights: DataFrame, posted: DataFrame, links: DataFrame | Links, *, asks: Asks | None = None,
+    queries: DataFrame, variants: DataFrame, insights: DataFrame, posted: DataFrame | Posted, links: DataFrame | Links, *, asks: Asks | None = None,
     scorer: Callable[[Column, Column], Column] = cosine, seeds: int = 5, n: int = 5, details: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Every stage of the insight branch; fused and seeds are written once. The reranking only selects the seeds, which keep their order and score."""

@@ -8,19 +8,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import materialize
 from ..functions.text import ANALYZERS, cosine
-from .postings import Index
+from .postings import Index, exact_sum
 from .vectors import dense_topk, dense_topk_by_ids
 
 COVER_WEIGHT = 0.1
 
 
-def postings(docs: DataFrame, analyzer: str = "simple") -> DataFrame:
-    """term, id, positions (ascending) and tf of (id, text)."""
+def postings(docs: DataFrame, analyzer: str = "simple", only: DataFrame | None = None) -> DataFrame:
+    """term, id, positions (ascending) and tf of (id, text); of the terms (term) in `only`, if that is given."""
     terms = docs.select("id", F.posexplode(ANALYZERS[analyzer](F.col("text"))).alias("pos", "term"))
+    if only is not None:
+        terms = terms.join(only, "term", "left_semi")
     return terms.groupBy("term", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
 
 
+class Asked:
+    """A corpus (id, text) whose postings are counted for the asked terms only, at each search; all else never leaves the task that reads it."""
+
+    def __init__(self, docs: DataFrame, analyzer: str = "simple"):
+        self.docs, self.analyzer = docs, analyzer
+
+    def posted(self, asked: DataFrame) -> DataFrame:
+        """term, id, positions and tf of the asked terms (term), as `postings` has them of all; written once, as a search reads them twice."""
+        terms = materialize(asked.select("term").distinct())
+        return materialize(postings(self.docs, self.analyzer, terms))
+
+
+#: What stands for the postings of a corpus where the terms are known.
+Posted = Index | Asked
+
+
 def query_terms(queries: DataFrame, analyzer: str = "simple") -> DataFrame:
     """query_id, term and role `required` of each distinct term of (query_id, text)."""
     return queries.select("query_id", F.explode(F.array_distinct(ANALYZERS[analyzer](F.col("text")))).alias("term")).withColumn("role", F.lit("required"))
@@ -103,7 +122,7 @@ def bm25_topk(terms: DataFrame, posted: DataFrame | Index, n: int, k1: float = 1
     rows = terms.select("query_id", "term").distinct().join(df, "term").join(posted.select("term", "id", "tf"), "term").join(length, "id").crossJoin(F.broadcast(corpus))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     one = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return ranked(rows.groupBy("query_id", "id").agg(F.sum(one).alias("score")), n)
+    return ranked(rows.groupBy("query_id", "id").agg(exact_sum(one).alias("score")), n)
 
 
 def ranked(rows: DataFrame, n: int | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -136,7 +155,7 @@ def hybrid_scores(dense: DataFrame, sparse: DataFrame, limit: int, least: float)
 
 
 def hybrid_search(
-    queries: DataFrame, corpus: DataFrame, posted: DataFrame | Index, limit: int = 10, least: float = 0.7, analyzer: str = "simple", scope: DataFrame | None = None
+    queries: DataFrame, corpus: DataFrame, posted: DataFrame | Posted, limit: int = 10, least: float = 0.7, analyzer: str = "simple", scope: DataFrame | None = None
 ) -> DataFrame:
     """Hybrid search of a table of queries (query_id, text, vector) over (id, vector) and the postings or the index of the same rows.
 
@@ -144,7 +163,7 @@ def hybrid_search(
     if that is null; the others see all. Both lists are taken from what a query sees. apply_context adds the contexts.
     """
     top = max(3 * limit, 20)
-    if isinstance(posted, Index):
+    if isinstance(posted, Posted):
         posted = posted.posted(query_terms(queries, analyzer))
     free = queries if scope is None else queries.join(scope, "query_id", "left_anti")
     dense, sparse = dense_topk(free, corpus, top), sparse_topk(query_terms(free, analyzer), posted, top)
@@ -156,13 +175,13 @@ def hybrid_search(
     return hybrid_scores(dense, sparse, limit, least)
 
 
-def first_stage(variants: DataFrame, corpus: DataFrame, posted: DataFrame | Index, each: int = 20, fused: int = 50, k: int = 60) -> DataFrame:
+def first_stage(variants: DataFrame, corpus: DataFrame, posted: DataFrame | Posted, each: int = 20, fused: int = 50, k: int = 60) -> DataFrame:
     """Weighted fusion over all variants of a query: dense and sparse lists of each, the hyde variant dense only.
 
     variants: variant_id, query_id, name, weight, text, vector. Variants are rows, so that all are one search.
     """
     v = variants.withColumnRenamed("query_id", "_query").withColumnRenamed("variant_id", "query_id")
-    if isinstance(posted, Index):
+    if isinstance(posted, Posted):
         posted = posted.posted(query_terms(v.where("name <> 'hyde'")))
     dense = dense_topk(v, corpus, each).withColumn("kind", F.lit("dense"))
     sparse = sparse_topk(query_terms(v.where("name <> 'hyde'")), posted, each).withColumn("kind", F.lit("sparse"))
@@ -171,7 +190,7 @@ def first_stage(variants: DataFrame, corpus: DataFrame, posted: DataFrame | Inde
     return ranked(rrf(named, k), fused)
 
 
-def insight_first_stage(variants: DataFrame, corpus: DataFrame, posted: DataFrame, limit: int = 50, k: int = 60) -> DataFrame:
+def insight_first_stage(variants: DataFrame, corpus: DataFrame, posted: DataFrame | Posted, limit: int = 50, k: int = 60) -> DataFrame:
     """The best single rank over the hybrid lists of all variants."""
     v = variants.withColumnRenamed("query_id", "_query").withColumnRenamed("variant_id", "query_id")
     found = hybrid_search(v, corpus, posted, limit, 0.0).drop("rank").join(v.select("query_id", "_query", "name"), "query_id")

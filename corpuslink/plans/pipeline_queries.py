@@ -89,7 +89,7 @@ def _once(f):
 @_once
 def _stages(t):
     c = corpus_of(t)
-    return E.retrieve(asked(t), variants_of(t), c, N.postings(c), G.extract_mentions(t.m_vchunks), asks=_asks(t), least=0.1)
+    return E.retrieve(asked(t), variants_of(t), c, N.Asked(c), G.extract_mentions(t.m_vchunks), asks=_asks(t), least=0.1)
 
 
 @query(f"with {_SEEDS}, {_ENT} select query_id, seed_id, name, place::int as place from ent")
@@ -99,14 +99,14 @@ def k01_seed_entities(t):
 
 @query(f"with {_SEEDS}, {_ENT}, {_HOP} select query_id, seed_id, name, id, round(score, 6) as score from hop")
 def k02_first_hop(t):
-    q, c, m = _asks(t), corpus_of(t), G.extract_mentions(t.m_vchunks)
-    return six(E.first_hop(q(_stages(t)["entities"], "name"), m, c, least=0.1).drop("type"))
+    s = _stages(t)
+    return six(E.first_hop(_asks(t)(s["entities"], "name"), s["mentions"], s["corpus"], least=0.1).drop("type"))
 
 
 @query(f"with {_SEEDS}, {_ENT}, {_HOP}, {_FALL} select query_id, seed_id, name, id, round(score, 6) as score from fall")
 def k03_neighbor_fallback(t):
-    c, m = corpus_of(t), G.extract_mentions(t.m_vchunks)
-    q = _asks(t)(_stages(t)["entities"], "name")
+    s = _stages(t)
+    c, m, q = s["corpus"], s["mentions"], _asks(t)(s["entities"], "name")
     return six(E.neighbor_fallback(q, E.first_hop(q, m, c, least=0.1), c, least=0.1).drop("type"))
 
 
@@ -165,8 +165,8 @@ def _insight_stages(t):
     ask = lambda steps, column: steps.withColumn("vec_id", F.col("group_no") + 10 * F.col("query_id")).join(rows, "vec_id").withColumn("text", F.lit("that"))
     rows_of_links = t.embeddings.selectExpr("vec_id as id", "embedding as vector", "array(label) as sources")
     links = lambda of: I.mutual_links(rows_of_links, of=of)
-    c, topics = insights_of(t), t.m_vchunks.select("chunk_id", F.array(F.concat(F.lit("t"), "source_id")).alias("topics"))
-    return E.retrieve_insights(asked(t), variants_of(t), c, N.postings(c), links, asks=ask, details=C.insight_details(t.m_links.join(topics, "chunk_id"), t.m_vchunks, t.m_vsources))
+    c, topics = materialize(insights_of(t)), t.m_vchunks.select("chunk_id", F.array(F.concat(F.lit("t"), "source_id")).alias("topics"))
+    return E.retrieve_insights(asked(t), variants_of(t), c, N.Asked(c), links, asks=ask, details=C.insight_details(t.m_links.join(topics, "chunk_id"), t.m_vchunks, t.m_vsources))
 
 
 @query(f"with {_FIRST_INSIGHTS}, {_SEED_INSIGHTS}, {_MUTUAL}, {_RELATED} select query_id, seed_id, group_no::int as group_no, rank::int as rank, id, round(score, 6) as score from related")
@@ -244,7 +244,7 @@ top as (select *, row_number() over (partition by query_id, stage order by round
 flat as (select id, trim(regexp_replace(text, '\s+', ' ', 'g')) as x from live)
 select query_id, stage, id, place::int as place, case when length(x) > 180 then concat(rtrim(substr(x, 1, 179)), '…') else x end as preview from top join flat using (id) where place <= 5""")
 def k12_retrieve_trace(t):
-    return E.retrieve_trace(_stages(t), corpus_of(t))
+    return E.retrieve_trace(_stages(t), _stages(t)["corpus"])
 
 
 def _said(prompts):
