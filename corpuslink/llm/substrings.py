@@ -202,7 +202,7 @@ def _meet(sent: DataFrame, widths: tuple[int, ...], buckets: int) -> DataFrame:
             for k in range(RANGES):
                 m = own == k
                 held[k].append((*(x[m] for x in h), flag[m], keys[m], at[m]))
-        rows = []
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(RANGES):
             *h, flag, keys, at = map(np.concatenate, zip(*held[k]))
             held[k] = []
@@ -210,7 +210,11 @@ def _meet(sent: DataFrame, widths: tuple[int, ...], buckets: int) -> DataFrame:
             size, flags = np.bincount(group), np.bincount(group, flag[order])
             hit = order[((size > 1) & (flags > 0))[group]]
             if len(hit):
-                rows += _hit_rows(keys[hit], at[hit].astype(np.int64), buckets, 0)
+                hits.append((keys[hit], at[hit]))
+        # One row for each part of documents, not one for each range of hashes: their number is bounded by that of buckets and parts.
+        keys, at = map(np.concatenate, zip(*hits)) if hits else (np.empty(0, np.int64), np.empty(0, np.int32))
+        del held, hits
+        rows = list(_hit_rows(keys, at.astype(np.int64), buckets, 0)) if len(keys) else []
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())}, schema=ROWS)
 
     return sent.groupBy("part").applyInArrow(run, DDL)

@@ -54,3 +54,19 @@ def test_texts_are_kept_as_they_are(spark):
 
 def test_empty(no_docs):
     assert S.remove_repeats(no_docs).count() == 0
+
+
+def test_hits_of_a_bucket_are_one_row_for_each_part(spark):
+    """A row for each of four ranges of the hash made four times as many."""
+    import numpy as np
+
+    from corpuslink.llm import substrings as S
+
+    h = np.random.default_rng(2).integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
+    rows = []
+    for key in (1, 2):
+        batch = S._send((h,), np.ones(400, bool), np.full(400, key, np.int64), np.arange(400), (5,), 2)
+        rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+    out = S._meet(spark.createDataFrame([(int(p), bytes(b)) for p, b in rows], "part int, blob binary"), (5,), 2).collect()
+    assert len(out) == 4
+    assert sum(int(np.frombuffer(r.blob[:8], np.int64)[0]) for r in out) == 800
