@@ -15,6 +15,8 @@ from ..functions.text import HEADING, WORDS, TokenCounter, token_count
 SECTION = re.compile(r"\s*#{1,3}(?: |\s*$)")
 #: Characters a token, where a size in tokens bounds characters.
 CHARS = 4
+#: Characters of the pieces that leave a task at once.
+FRAME = 2_000_000
 SENTENCE = r"(?<=[.!?])\s+|\n{2,}"
 HIGH_STAKES = ("legal", "financial", "medical")
 
@@ -121,6 +123,19 @@ def markdown_pieces(text: str, max_tokens: int = 400, count: Callable[[str], int
     return out + ["\n\n".join(waiting)] if waiting else out
 
 
+def _framed(rows: Iterator[tuple], names: list[str], most: int = FRAME) -> Iterator[pd.DataFrame]:
+    """Rows whose last entry is a text as frames of about so many characters, so that a task doesn't hold all that it makes of its input."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= most:
+            yield pd.DataFrame(held, columns=names)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=names)
+
+
 def split_texts(rows: DataFrame, keys: list[str], max_tokens: int = 400, counter: TokenCounter = WORDS) -> DataFrame:
     """keys, piece_no and content of (keys, text, strategy): each text cut by its strategy, within its row.
 
@@ -133,11 +148,12 @@ def split_texts(rows: DataFrame, keys: list[str], max_tokens: int = 400, counter
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for key, text, strategy in zip(frame[keys].itertuples(index=False, name=None), frame["text"], frame["strategy"]):
-                pieces = markdown_pieces(text, count=count) if strategy == "markdown_header" else recursive_pieces(text, CHARS * max_tokens)
-                out += [(*key, n, piece) for n, piece in enumerate(pieces)]
-            yield pd.DataFrame(out, columns=schema.names)
+            cut = (
+                (*key, n, piece)
+                for key, text, strategy in zip(frame[keys].itertuples(index=False, name=None), frame["text"], frame["strategy"])
+                for n, piece in enumerate(markdown_pieces(text, count=count) if strategy == "markdown_header" else recursive_pieces(text, CHARS * max_tokens))
+            )
+            yield from _framed(cut, schema.names)
 
     known = rows.where("text is not null").select(*dict.fromkeys([*keys, "text", "strategy"]))
     return _semantic(known.where("strategy = 'semantic'"), keys, F.lit(max_tokens), counter).unionByName(known.where("strategy <> 'semantic'").mapInPandas(run, schema))
@@ -236,9 +252,9 @@ def best_rows(rows: DataFrame, key: str, n: int, order: tuple[str, ...] = ("rank
     return best.drop("_k")
 
 
-def answer_contexts(results: DataFrame, key: str, question: Column, columns: tuple[str, ...], instructions: str, n: int = 20, order: tuple[str, ...] = ("rank",)) -> DataFrame:
-    """key and prompt: the question with the columns of its n best results, in their order."""
-    best = best_rows(results, key, n, order).withColumn("_q", question)
+def answer_contexts(results: DataFrame, key: str, question: Column, columns: tuple[str, ...], instructions: str, n: int | None = 20, order: tuple[str, ...] = ("rank",)) -> DataFrame:
+    """key and prompt: the question with the columns of its n best results, or of all, in their order."""
+    best = (results if n is None else best_rows(results, key, n, order)).withColumn("_q", question)
     listed = F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*columns).alias("r"))))
     rows = best.groupBy(key, "_q").agg(F.transform(listed, lambda x: x["r"]).alias("r"))
     return rows.select(key, answer_context(F.col("_q"), F.col("r"), instructions).alias("prompt"))

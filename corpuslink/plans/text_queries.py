@@ -116,10 +116,10 @@ def t11_build_prompt(t):
 
 @query("""select source, concat('Answer from the results.', chr(10), chr(10), 'Question: What is in ', source, '?', chr(10), chr(10), '```json', chr(10),
   to_json(list({'doc_id': doc_id, 'lang': lang} order by doc_id)), chr(10), '```') as prompt
-from (select *, row_number() over (partition by source order by doc_id) as k from documents) where k <= 20 group by source""")
+from documents group by source""")
 def t12_answer_context(t):
-    """The answer for each source names its best twenty results."""
-    return K.answer_contexts(t.documents, "source", F.concat(F.lit("What is in "), "source", F.lit("?")), ("doc_id", "lang"), "Answer from the results.", 20, ("doc_id",))
+    """The answer for each source names all its results."""
+    return K.answer_contexts(t.documents, "source", F.concat(F.lit("What is in "), "source", F.lit("?")), ("doc_id", "lang"), "Answer from the results.", None, ("doc_id",))
 
 
 @query("""select source_id as community, string_agg(concat('[Source: s', source_id, ']', chr(10), content), concat(chr(10), chr(10), '---', chr(10), chr(10)) order by chunk_index) as context
