@@ -93,7 +93,7 @@ def _as_queries(rows: DataFrame) -> DataFrame:
 def dedup_in_order(new: DataFrame, least: float = 0.95, store: DataFrame | None = None) -> DataFrame:
     """seq, insight_seq and is_new: each new insight (seq, vector), in order, joins the nearest earlier kept one from `least` on, else is kept.
 
-    With a store (seq below all new ones, vector) its rows are kept from the start and count as earlier.
+    With a store (seq below all new ones, vector) its rows are kept from the start and count as earlier; they are compared once.
 
     Equal vectors are compared once. The first FIRST vectors find their pairs (`dense_pairs`) and settle who leads
     (`leaders`); all later ones that are near a leader are followers and leave; then twice as many of those left, and so on:
@@ -107,9 +107,9 @@ def dedup_in_order(new: DataFrame, least: float = 0.95, store: DataFrame | None
     left, stored = classes, None
     if store is not None:
         kept = first(store)
-        stored = Cells(kept)
+        stored = materialize(dense_pairs(_as_queries(classes), Cells(kept), least, best=True))
         left = left.join(kept.select("vector"), "vector", "left_anti")
-        left = materialize(left.join(dense_pairs(_as_queries(left), stored, least, best=True).select(F.col("query_id").alias("id")), "id", "left_anti").select("vector", "id"))
+        left = materialize(left.join(stored.select(F.col("query_id").alias("id")), "id", "left_anti").select("vector", "id"))
     found, size = [], FIRST
     while n := left.count():
         part, until = left, None
@@ -133,7 +133,7 @@ def dedup_in_order(new: DataFrame, least: float = 0.95, store: DataFrame | None
     own = materialize(reduce(DataFrame.unionByName, found)) if found else classes.limit(0)
     to = dense_pairs(_as_queries(classes), own, least)
     if stored is not None:
-        to = to.unionByName(dense_pairs(_as_queries(classes), stored, least, best=True))
+        to = to.unionByName(stored)
     # Leaders are near none of each other, so that few of them are near one vector.
     near = F.collect_list(F.struct(F.round("score", 12).alias("score"), (-F.col("id")).alias("less"))).alias("near")
     to = to.groupBy(F.col("query_id").alias("id")).agg(near)
