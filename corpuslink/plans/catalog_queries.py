@@ -241,20 +241,16 @@ def _marked(t):
     )
 
 
-def _jobs(t):
-    return t.m_jobs.where("source_id < 10")
-
-
 @query("""select c.source_id, j.job_id, count(*) as n_chunks from m_vchunks c join m_jobs j on j.source_id = c.source_id
 where not is_deleted and chunk_id % 11 = 0 and status = 'completed' group by all""")
 def d05_heading_only_sources(t):
-    return C.heading_only_sources(_marked(t), _jobs(t))
+    return C.heading_only_sources(_marked(t), t.m_jobs)
 
 
 @query("""select c.source_id, j.job_id, count(distinct chunk_id) as n_chunks from m_vchunks c join m_jobs j on j.source_id = c.source_id
 where not is_deleted and chunk_id % 11 <> 0 and chunk_id % 3 = 0 and status = 'completed' group by all""")
 def d06_image_placeholder_sources(t):
-    return C.image_placeholder_sources(_marked(t), _jobs(t))
+    return C.image_placeholder_sources(_marked(t), t.m_jobs)
 
 
 @query("""with r as (select l.insight_id, c.source_id, concat('t', cast(c.source_id as varchar)) as a, concat('x', cast(l.chunk_id % 4 as varchar)) as b
